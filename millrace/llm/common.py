@@ -49,3 +49,9 @@ def drop_stage(df: DataFrame) -> None:
 def texts(df: DataFrame, *extra: str) -> DataFrame:
     """``doc_id`` as long and the whole ``text`` (null: empty), without any other column."""
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
+
+
+def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows (of a few numbers
+    and a short name each); beyond that, left to a shuffled join."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

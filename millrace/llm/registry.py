@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from millrace.llm import packing, tokens
+from millrace.llm import bitsliced, hamming, minhash, mixing, ordinal, packing, secrets, tokens
 from millrace.llm.common import table
 
 
@@ -16,5 +16,40 @@ def op8_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op8_best_fit_packing)}
-ORACLE: dict[str, str] = {}
+def op1_bitsliced_topk(spark, sf_dir):
+    return bitsliced.top_k(table(spark, sf_dir, "embeddings"))
+
+
+def op2_multi_index_hashing(spark, sf_dir):
+    return hamming.nearest(table(spark, sf_dir, "embeddings"))
+
+
+def op3_secret_scan(spark, sf_dir):
+    return secrets.summary(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op5_minhash_near_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_source_mixing(spark, sf_dir):
+    return mixing.mixed_words(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return ordinal.grade(docs, ordinal.train(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bitsliced_topk, op2_multi_index_hashing, op3_secret_scan, op5_minhash_near_dedup,
+        op7_token_counts, op8_best_fit_packing, op9_source_mixing, op10_quality_classifier,
+    )
+}
+ORACLE: dict[str, str] = {
+    "op1_bitsliced_topk": bitsliced.ORACLE,
+    "op3_secret_scan": secrets.ORACLE,
+    "op5_minhash_near_dedup": minhash.ORACLE,
+}

@@ -80,24 +80,32 @@ class Words:
     longer than the documents).
     """
 
-    def __init__(self, docs: list[bytes], lower: bool = False):
+    def __init__(self, docs: list[bytes], lower: bool = False, gap: np.ndarray = SPACE):
         joined = b" " + b" ".join(docs) + b" "
         self.buf = np.frombuffer(joined, dtype=np.uint8)
-        space = SPACE[self.buf]
+        space = gap[self.buf]
         edge = np.flatnonzero(space[1:] != space[:-1]) + 1
         self.start, self.end = edge[0::2], edge[1::2]
         at = np.cumsum([1] + [len(d) + 1 for d in docs])
         self.first = np.searchsorted(self.start, at)
         self.count = np.diff(self.first)
         self.doc = np.repeat(np.arange(len(docs)), self.count)
-        self._codes = CODES[LOWER[self.buf]] if lower else CODES[self.buf]
+        self._codes, self._pre = (CODES[LOWER[self.buf]] if lower else CODES[self.buf]), None
 
     def hashes(self) -> np.ndarray:
         if not hasattr(self, "_hashes"):
-            self._hashes = spans_hash(prefix(self._codes), self.start, self.end) if len(self.start) else np.zeros(0, np.uint64)
-            self._codes = None
+            self._hashes = self.heads(None)
         return self._hashes
 
+    def heads(self, size: int | None) -> np.ndarray:
+        """Hashes of the words' first ``size`` bytes."""
+        if not len(self.start):
+            return np.zeros(0, np.uint64)
+        if self._pre is None:
+            self._pre, self._codes = prefix(self._codes), None
+        end = self.end if size is None else np.minimum(self.end, self.start + size)
+        return spans_hash(self._pre, self.start, end)
+
 
 class Memo:
     """A direct-mapped cache from 64-bit segment hashes to sizes and, if wanted,
