@@ -1,4 +1,4 @@
-"""Registered queries and their SQL."""
+"""All registered queries of the retrieval engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from millrace.plans import dialogue, evaluation, gate, keyed, retrieval, structure  # noqa: F401
+from millrace.plans.base import ORACLE, QUERIES  # noqa: F401
