@@ -18,6 +18,10 @@ def _words(c):
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
 
 
+def _weighed(c, weight: float):
+    return F.transform(_words(c), lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight")))
+
+
 def structured(records: DataFrame, asked: DataFrame) -> DataFrame:
     """query_id, id, product_name, score, rank, best for every record that an
     accepted keyword or number of asked(query_id, query) finds.
@@ -29,7 +33,7 @@ def structured(records: DataFrame, asked: DataFrame) -> DataFrame:
     """
     good = quality.validate(records).where("ok")
     fields = ((F.col("product_name"), NAME), (F.col("standard_title"), TITLE), (F.col("is_standard_number"), OTHER), (F.col("qco_reference"), OTHER))
-    weighed = F.flatten(F.array(*[F.transform(_words(c), lambda w, s=s: F.struct(w.alias("word"), F.lit(s).alias("weight"))) for c, s in fields]))
+    weighed = F.flatten(F.array(*[_weighed(c, s) for c, s in fields]))
     words = good.select("id", F.explode(weighed).alias("x")).groupBy("id", "x.word").agg(F.max("x.weight").alias("weight"))
     keys = asked.select("query_id", F.explode(F.slice(T.keywords(F.col("query")), 1, KEYWORDS)).alias("word"))
     plain = keys.where(~F.contains("word", F.lit("/"))).join(words, "word").select("query_id", "id", F.col("weight").alias("part"))

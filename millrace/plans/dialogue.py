@@ -59,7 +59,7 @@ def query_bounds(spark, d):
     return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", D.query_ok(F.col("text")).alias("ok"))
 
 
-@query(f"""WITH a AS (SELECT l_orderkey AS k, string_agg('IS ' || l_partkey, ', ' ORDER BY l_linenumber) AS answer,
+@query(f"""WITH a AS (SELECT l_orderkey AS k, string_agg('IS ' || l_partkey, ', ' ORDER BY l_linenumber, 'IS ' || l_partkey) AS answer,
  list('' || l_partkey) FILTER (l_linenumber % 2 = 1) AS allowed FROM lineitem GROUP BY l_orderkey),
 t AS (SELECT k, list_transform(string_split(answer, ', '), lambda x: replace(x, 'IS ', '')) AS n, coalesce(allowed, []) AS allowed FROM a)
 SELECT k, array_to_string(list_transform(n, lambda x: CASE WHEN len(x) BETWEEN 2 AND 5 AND list_contains(allowed, x) THEN 'IS ' || x ELSE {literal(D.UNVERIFIED)} END), ', ') AS answer,

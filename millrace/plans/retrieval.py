@@ -152,7 +152,7 @@ rows AS (SELECT *, regexp_extract_all(lower(product_name), '[a-z0-9_]+') AS a, r
 kws AS (SELECT query_id, id, sum(CASE WHEN list_contains(a, kw) THEN 2.0 WHEN list_contains(b, kw) THEN 1.0 WHEN list_contains(c, kw) THEN 0.5 ELSE 0 END) AS s FROM kw CROSS JOIN rows GROUP BY ALL),
 rfs AS (SELECT query_id, id, 5.0 * count(*) AS s FROM rf JOIN rows ON list_contains(regexp_extract_all(is_standard_number, '\\d+'), ref) GROUP BY ALL),
 sc AS (SELECT query_id, id, sum(s) AS s FROM (SELECT * FROM kws UNION ALL SELECT * FROM rfs) GROUP BY ALL HAVING sum(s) > 0),
-fin AS (SELECT query_id, id, product_name, s + CASE WHEN qco_reference LIKE '%Quality Control Order' THEN 1.5 ELSE 0 END + CASE WHEN extraction_method = 'curated' THEN 0.5 ELSE 0 END AS score FROM sc JOIN rows USING (id)),
+fin AS (SELECT query_id, id, product_name, s + CASE WHEN qco_reference LIKE '%Quality Control Order' THEN 1.5e0 ELSE 0 END + CASE WHEN extraction_method = 'curated' THEN 0.5e0 ELSE 0 END AS score FROM sc JOIN rows USING (id)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_name, id) AS rank, max(score) OVER (PARTITION BY query_id) AS best FROM fin)
 """.replace("{stop}", " ".join(T.STOPWORDS)).replace("{products}", PRODUCTS).replace("{{", "{").replace("}}", "}")
 
