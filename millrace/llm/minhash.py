@@ -302,8 +302,8 @@ pairs AS (
  SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep < b.rep
  WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
-both AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
-reach(node, seen) AS (SELECT DISTINCT a, a FROM both UNION SELECT r.node, x.b FROM reach r JOIN both x ON x.a = r.seen),
+way AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+reach(node, seen) AS (SELECT DISTINCT a, a FROM way UNION SELECT r.node, x.b FROM reach r JOIN way x ON x.a = r.seen),
 comp AS (SELECT node, min(seen) AS c FROM reach GROUP BY node)
 SELECT d.doc_id, d.n AS n_shingles, coalesce(comp.c, k.rep, d.doc_id) AS component_id, d.doc_id = coalesce(comp.c, k.rep, d.doc_id) AS kept
 FROM sized d LEFT JOIN classes k ON d.n > 0 AND d.s = k.s LEFT JOIN comp ON comp.node = k.rep
