@@ -10,10 +10,14 @@ from millrace.llm import minhash, mixing, ordinal, packing, secrets
 from millrace.llm.common import stage, table
 
 
+#: The chance of the top grade that a document needs to stay.
+LEAST = 0.5
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose chance of the top grade is one half or more."""
     model = ordinal.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return ordinal.accepted(docs, model)
+    return ordinal.accepted(docs, model, LEAST)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
