@@ -187,12 +187,11 @@ def grade(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 def accepted(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """The rows that :func:`grade` keeps, with their own columns."""
-    names = documents.columns
+    at = documents.columns.index("text")
 
     def run(batches):
         for b in batches:
-            texts = b.column(b.schema.get_field_index("_text")).to_pylist()
-            tails = model.tails([(x or "").encode() for x in texts])
-            yield b.select(names).filter(pa.array(tails[:, 1] >= least))
+            tails = model.tails([(x or "").encode() for x in b.column(at).to_pylist()])
+            yield b.filter(pa.array(tails[:, 1] >= least))
 
-    return documents.withColumn("_text", F.col("text")).mapInArrow(run, documents.schema)
+    return documents.mapInArrow(run, documents.schema)
