@@ -36,11 +36,11 @@ def chat(asked: DataFrame, docs: DataFrame, vectors: DataFrame, query_vectors: D
     routed = asked.where(D.query_ok(F.col("text"))).withColumn("route", D.route(F.col("text")))
     inside = routed.where(~F.col("route").isin("greeting", "out_of_scope"))
     fused = R.fuse(R.dense(vectors, query_vectors.join(inside.select("item_id"), "item_id", "left_semi")), R.bm25(docs, inside.select("item_id", "text")))
-    faceted = fused.join(docs.select("doc_id", F.col(category).alias("_category")), "doc_id").join(inside.select("item_id", "route"), "item_id")
+    faceted = fused.join(docs.select("doc_id", F.col(category).alias("_category")), "doc_id", "left").join(inside.select("item_id", "route"), "item_id")
     wanted = F.lit(False)
     for route, names in PREFERRED.items():
         wanted = wanted | ((F.col("route") == route) & F.col("_category").isin(*names))
-    final = R.select_final(R.prefer(faceted, wanted))
+    final = R.select_final(R.prefer(faceted, F.coalesce(wanted, F.lit(False))))
     chunks = final.groupBy("item_id").agg(F.count("*").alias("n_chunks"), F.max("similarity").alias("confidence"), F.array_sort(F.collect_list(F.struct("final", "doc_id"))).alias("s"))
     rows = lookup.cut(lookup.structured(records, inside.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n_rows"))
     out = routed.join(chunks, "item_id", "left").join(rows, "item_id", "left").fillna(0, ["n_chunks", "n_rows"]).fillna(0.0, ["confidence"])
