@@ -99,7 +99,7 @@ class Slices:
         return self.rows(over | equal)
 
 
-def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, skip: int = 2, rows: int = 65536) -> DataFrame:
+def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, skip: int = 2, rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k highest integer inner
     products with the other vectors, ties to the smaller vec_id.
 
@@ -120,7 +120,7 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, skip: int = 2, row
         at = slices.at_least_kth(slices.total(w), k + 1, spare)
         return at, values[at] @ w
 
-    return search(clean(embeddings), every, k, "long", probe, index, rows)
+    return search(clean(embeddings), every, k, "long", probe, index, rows, 128)
 
 
 ORACLE = """

@@ -78,7 +78,7 @@ def radius_for(sample: np.ndarray, codes: np.ndarray, neighbours: int, share: fl
     return int(np.quantile(distance, share, method="higher"))
 
 
-def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, bits: int = 256, share: float = 0.99, rows: int = 16384) -> DataFrame:
+def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, bits: int = 256, share: float = 0.99, rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product, ties to the smaller vec_id.
 
     The rotations and the radius are fitted on at most ``SAMPLE`` vectors; every

@@ -1,6 +1,6 @@
 """Blocks of vectors: the unit in which the vector searches index and probe.
 
-A block holds up to ``rows`` vectors of one dimension as one binary row. Query
+A block holds about ``rows`` vectors of one dimension as one binary row. Query
 blocks meet index blocks pairwise, and each pair yields at most k rows for each
 query; no pair of single rows is ever made.
 """
@@ -30,48 +30,25 @@ def clean(embeddings: DataFrame) -> DataFrame:
     return rows.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("vector")).groupBy("vec_id").agg(F.min("vector").alias("vector"))
 
 
-def blocks(vectors: DataFrame, rows: int) -> DataFrame:
-    """Pack vectors into blocks, as they lie in their partitions."""
+def blocks(vectors: DataFrame, count: int) -> DataFrame:
+    """Pack vectors into ``count`` blocks (for each dimension) by a hash of their id."""
 
-    def pack(batches):
-        held: dict[int, list] = {}
+    def pack(group: pa.Table) -> pa.Table:
+        group = group.sort_by("vec_id")
+        ids = group.column("vec_id").to_numpy()
+        data = group.column("vector").combine_chunks().flatten().to_numpy()
+        row = [[len(data) // len(ids)], [len(ids)], [ids.tobytes()], [data.tobytes()]]
+        return pa.table([pa.array(v, t) for v, t in zip(row, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["dim", "n", "ids", "data"])
 
-        def out(dim):
-            ids = np.concatenate([a for a, _ in held[dim]])
-            data = np.concatenate([b for _, b in held[dim]])
-            held[dim] = []
-            for i in range(0, len(ids), rows):
-                part = ids[i : i + rows], data[i : i + rows]
-                if len(part[0]) == rows or i + rows >= len(ids):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim], pa.int32()), pa.array([len(part[0])], pa.int32()), pa.array([part[0].tobytes()]), pa.array([part[1].tobytes()])],
-                        ["dim", "n", "ids", "data"],
-                    )
-
-        for b in batches:
-            ids = b.column(0).to_numpy()
-            lists = b.column(1)
-            dims = lists.value_lengths().to_numpy()
-            flat = lists.flatten().to_numpy()
-            start = np.cumsum(dims) - dims
-            for dim in np.unique(dims).tolist():
-                at = np.flatnonzero(dims == dim)
-                data = flat[start[at][:, None] + np.arange(dim)]
-                held.setdefault(dim, []).append((ids[at], data))
-                if sum(len(a) for a, _ in held[dim]) >= rows:
-                    yield from out(dim)
-        for dim in list(held):
-            if held[dim]:
-                yield from out(dim)
-
-    return vectors.select("vec_id", "vector").mapInArrow(pack, BLOCK)
+    dealt = vectors.select("vec_id", "vector", F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(count)).alias("block"))
+    return dealt.groupBy("dim", "block").applyInArrow(pack, BLOCK)
 
 
 def unpack(dim: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(ids, dtype=np.int64), np.frombuffer(data, dtype=np.float64).reshape(-1, dim)
 
 
-def search(vectors: DataFrame, every: int, k: int, score_type: str, probe, index=lambda x: x, rows: int = 16384, queries: int = 512) -> DataFrame:
+def search(vectors: DataFrame, every: int, k: int, score_type: str, probe, index=lambda x: x, rows: int = 8192, queries: int = 256) -> DataFrame:
     """query_id, rank, vec_id, score of the k best of each query.
 
     Queries are the vectors whose vec_id ``every`` divides. ``index(data)`` is
@@ -81,9 +58,9 @@ def search(vectors: DataFrame, every: int, k: int, score_type: str, probe, index
     """
     vectors = stage(vectors, "vectors")
     parts = max(1, -(-vectors.count() // rows))
-    stored = stage(blocks(vectors.repartition(parts, "vec_id"), rows), "vector-blocks")
-    asked = vectors.where(F.pmod("vec_id", F.lit(every)) == 0)
-    asked = stage(blocks(asked.repartition(max(1, -(-parts * rows // (every * queries))), "vec_id"), queries), "query-blocks")
+    asks = max(1, -(-parts * rows // (every * queries)))
+    stored = stage(blocks(vectors, parts), "vector-blocks")
+    asked = stage(blocks(vectors.where(F.pmod("vec_id", F.lit(every)) == 0), asks), "query-blocks")
     pairs = stored.crossJoin(asked.select(F.col("dim").alias("q_dim"), F.col("ids").alias("q_ids"), F.col("data").alias("q_data"))).where("dim = q_dim")
     pairs = pairs.select("dim", "ids", "data", "q_ids", "q_data")
 
@@ -106,6 +83,6 @@ def search(vectors: DataFrame, every: int, k: int, score_type: str, probe, index
                     q, i, s = (np.concatenate(x) for x in zip(*rows_out))
                     yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(s)], ["query_id", "vec_id", "score"])
 
-    found = pairs.repartition(max(1, min(4096, parts * 4))).mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    found = pairs.repartition(min(4096, parts * asks)).mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
