@@ -16,6 +16,7 @@ the many rare words of a long text would outvote its few telling ones.
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from millrace.llm import vectext as V
 
 #: The bound of the training sample: rated documents with the smallest hashed ids.
-SAMPLE = 12_000
+SAMPLE = 8_000
 #: Sampled texts that a word must occur in to get a weight.
 LEAST = 4
 DEVIATIONS = 5.0
@@ -104,16 +105,27 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def fit(docs: list[bytes], grades: np.ndarray, top: int = 2, steps: int = 200, penalty: float = 1e-5, rate: float = 0.15) -> Model:
-    """Penalised maximum likelihood by Adam over the whole sample; deterministic."""
-    first_of = {t: i for i, t in reversed(list(enumerate(docs)))}
-    once = np.zeros(len(docs), dtype=bool)
-    once[list(first_of.values())] = True
+def fit(docs: list[bytes], grades: np.ndarray) -> Model:
+    """The model of some rated texts."""
     doc, word, form = features(docs)
+    return fit_features(doc, word, form, grades, np.array([_digest(d) for d in docs], dtype=np.int64))
+
+
+def _digest(doc: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(doc, digest_size=8).digest(), "little", signed=True)
+
+
+def fit_features(doc, word, form, grades, texts, top: int = 2, steps: int = 200, penalty: float = 1e-5, rate: float = 0.15) -> Model:
+    """Penalised maximum likelihood by Adam over the whole sample; deterministic.
+
+    (doc, word) are the texts' features, ``texts`` digests that tell equal texts."""
+    n = len(grades)
+    once = np.zeros(n, dtype=bool)
+    once[np.unique(texts, return_index=True)[1]] = True
     names, at = np.unique(word, return_inverse=True)
     seen = np.bincount(at, weights=once[doc], minlength=len(names))
     good = np.bincount(at, weights=once[doc] & (grades[doc] == top), minlength=len(names))
-    usual = (grades[once] == top).mean() if len(docs) else 0.0
+    usual = (grades[once] == top).mean() if n else 0.0
     spread = np.sqrt(np.maximum(seen * usual * (1 - usual), 1e-12))
     keep = np.flatnonzero((seen >= LEAST) & (np.abs(good - seen * usual) >= DEVIATIONS * spread))
     place = np.full(len(names), -1)
@@ -121,7 +133,7 @@ def fit(docs: list[bytes], grades: np.ndarray, top: int = 2, steps: int = 200, p
     col = place[at]
     doc, col = doc[col >= 0], col[col >= 0]
     form = np.hstack([form, form**2])
-    n, k = len(docs), len(keep)
+    k = len(keep)
     if not n:
         return Model(np.zeros(0, np.int64), np.zeros(0), np.zeros(2 * FORM), np.linspace(-1, 0, top))
     # start with the thresholds of the grades' shares, with one more rating of each
@@ -162,8 +174,39 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
     chosen = rated.agg(grade).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     body = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = body.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("grade").alias("grade"))
-    got = sorted((r["doc_id"], r["text"], r["grade"]) for r in rows.collect())  # at most `sample` rows
-    return fit([t.encode() for _, t, _ in got], np.array([g for _, _, g in got], dtype=np.int64))
+
+    def describe(batches):
+        for b in batches:
+            bodies = [x.encode() for x in b.column(1).to_pylist()]
+            doc, word, form = features(bodies)
+            order = np.argsort(doc, kind="stable")
+            cuts = np.searchsorted(doc[order], np.arange(len(bodies) + 1))
+            word = word[order].astype("<u4")
+            packed = [word[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), pa.array([_digest(x) for x in bodies], pa.int64()), pa.array(packed, pa.binary()), pa.array([f.tobytes() for f in form], pa.binary())],
+                ["doc_id", "grade", "text", "words", "form"],
+            )
+
+    def solve(batches):
+        tables = [pa.Table.from_batches([b]) for b in batches]
+        if not tables:
+            return
+        t = pa.concat_tables(tables).sort_by("doc_id")
+        packed = t.column("words").to_pylist()
+        counts = [len(x) // 4 for x in packed]
+        word = np.frombuffer(b"".join(packed), dtype="<u4").astype(np.int64)
+        form = np.frombuffer(b"".join(t.column("form").to_pylist()), dtype=np.float64).reshape(-1, FORM)
+        m = fit_features(np.repeat(np.arange(len(counts)), counts), word, form, t.column("grade").to_numpy().astype(np.int64), t.column("text").to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()]) for x in (m.words, m.weights, m.form, m.thresholds)], ["words", "weights", "form", "thresholds"])
+
+    # one task fits; it holds `sample` feature lists at most
+    described = rows.select("doc_id", "text", "grade").mapInArrow(describe, "doc_id long, grade int, text long, words binary, form binary")
+    got = described.repartition(1).mapInArrow(solve, "words binary, weights binary, form binary, thresholds binary").first()
+    if got is None:
+        return fit([], np.zeros(0, dtype=np.int64))
+    words, *rest = got
+    return Model(np.frombuffer(words, np.int64), *(np.frombuffer(x, np.float64) for x in rest))
 
 
 GRADES = "doc_id long, expected_grade double, p_grade_1 double, p_grade_2 double, keep boolean"
