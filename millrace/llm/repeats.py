@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,16 +81,28 @@ def snippets(units: Units, windows: Windows):
     first = np.flatnonzero(new)
     lo, p = start[first], place[first]
     n = np.diff(np.append(first, len(start)))
-    digest = V.mix(V.spans_hash(units.pre, lo, lo + n - 1 + length) + (p - lo).astype(np.uint64))
-    return doc[first], lo - units.at[:-1][doc[first]], n, p - lo, hashes[p].view(np.int64), digest.view(np.int64)
+    return doc[first], lo - units.at[:-1][doc[first]], n, p - lo, hashes[p].view(np.int64), digests(units, lo, n, p - lo, length)
+
+
+def digests(units: Units, lo: np.ndarray, n: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
+    """Digests of snippets that begin at these units of the sequence."""
+    return V.mix(V.spans_hash(units.pre, lo, lo + n - 1 + length) + off.astype(np.uint64)).view(np.int64)
+
+
+#: Bytes of text whose arrays are in memory at once.
+SLICE = 1 << 19
 
 
 def _batches(batches, windows: Windows):
     """(keys, texts, snippets) of slices of batches with columns key and text."""
     for b in batches:
-        keys, bodies = b.column(0).to_numpy(), [x.encode() for x in b.column(1).to_pylist()]
-        for lo, hi in V.slices(bodies):
-            yield keys[lo:hi], bodies[lo:hi], snippets(Units(bodies[lo:hi], windows.unit), windows)
+        keys, text = b.column(0).to_numpy(), b.column(1)
+        part = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False)) // SLICE
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(text)]
+        for lo, hi in zip(edges, edges[1:]):
+            if hi > lo:
+                bodies = [x.encode() for x in text.slice(lo, hi - lo).to_pylist()]
+                yield keys[lo:hi], bodies, snippets(Units(bodies, windows.unit), windows)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
@@ -151,9 +164,11 @@ def variant_texts(bodies: DataFrame, found: DataFrame, windows: Windows) -> Data
             for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 body = text.encode()
                 units = Units([body], windows.unit)
-                have = {(lo, d) for lo, d in zip(*(x.tolist() for x in (lambda s: (s[1], s[5]))(snippets(units, windows))))}
-                for w in wanted:
-                    if (w["lo"], w["digest"]) in have:  # else another text of this doc_id
+                wanted = [w for w in wanted if w["lo"] + w["n"] - 1 + windows.length <= len(units.codes)]
+                lo, n, off = (np.array([w[c] for w in wanted], dtype=np.int64) for c in ("lo", "n", "off"))
+                own = digests(units, lo, n, off, windows.length).tolist() if wanted else []
+                for w, d in zip(wanted, own):
+                    if w["digest"] == d:  # else another text of this doc_id
                         end = w["lo"] + w["n"] - 1 + windows.length
                         if windows.unit == "word":
                             part = units.codes[w["lo"] : end].tobytes()
