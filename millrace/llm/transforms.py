@@ -6,7 +6,8 @@ own. A batch of shards is merged as Holt and McMillan (2014) merge two: start
 with the transforms one behind the other and refine the interleave step by
 step. A step reads the merged transform in the present order and deals every
 row out to its symbol, which orders the suffixes by one symbol more; no suffix
-is compared with another. Here a step takes two symbols. Rows that the steps
+is compared with another. Here eight symbols in a row are one letter of a larger
+alphabet, and a step takes a letter. Rows that the steps
 have not told apart share a prefix: after ``length`` symbols these intervals
 are the repeated windows.
 """
@@ -40,27 +41,35 @@ def merge(shards: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
     before[ends - sizes] = ends - 1
     after = np.empty(n, dtype=np.int32)
     after[before] = np.arange(n, dtype=np.int32)
-    pair = (text.astype(np.uint16) << 8) | text[after]
-    back = before[before]
+    # letters[k]: ranks of the 2**k symbols from each position on; back[k]: the position as many before
+    words, ahead, back, letters = text.astype(np.uint64), after, [before], [text]
+    for k in range(3):
+        words = (words << np.uint64(8 << k)) | words[ahead]
+        ahead = ahead[ahead]
+        back.append(back[-1][back[-1]])
+        letters.append(None)
+    names, ranks = np.unique(words, return_inverse=True)
+    letters[3] = ranks.astype(np.uint16 if len(names) <= 65536 else np.uint32)
     rows = np.arange(n, dtype=np.int32)
     interval = np.zeros(n, dtype=np.int32)
 
     def refine(rows, interval, behind, symbol):
         rows = behind[rows]
         own = symbol[rows]
-        order = np.argsort(own, kind="stable")
+        if own.dtype.itemsize > 2:  # two stable passes of 16 bits
+            order = np.argsort((own & 0xFFFF).astype(np.uint16), kind="stable")
+            order = order[np.argsort((own[order] >> 16).astype(np.uint16), kind="stable")]
+        else:
+            order = np.argsort(own, kind="stable")
         rows, own, interval = rows[order], own[order], interval[order]
         fresh = np.zeros(n, dtype=np.int32)
         fresh[1:] = (own[1:] != own[:-1]) | (interval[1:] != interval[:-1])
         return rows, np.cumsum(fresh, dtype=np.int32)
 
-    depth = 0
-    if length % 2:
-        rows, interval = refine(rows, interval, before, text)
-        depth = 1
-    while depth < length and interval[-1] < n - 1:  # all apart: nothing repeats any further
-        rows, interval = refine(rows, interval, back, pair)
-        depth += 2
+    for step in [0] * (length % 8) + [3] * (length // 8):
+        if interval[-1] == n - 1:  # all apart: nothing repeats any further
+            break
+        rows, interval = refine(rows, interval, back[step], letters[step])
     return rows, interval
 
 
