@@ -17,7 +17,8 @@ from millrace.llm.vectors import clean, search
 
 #: The bound of the training sample: the vectors with the smallest hashed ids.
 SAMPLE = 4096
-POP8 = np.bitwise_count(np.arange(256, dtype=np.uint8))
+ALL8 = np.arange(256, dtype=np.uint8)
+POP8 = np.bitwise_count(ALL8).astype(np.int64)
 
 
 def learn(sample: np.ndarray, bits: int, rounds: int = 25, seed: int = 11) -> np.ndarray:
@@ -44,23 +45,23 @@ def encode(vectors: np.ndarray, projection: np.ndarray) -> np.ndarray:
 
 
 class MultiIndex:
-    """For each 8-bit substring, the rows sorted by its value, and where each value's rows lie."""
+    """For each 8-bit substring, the rows sorted by its value, and how many rows each value has."""
 
     def __init__(self, codes: np.ndarray):
         self.codes = codes
         self.wide = np.ascontiguousarray(codes).view(np.uint64)
         self.order = [np.argsort(codes[:, s], kind="stable") for s in range(codes.shape[1])]
-        self.bounds = [np.searchsorted(codes[o, s], np.arange(257)) for s, o in enumerate(self.order)]
+        self.sizes = [np.bincount(codes[:, s], minlength=256) for s in range(codes.shape[1])]
 
     def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Every row within ``radius``, by the pigeonhole principle, with its distance."""
         near = radius // len(self.order)
         held = np.zeros(len(self.codes), dtype=bool)
-        for s, (order, bounds) in enumerate(zip(self.order, self.bounds)):
+        for s, (order, sizes) in enumerate(zip(self.order, self.sizes)):
             # buckets within `near` bits; substring s gets one bit less once the radius is used up
             reach = near if s <= radius - near * len(self.order) else near - 1
-            for bucket in np.flatnonzero(POP8[np.arange(256) ^ int(code[s])] <= reach).tolist():
-                held[order[bounds[bucket] : bounds[bucket + 1]]] = True
+            wanted = POP8[ALL8 ^ code[s]] <= reach
+            held[order[np.repeat(wanted, sizes)]] = True
             if s % 4 == 3 and held.all():
                 break
         at = np.flatnonzero(held)
