@@ -72,9 +72,8 @@ def snippets(units: Units, windows: Windows):
         return empty, empty, empty, empty, empty, empty
     doc = np.repeat(np.arange(len(sizes)), runs)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs) + units.at[:-1][doc]
-    grams = np.arange(len(units.codes) - k + 1)
-    hashes = V.spans_hash(units.pre, grams, grams + k)
-    least = sliding_min((hashes & ~_POS) | grams.astype(np.uint64), length - k + 1)
+    hashes = V.runs_hash(units.pre, k)
+    least = sliding_min((hashes & ~_POS) | np.arange(len(hashes), dtype=np.uint64), length - k + 1)
     place = (least[start] & _POS).astype(np.int64)
     new = np.ones(len(start), dtype=bool)
     new[1:] = (place[1:] != place[:-1]) | (doc[1:] != doc[:-1])

@@ -6,8 +6,8 @@ own. A batch of shards is merged as Holt and McMillan (2014) merge two: start
 with the transforms one behind the other and refine the interleave step by
 step. A step reads the merged transform in the present order and deals every
 row out to its symbol, which orders the suffixes by one symbol more; no suffix
-is compared with another. Here eight symbols in a row are one letter of a larger
-alphabet, and a step takes a letter. Rows that the steps
+is compared with another. Here sixteen symbols in a row are one letter of a
+larger alphabet, and a step takes a letter. Rows that the steps
 have not told apart share a prefix: after ``length`` symbols these intervals
 are the repeated windows.
 """
@@ -50,6 +50,9 @@ def merge(shards: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
         letters.append(None)
     names, ranks = np.unique(words, return_inverse=True)
     letters[3] = ranks.astype(np.uint16 if len(names) <= 65536 else np.uint32)
+    names, ranks = np.unique((ranks.astype(np.uint64) << np.uint64(32)) | ranks[ahead].astype(np.uint64), return_inverse=True)
+    letters.append(ranks.astype(np.uint16 if len(names) <= 65536 else np.uint32))
+    back.append(back[3][back[3]])
     rows = np.arange(n, dtype=np.int32)
     interval = np.zeros(n, dtype=np.int32)
 
@@ -66,7 +69,7 @@ def merge(shards: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
         fresh[1:] = (own[1:] != own[:-1]) | (interval[1:] != interval[:-1])
         return rows, np.cumsum(fresh, dtype=np.int32)
 
-    for step in [0] * (length % 8) + [3] * (length // 8):
+    for step in [0] * (length % 8) + [3] * (length // 8 % 2) + [4] * (length // 16):
         if interval[-1] == n - 1:  # all apart: nothing repeats any further
             break
         rows, interval = refine(rows, interval, back[step], letters[step])

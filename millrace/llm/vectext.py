@@ -60,6 +60,13 @@ def spans_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix(raw + (end - start).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
+def runs_hash(pre: np.ndarray, size: int) -> np.ndarray:
+    """:func:`spans_hash` of all runs of ``size`` codes."""
+    n = len(pre) - size
+    _, down = powers(len(pre))
+    return mix((pre[size:] - pre[:n]) * down[:n] + _U(size * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
+
+
 def slices(docs: list[bytes], size: int = SLICE) -> Iterator[tuple[int, int]]:
     """Ranges of documents of about ``size`` bytes together."""
     lo, total = 0, 0
