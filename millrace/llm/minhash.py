@@ -29,7 +29,7 @@ _U = np.uint64
 #: none of 32 bands with probability 6e-11.
 SLOTS, ROWS = 128, 4
 #: Members of a bucket that are compared pairwise in one join, and of a chunk of larger buckets.
-SMALL, CHUNK = 48, 256
+SMALL, CHUNK = 48, 1024
 
 
 def shingle_sets(docs: list[bytes], width: int = 5) -> list[np.ndarray]:
