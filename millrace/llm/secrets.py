@@ -97,13 +97,13 @@ def found(text: Column, rule: Rule) -> Column:
     spans = F.transform(
         F.arrays_zip(begins.alias("b"), whole.alias("w"), judged.alias("j")),
         lambda x: F.struct(
-            x["b"].alias("start"), (x["b"] + F.length(x["w"])).alias("stop"), F.lit(nr).alias("nr"), F.lit(rule.kind).alias("kind"), F.length(x["j"]).alias("size")
+            x["b"].alias("start"), F.lit(nr).alias("nr"), (x["b"] + F.length(x["w"])).alias("stop"), F.lit(rule.kind).alias("kind"), F.length(x["j"]).alias("size")
         ),
     )
     return F.filter(spans, lambda x: x["size"] >= rule.least)
 
 
-NONE = "cast(array() as array<struct<start:bigint,stop:bigint,nr:int,kind:string,size:int>>)"
+NONE = "cast(array() as array<struct<start:bigint,nr:int,stop:bigint,kind:string,size:int>>)"
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -114,9 +114,11 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     empty. The input's columns stay, whatever they are called, under ``row``.
     """
     indexed = [r for r in rules if branches(r)]
-    body = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    hinted = candidates(body, rules).withColumn("hit", F.lit(True))
-    joined = body.join(hinted.hint("shuffle_hash"), "key", "left")
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key")
+    hinted = candidates(docs.select(key, F.coalesce("text", F.lit("")).alias("text")), rules).withColumn("hit", F.lit(True))
+    # the text travels once, within its row
+    joined = docs.select(F.struct("*").alias("row"), key).join(hinted.hint("shuffle_hash"), "key", "left")
+    joined = joined.withColumn("text", F.coalesce("row.text", F.lit("")))
     parts = []
     for r in rules:
         if r in indexed:
