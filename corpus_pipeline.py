@@ -12,6 +12,8 @@ from millrace.llm.common import stage, table
 
 #: The chance of the top grade that a document needs to stay.
 LEAST = 0.5
+#: The similarity, in percent, from which documents are near copies. op5's contract has 85.
+NEAR = 80
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,8 +23,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group, the one with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs).where("not kept").select("doc_id").distinct()
+    """One document of each group of links of ``NEAR`` percent or more, the one with the smallest doc_id."""
+    gone = minhash.near_duplicates(docs, NEAR).where("not kept").select("doc_id").distinct()
     left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
     return left.select(*docs.columns)
 

@@ -26,7 +26,7 @@ from millrace.llm.components import components
 
 _U = np.uint64
 #: Slots of a signature and rows of a band: at similarity 0.85 a pair shares
-#: none of 32 bands with probability 6e-11.
+#: none of 32 bands with probability 6e-11, at 0.80 with 4.7e-8.
 SLOTS, ROWS = 128, 4
 #: Members of a bucket that are compared pairwise in one join, and of a chunk of larger buckets.
 SMALL, CHUNK = 48, 1024
