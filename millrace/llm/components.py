@@ -48,7 +48,8 @@ def _contract(links: DataFrame) -> DataFrame:
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) for every node of ``links(a, b)``; the component is its
-    smallest node. Self-links and repeated links do no harm."""
+    smallest node. Self-links and repeated links do no harm. Links that have not
+    settled after ``rounds`` are an error."""
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges = stage(_contract(edges), "links")
     before = None
@@ -67,6 +68,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
         if now == before or now[0] == 0:
             break
         before = now
+    else:
+        raise RuntimeError(f"components: links still change after {rounds} rounds")
     return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component")).unionByName(
         edges.select(F.col("v").alias("node")).distinct().join(edges.select(F.col("u").alias("node")), "node", "left_anti").select("node", F.col("node").alias("component"))
     )
