@@ -11,6 +11,7 @@ verified with the whole expression, so a posting too many costs time only.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from itertools import product
 
@@ -61,6 +62,18 @@ def branches(rule: Rule) -> list[list[str]]:
     return [sorted({w[i : i + 3] for i in range(len(w) - 2)}) for w in words]
 
 
+#: One character class and a plus, whose matches are the class's runs.
+RUN = re.compile(r"\[\^?[^\[\]\\^]+\]\+")
+
+
+def least_run(rule: Rule) -> str:
+    """What a text must hold for a rule without trigrams: a run of ``least``
+    characters if the pattern is a single class, else the pattern itself."""
+    if rule.group == 0 and RUN.fullmatch(rule.pattern):
+        return rule.pattern[:-1] + "{%d}" % rule.least
+    return rule.pattern
+
+
 def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(trigram, key) for every trigram that a rule asks for and every text that holds it."""
     grams = sorted({g for r in rules for b in branches(r) for g in b})
@@ -124,8 +137,8 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if r in indexed:
             parts.append(F.when(F.col("hit"), found(F.col("text"), r)).otherwise(F.expr(NONE)))
         else:
-            # a run that is long enough; most texts have none
-            parts.append(F.when(F.col("text").rlike(r.pattern.rstrip("+") + "{%d}" % r.least), found(F.col("text"), r)).otherwise(F.expr(NONE)))
+            # most texts have none
+            parts.append(F.when(F.col("text").rlike(least_run(r)), found(F.col("text"), r)).otherwise(F.expr(NONE)))
     return joined.select("row", "text", F.array_sort(F.concat(*parts)).alias("spans"))
 
 
