@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,14 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where none is set."""
-    conf = spark.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or
+    the context's checkpoint folder. Where neither is set, a session on one
+    machine (``local[...]``, as in tests) gets a temporary one; on a cluster that
+    is an error, as executors would write to disks that others can't read."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
-        root = getattr(spark.sparkContext, "_millrace_shared", None)
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = getattr(context, "_millrace_shared", None)
         if root is None:
-            root = "file://" + tempfile.mkdtemp(prefix="millrace-")
-            spark.sparkContext._millrace_shared = root
+            root = context._millrace_shared = "file://" + tempfile.mkdtemp(prefix="millrace-")
+            atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
     return root.rstrip("/")
 
 
@@ -29,21 +37,42 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     This cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    The tables that a query's last plan reads stay until :func:`release`.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/millrace/{name}-{uuid.uuid4().hex}"
+    _staged(spark).add(path)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._millrace_stage = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def drop_stage(df: DataFrame) -> None:
     """Delete a table made by :func:`stage` that no later plan reads."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for file in df.inputFiles()[:1]:
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        if "/millrace/" in path.toString():
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    spark, path = df.sparkSession, getattr(df, "_millrace_stage", None)
+    if path:
+        _delete(spark, path)
+        _staged(spark).discard(path)
+
+
+def _staged(spark: SparkSession) -> set[str]:
+    if not hasattr(spark.sparkContext, "_millrace_staged"):
+        spark.sparkContext._millrace_staged = set()
+    return spark.sparkContext._millrace_staged
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all tables that this context's queries still hold in the shared
+    folder. Results that are not written or collected yet can't be read after it."""
+    for path in sorted(_staged(spark)):
+        _delete(spark, path)
+    _staged(spark).clear()
 
 
 def texts(df: DataFrame, *extra: str) -> DataFrame:

@@ -15,13 +15,16 @@ threshold is lost to it. All links are confirmed on full sets.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import vectext as V
-from millrace.llm.common import stage
+from millrace.llm.common import drop_stage, stage
 from millrace.llm.components import components
 
 _U = np.uint64
@@ -30,24 +33,47 @@ _U = np.uint64
 SLOTS, ROWS = 128, 4
 #: Members of a bucket that are compared pairwise in one join, and of a chunk of larger buckets.
 SMALL, CHUNK = 48, 1024
+#: Bytes of text whose pairs are confirmed at once; one pair at least.
+PAIRS = 1 << 22
 
 
 def shingle_sets(docs: list[bytes], width: int = 5) -> list[np.ndarray]:
-    """Sorted distinct 64-bit hashes of each text's shingles of lower-cased words."""
+    """Sorted distinct 64-bit hashes of each text's shingles of lower-cased words.
+
+    They serve signatures and sketches; links are confirmed on the shingles
+    themselves (:func:`numbered_sets`)."""
     out: list = []
     for lo, hi in V.slices(docs):
         words = V.Words(docs[lo:hi], lower=True)
-        pre = V.prefix(words.hashes())
+        h = words.hashes()
+        runs = V.runs_hash(h, width)
         for a, n in zip(words.first[:-1].tolist(), words.count.tolist()):
-            if n == 0:
-                out.append(np.zeros(0, dtype=np.uint64))
-                continue
-            size = min(width, n)
-            start = np.arange(a, a + n - size + 1)
-            out.append(np.unique(V.spans_hash(pre, start, start + size)))
+            if n >= width:
+                out.append(np.unique(runs[a : a + n - width + 1]))
+            else:
+                out.append(V.runs_hash(h[a : a + n], n) + _U(n) if n else np.zeros(0, dtype=np.uint64))
     return out
 
 
+def numbered_sets(docs: list[bytes], width: int = 5) -> list[np.ndarray]:
+    """Sorted distinct numbers of each text's shingles: among these texts, equal
+    numbers mean equal words in equal order. Nothing is hashed."""
+    names: dict[bytes, int] = {}
+    rows, starts, at = [], [], 0
+    for doc in docs:
+        words = doc.lower().split()  # both know the same six blanks and A-Z only
+        rows += [names.setdefault(w, len(names) + 1) for w in words] + [0] * width  # 0: no word
+        starts.append((at, max(1, len(words) - width + 1) if words else 0))
+        at += len(words) + width
+    rank, have = np.array(rows, dtype=np.int64), 1
+    while have < width:  # rank runs of words by the ranks of their halves
+        step = min(have, width - have)
+        pairs = rank[: len(rank) - step] * (int(rank.max(initial=0)) + 1) + rank[step:]
+        rank = np.unique(pairs, return_inverse=True)[1]
+        have += step
+    return [np.unique(rank[a : a + n]) for a, n in starts]
+
+
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
     """SuperMinHash signatures as uint32: the step above 24 random bits."""
     counts = np.array([len(s) for s in sets], dtype=np.int64)
@@ -120,32 +146,30 @@ SETS = "doc_id long, n long, h1 long, h2 long, sketch binary, bands array<long>"
 
 
 def described(docs: DataFrame, width: int) -> DataFrame:
-    """SETS of every row: size and digest of its set, sketch and band hashes."""
+    """SETS of every row: size of its set, 128-bit BLAKE2b digest of its words, sketch and band hashes."""
 
     def run(batches):
         for b in batches:
-            ids, bodies = b.column(0), [x.encode() for x in b.column(1).to_pylist()]
-            at = 0
-            for lo, hi in V.slices(bodies):
-                sets = shingle_sets(bodies[lo:hi], width)
+            for lo, hi, bodies in V.parts(b.column(1)):
+                sets = shingle_sets(bodies, width)
                 h = bands(signatures(sets))
-                sums = [(int(s.sum(dtype=np.uint64)), int(V.mix(s ^ _U(0x5851F42D4C957F2D)).sum(dtype=np.uint64))) for s in sets]
+                sums = b"".join(hashlib.blake2b(b" ".join(x.lower().split()), digest_size=16).digest() for x in bodies)
+                sums = np.frombuffer(sums, dtype="<i8").reshape(-1, 2)
                 columns = [
-                    ids.slice(at, hi - lo),
+                    b.column(0).slice(lo, hi - lo),
                     pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array(np.array([x for x, _ in sums], dtype=np.uint64).view(np.int64)),
-                    pa.array(np.array([x for _, x in sums], dtype=np.uint64).view(np.int64)),
+                    pa.array(sums[:, 0].copy()),
+                    pa.array(sums[:, 1].copy()),
                     pa.array([sketch(s) if len(s) else None for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * h.shape[1], pa.int32()), pa.array(h.ravel())),
                 ]
-                at += hi - lo
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h1", "h2", "sketch", "bands"])
 
     return docs.mapInArrow(run, SETS)
 
 
-def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int) -> DataFrame:
-    """The pairs (a, b) whose full sets reach the similarity."""
+def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, width: int, held: list[DataFrame]) -> DataFrame:
+    """The pairs (a, b) whose full sets reach the similarity; ``held`` gets the table that is read for it."""
 
     def bound(batches):
         for b in batches:
@@ -160,19 +184,24 @@ def similar(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, w
     def confirm(batches):
         for b in batches:
             a, z = b.column(0).to_numpy(), b.column(1).to_numpy()
-            bodies = b.column(2).to_pylist() + b.column(3).to_pylist()
-            distinct = {t: i for i, t in enumerate(dict.fromkeys(bodies))}
-            sets = shingle_sets([t.encode() for t in distinct], width)
+            sizes = pc.binary_length(b.column(2)).to_numpy(zero_copy_only=False).astype(np.int64) + pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False)
+            part = np.cumsum(sizes) // PAIRS
+            edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(a)] if len(a) else [0]
             keep = np.zeros(len(a), dtype=bool)
-            for i in range(len(a)):
-                x, y = sets[distinct[bodies[i]]], sets[distinct[bodies[len(a) + i]]]
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * both >= percent * (len(x) + len(y) - both)
+            for lo, hi in zip(edges, edges[1:]):
+                own = [x for c in (2, 3) for x in b.column(c).slice(lo, hi - lo).cast(pa.binary()).to_pylist()]
+                distinct = {t: i for i, t in enumerate(dict.fromkeys(own))}
+                sets = numbered_sets(list(distinct), width)
+                for i in range(hi - lo):
+                    x, y = sets[distinct[own[i]]], sets[distinct[own[hi - lo + i]]]
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    keep[lo + i] = both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
             yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(z[keep])], ["a", "b"])
 
     side = lambda k: nodes.select(F.col("doc_id").alias(k), F.col("n").alias(f"n_{k}"), F.col("sketch").alias(f"s_{k}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     passing = stage(sized.select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(bound, "a long, b long").distinct(), "pairs")
+    held.append(passing)
     body = lambda k: docs.where("doc_id is not null").select(F.col("doc_id").alias(k), F.col("text").alias(f"t_{k}"))
     whole = body("a").join(passing.hint("shuffle_hash"), "a").join(body("b"), "b").select("a", "b", "t_a", "t_b")
     return whole.mapInArrow(confirm, "a long, b long").distinct()
@@ -238,37 +267,45 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5) ->
 
     Words are runs without ASCII white space, A-Z lower-cased; a text of fewer
     than ``width`` words is one shingle; without words, or null, the set is
-    empty and links with nothing. Sets are told apart, and compared, by 64-bit
-    hashes of their shingles. Equal sets form a class at once; links between
-    classes need ``100 * intersection >= percent * union``. Rows with one
+    empty and links with nothing. Texts of equal words form a class at once, by
+    128-bit digests; links between classes need
+    ``100 * intersection >= percent * union`` of their real shingles. Rows with one
     doc_id are one node and share its component. Rows without doc_id link with
     nothing: component_id null, kept true. Other columns are not read.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    held: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        held.append(stage(df, name))
+        return held[-1]
+
     sets = stage(described(docs, width), "sets")
     full = sets.where("n > 0 and doc_id is not null")
     digest = ["n", "h1", "h2"]
     classes = full.groupBy(*digest).agg(F.min("doc_id").alias("rep"))
     reps = classes.withColumnRenamed("rep", "doc_id")
-    nodes = stage(full.join(reps.hint("shuffle_hash"), [*digest, "doc_id"], "left_semi").dropDuplicates([*digest, "doc_id"]), "nodes")
+    nodes = keep(full.join(reps.hint("shuffle_hash"), [*digest, "doc_id"], "left_semi").dropDuplicates([*digest, "doc_id"]), "nodes")
     buckets = nodes.select("doc_id", F.explode("bands").alias("bucket"))
     sizes = buckets.groupBy("bucket").agg(F.count("*").alias("size"), F.min("doc_id").alias("center")).where("size > 1")
-    members = stage(buckets.join(sizes, "bucket"), "members")
+    members = keep(buckets.join(sizes, "bucket"), "members")
 
-    links = stage(similar(members.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), nodes, docs, percent, width), "links")
-    # ids that stand for several sets tie their classes together
-    several = full.join(classes, digest).groupBy("doc_id").agg(F.min("rep").alias("low"), F.max("rep").alias("high"), F.collect_set("rep").alias("reps")).where("low <> high")
-    links = links.unionByName(several.select(F.col("doc_id").alias("a"), F.explode("reps").alias("b")))
+    links = keep(similar(members.where("doc_id <> center").select(F.col("center").alias("a"), F.col("doc_id").alias("b")).distinct(), nodes, docs, percent, width, held), "links")
+    # ids that stand for several texts tie their classes together
+    key = F.struct(*digest)
+    several = full.groupBy("doc_id").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low <> high").select("doc_id")
+    tied = full.select("doc_id", *digest).join(several, "doc_id").join(classes, digest)
+    links = links.unionByName(tied.select(F.col("doc_id").alias("a"), F.col("rep").alias("b")))
 
     def apart(links: DataFrame) -> DataFrame:
         """Members of buckets that hold more than one component, with c."""
         comp = components(links)
         tagged = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "size", F.coalesce("component", "doc_id").alias("c"))
-        tagged = stage(tagged, "tagged")
+        tagged = keep(tagged, "tagged")
         split = tagged.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
         return tagged.join(split, "bucket")
 
-    left = stage(apart(links), "apart")
+    left = keep(apart(links), "apart")
     few, many = left.where(f"size <= {SMALL}"), left.where(f"size > {SMALL}")
     other = few.select("bucket", F.col("doc_id").alias("b"), F.col("c").alias("c_b"))
     pairs = few.select("bucket", F.col("doc_id").alias("a"), F.col("c").alias("c_a")).join(other, "bucket").where("a < b and c_a <> c_b").select("a", "b").distinct()
@@ -276,11 +313,13 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5) ->
     facts = nodes.select("doc_id", "n", "sketch")
     if hot:
         pairs = pairs.unionByName(chunk_pairs(many.join(facts, "doc_id"), percent, False)).distinct()
-    links = stage(links.unionByName(similar(pairs, nodes, docs, percent, width)), "links")
+    links = keep(links.unionByName(similar(pairs, nodes, docs, percent, width, held)), "links")
     if hot:
         rest = apart(links).where(f"size > {SMALL}")
-        links = stage(links.unionByName(similar(chunk_pairs(rest.join(facts, "doc_id"), percent, True), nodes, docs, percent, width)), "links")
+        links = keep(links.unionByName(similar(chunk_pairs(rest.join(facts, "doc_id"), percent, True), nodes, docs, percent, width, held)), "links")
     comp = stage(components(links), "components")
+    for df in held:
+        drop_stage(df)
     named = classes.join(comp, F.col("rep") == F.col("node"), "left").select(*digest, F.coalesce("component", "rep").alias("component_id"))
     out = sets.select("doc_id", *digest).join(named, digest, "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)

@@ -177,16 +177,17 @@ def train(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Mode
 
     def describe(batches):
         for b in batches:
-            bodies = [x.encode() for x in b.column(1).to_pylist()]
-            doc, word, form = features(bodies)
-            order = np.argsort(doc, kind="stable")
-            cuts = np.searchsorted(doc[order], np.arange(len(bodies) + 1))
-            word = word[order].astype("<u4")
-            packed = [word[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), pa.array([_digest(x) for x in bodies], pa.int64()), pa.array(packed, pa.binary()), pa.array([f.tobytes() for f in form], pa.binary())],
-                ["doc_id", "grade", "text", "words", "form"],
-            )
+            for lo, hi, bodies in V.parts(b.column(1)):
+                doc, word, form = features(bodies)
+                order = np.argsort(doc, kind="stable")
+                cuts = np.searchsorted(doc[order], np.arange(len(bodies) + 1))
+                word = word[order].astype("<u4")
+                packed = [word[a:z].tobytes() for a, z in zip(cuts, cuts[1:])]
+                own = [b.column(0).slice(lo, hi - lo), b.column(2).slice(lo, hi - lo), pa.array([_digest(x) for x in bodies], pa.int64())]
+                yield pa.RecordBatch.from_arrays(
+                    [*own, pa.array(packed, pa.binary()), pa.array([f.tobytes() for f in form], pa.binary())],
+                    ["doc_id", "grade", "text", "words", "form"],
+                )
 
     def solve(batches):
         tables = [pa.Table.from_batches([b]) for b in batches]
@@ -221,9 +222,10 @@ def grade(documents: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            tails = model.tails([x.encode() for x in b.column(1).to_pylist()])
-            columns = [b.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= least)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "p_grade_1", "p_grade_2", "keep"])
+            for lo, hi, bodies in V.parts(b.column(1)):
+                tails = model.tails(bodies)
+                columns = [b.column(0).slice(lo, hi - lo), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1]), pa.array(tails[:, 1] >= least)]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "expected_grade", "p_grade_1", "p_grade_2", "keep"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, GRADES)
 
@@ -234,7 +236,8 @@ def accepted(documents: DataFrame, model: Model, least: float = 0.5) -> DataFram
 
     def run(batches):
         for b in batches:
-            tails = model.tails([(x or "").encode() for x in b.column(at).to_pylist()])
-            yield b.filter(pa.array(tails[:, 1] >= least))
+            for lo, hi, bodies in V.parts(b.column(at)):
+                tails = model.tails(bodies)
+                yield b.slice(lo, hi - lo).filter(pa.array(tails[:, 1] >= least))
 
     return documents.mapInArrow(run, documents.schema)

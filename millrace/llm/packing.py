@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import vectext as V
 from millrace.llm.common import stage
 from millrace.llm.tokens import byte_bpe_ids
 
@@ -26,14 +27,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int = 0) -> D
 
     def cut(batches):
         for b in batches:
-            rows: list[tuple] = []
-            for doc, ids in zip(b.column(0).to_pylist(), byte_bpe_ids([x.encode() for x in b.column(1).to_pylist()], tokenizer)):
-                ids = np.append(ids, end_id).astype("<u4")
-                edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
-                rows += [(doc, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(edges, edges[1:]))]
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
+            for lo, hi, bodies in V.parts(b.column(1)):
+                rows: list[tuple] = []
+                for doc, ids in zip(b.column(0).slice(lo, hi - lo).to_pylist(), byte_bpe_ids(bodies, tokenizer)):
+                    ids = np.append(ids, end_id).astype("<u4")
+                    edges = [0, *range(len(ids) % capacity or capacity, len(ids) + 1, capacity)]
+                    rows += [(doc, k, a, z - a, zlib.crc32(ids[a:z].tobytes())) for k, (a, z) in enumerate(zip(edges, edges[1:]))]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+                columns = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     body = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     return body.mapInArrow(cut, PIECES)

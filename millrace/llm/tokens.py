@@ -9,7 +9,7 @@ keeps a bounded memo of segments and asks the library for the others:
 * the byte-level model's own pattern cuts the text into pieces.
 
 Texts that leave the ground on which the cut is proved (see ``_plain``) go to
-the library whole. Segments are told apart by 64-bit hashes.
+the library whole. The memo tells segments apart by their bytes.
 """
 
 from __future__ import annotations
@@ -59,14 +59,12 @@ def sentencepiece_counts(docs: list[bytes], path: str) -> np.ndarray:
         begin[at[:-1]] = True
         start = np.flatnonzero(begin)
         end = np.append(start[1:], len(buf))
-        keys = V.spans_hash(V.prefix(V.CODES[buf]), start, end)
 
-        def count(which, start=start, end=end, joined=joined):
+        def count(segments):
             # the library puts one word mark before each text itself
-            cut = [joined[s + 1 : e].decode() for s, e in zip(start[which].tolist(), end[which].tolist())]
-            return [max(1, len(x)) for x in sp.encode(cut, num_threads=1)]
+            return [max(1, len(x)) for x in sp.encode([x[1:].decode() for x in segments], num_threads=1)]
 
-        sizes = memo.sizes(keys, count)
+        sizes = memo.sizes(joined, start, end, count)
         first = np.searchsorted(start, at[:-1])
         out[rows[lo:hi]] = np.add.reduceat(sizes, first)
     return out
@@ -103,8 +101,9 @@ def count_tokens(docs: DataFrame, model: str, cache: str | None = None, limit: i
 
     def encode(batches):
         for b in batches:
-            got = sentencepiece_counts([x.encode() for x in b.column(1).to_pylist()], model)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got)], ["digest", "n_tokens"])
+            for lo, hi, bodies in V.parts(b.column(1)):
+                got = sentencepiece_counts(bodies, model)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(got)], ["digest", "n_tokens"])
 
     new = wanted.mapInArrow(encode, "digest binary, n_tokens long").groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     new.select("digest", F.lit(version).alias("tokenizer"), "n_tokens").write.mode("append").parquet(cache)
@@ -215,13 +214,7 @@ def byte_bpe_ids(docs: list[bytes], path: str) -> list[np.ndarray]:
         at = np.cumsum([0] + [len(d) for d in part])
         start = piece_starts(buf, at)
         end = np.append(start[1:], len(buf))
-        keys = V.spans_hash(V.prefix(V.CODES[buf]), start, end)
-
-        def encode(which, start=start, end=end, joined=joined):
-            cut = [joined[s:e] for s, e in zip(start[which].tolist(), end[which].tolist())]
-            return [single(x) for x in cut]
-
-        size, ids = memo.ids(keys, encode)
+        size, ids = memo.ids(joined, start, end, lambda segments: [single(x) for x in segments])
         edge = np.concatenate([[0], np.cumsum(size)])[np.searchsorted(start, at[1:-1])].astype(np.int64)
         for i, one in zip(rows[lo:hi], np.split(ids, edge)):
             out[i] = one

@@ -109,3 +109,29 @@ def test_components_of_chains_and_hubs(spark):
     links = [(i, i + 1) for i in range(200, 400)] + [(1, k) for k in range(500, 900)] + [(7, 7)]
     got = dict(tuple(r) for r in components(spark.createDataFrame(links, "a long, b long").repartition(7)).collect())
     assert got == {i: 200 for i in range(200, 401)} | {k: 1 for k in [1, *range(500, 900)]}
+
+
+def test_real_shingles_decide(spark):
+    """A long word and its Thue-Morse complement, and shingles numbered without hashes."""
+    from tests.llm.test_tokens import thue_morse
+
+    r = random.Random(5)
+    texts = [" ".join(r.choices(["a", "B", "c", "É", "x\x1cy"], k=r.randint(0, 40))) for _ in range(60)]
+    sets = [set(s.tolist()) for s in minhash.numbered_sets([t.encode() for t in texts])]
+    real = [brute_set(t) for t in texts]
+    for i in range(60):
+        for j in range(i):
+            assert len(sets[i] & sets[j]) == len(real[i] & real[j])
+    rows = []
+    for n in (1024, 4096):
+        for letters in ("ab", "ba"):
+            rows.append((len(rows), " ".join(thue_morse(n, letters) + str(k % 3) for k in range(30)), 0))
+            rows.append((len(rows), thue_morse(n, letters), 0))
+    check(spark, rows)
+
+
+def test_long_texts(spark):
+    r = random.Random(6)
+    long = [f"w{r.randrange(5000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(long), 0), (2, " ".join(long[:110_000]), 0), (3, "q" * 1_000_000, 0), (4, " ".join(long[50_000:]), 0), (5, "Q" * 1_000_000, 0)]
+    check(spark, rows)

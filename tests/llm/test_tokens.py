@@ -34,9 +34,28 @@ def test_byte_ids_are_the_librarys():
 def test_memo_starts_anew_when_full():
     from millrace.llm.vectext import Memo
 
-    memo = Memo(bits=4, pool=10)
-    keys = np.arange(1, 40, dtype=np.uint64)
+    memo = Memo(bits=4, pool=10, most=3)
+    segments = [b"%d" % i * (1 + i % 4 * 7) for i in range(1, 40)] * 2
+    raw, end = b"".join(segments), np.cumsum([len(x) for x in segments])
+    start = end - np.array([len(x) for x in segments])
     for _ in range(3):
-        size, ids = memo.ids(keys, lambda which: [[int(i)] * (int(i) % 3) for i in which])
-        assert size.tolist() == [i % 3 for i in range(39)]
-        assert ids.tolist() == [i for i in range(39) for _ in range(i % 3)]
+        size, ids = memo.ids(raw, start, end, lambda asked: [[x[0]] * (len(x) % 3) for x in asked])
+        assert size.tolist() == [len(x) % 3 for x in segments]
+        assert ids.tolist() == [x[0] for x in segments for _ in range(len(x) % 3)]
+        assert memo.sizes(raw, start, end, lambda asked: [len(x) % 3 for x in asked]).tolist() == size.tolist()
+        memo = Memo(bits=4, pool=10, most=3)
+
+
+def thue_morse(n, letters="ab"):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("n", [64, 1024, 4096])
+@pytest.mark.parametrize("letters", ["ab", "ba", "xq", "tz"])
+def test_words_that_share_polynomial_hashes_keep_their_own_tokens(n, letters):
+    """The sequence and its complement have one value under every polynomial modulo 2**64."""
+    texts = [thue_morse(n, letters), thue_morse(n, letters[::-1]), "so " + thue_morse(n, letters), "so " + thue_morse(n, letters[::-1])]
+    bodies = [x.encode() for x in texts]
+    sp, bpe = sentencepiece.SentencePieceProcessor(model_file=SP), Tokenizer.from_file(BPE)
+    assert tokens.sentencepiece_counts(bodies, SP).tolist() == [len(sp.encode(x)) for x in texts]
+    assert [x.tolist() for x in tokens.byte_bpe_ids(bodies, BPE)] == [bpe.encode(x, add_special_tokens=False).ids for x in texts]
