@@ -1,11 +1,12 @@
 """Substring deduplication with suffix automata.
 
 The references that a text could repeat are the variants around its anchors
-(:mod:`millrace.llm.repeats`). Those of one anchor are a reference shard: its
-automaton is built where the shard lies, since the corpus's references grow
-with the corpus and are no broadcast of bounded size. In the order of the
-corpus each variant is streamed through the automaton, whose matching
-statistics tell which of its windows occurred before, and is then added to it.
+(:mod:`millrace.llm.repeats`). Those of one anchor, or of one surrounding of a
+frequent anchor, are a reference shard: its automaton is built where the shard
+lies, since the corpus's references grow with the corpus and are no broadcast
+of bounded size. In the order of the corpus each variant is streamed through
+the automaton, whose matching statistics tell which of its windows occurred
+before, and is then added to it.
 """
 
 from __future__ import annotations
@@ -75,35 +76,40 @@ class SuffixAutomaton:
         return out
 
 
-#: States of an automaton beyond which a new one is begun for the same anchor.
+#: States of an automaton beyond which a new one is begun for the same shard.
 STATES = 200_000
 
 
 def first_seen(variants: DataFrame, windows: Windows) -> DataFrame:
-    """digest and mask: windows of each variant that an earlier variant holds."""
+    """d1, d2 and masks: windows of each variant that an earlier one of its shards holds.
+
+    The symbols of the automata are the words themselves."""
 
     def run(batches):
-        anchor, shards = None, []
+        shard, automata = None, []
         for b in batches:
             out = []
-            for a, digest, n, body in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3))):
-                if a != anchor:
-                    anchor, shards = a, [SuffixAutomaton()]
-                text = np.frombuffer(body, np.int64).tolist()
+            for s, d1, d2, n, body in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if s != shard:
+                    shard, automata = s, [SuffixAutomaton()]
+                text = body.split(b" ")
                 flags = np.zeros(n, dtype=np.uint8)
-                for shard in shards:
-                    flags |= np.array(shard.matching(text)[windows.length - 1 :]) >= windows.length
+                for one in automata:
+                    if len(one.size) > 1:
+                        flags |= np.array(one.matching(text)[windows.length - 1 :]) >= windows.length
                 if flags.any():
-                    out.append((digest, np.packbits(flags).tobytes()))
+                    out.append((d1, d2, np.packbits(flags).tobytes()))
                 if not flags.all():
-                    if len(shards[-1].size) > STATES:
-                        shards.append(SuffixAutomaton())
-                    shards[-1].add(text)
-            columns = list(zip(*out)) or [()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["digest", "mask"])
+                    if len(automata[-1].size) > STATES:
+                        automata.append(SuffixAutomaton())
+                    automata[-1].add(text)
+            columns = list(zip(*out)) or [()] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], ["d1", "d2", "mask"])
 
-    ordered = variants.repartition("anchor").sortWithinPartitions("anchor", "key", "lo").select("anchor", "digest", "n", "body")
-    return ordered.mapInArrow(run, "digest long, mask binary")
+    # an anchor's only snippet has nothing to be held against
+    met = variants.repartition("shard").sortWithinPartitions("shard", "last", "key", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)), "at")
+    marks = met.select("shard", "d1", "d2", "n", "body").mapInArrow(run, "d1 long, d2 int, mask binary")
+    return marks.groupBy("d1", "d2").agg(F.collect_list("mask").alias("masks"))  # two at most
 
 
 REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:long,stop:long>>"
@@ -114,34 +120,33 @@ def dedupe(documents: DataFrame, length: int = 20, k: int = 6) -> DataFrame:
 
     A word goes if a window of ``length`` words that covers it starts earlier
     too: in a smaller doc_id, or earlier in this document. A null text has no
-    words. Rows with one doc_id count as one document, so equal rows with one
-    doc_id are judged alike; rows without doc_id come last. Words and windows
-    are told apart by 64-bit hashes. Other columns are not read.
+    words. Rows that agree in doc_id and text count as one document and are
+    judged alike; other rows of one doc_id follow each other by a checksum of
+    their texts; rows without doc_id come last, by a hash of theirs. Equal snippets are told
+    by 96-bit digests, all others by their words. Other columns are not read.
     """
     windows = Windows("word", length, k)
     docs = repeats.keyed(documents)
     bodies = docs.repartition("key")
     found = repeats.repeated(docs, windows)
-    masks = first_seen(repeats.variant_texts(bodies, found, windows), windows)
-    rows = found.join(masks, "digest", "left")
-    none = F.lit(b"\0" * -(-(length - k + 1) // 8))
-    verdicts = rows.where("times > 1 or mask is not null").select(
-        "digest", "n", F.col("key").alias("keep_key"), F.col("lo").alias("keep_lo"), F.coalesce("mask", none).alias("mask")
+    masks = first_seen(repeats.variant_texts(bodies, found.where("variants > 1"), windows), windows)
+    rows = found.join(masks, ["d1", "d2"], "left")
+    none = F.array(F.lit(b"\0" * -(-(length - k + 1) // 8)))
+    verdicts = rows.where("times > 1 or masks is not null").select(
+        "d1", "d2", "n", "times", F.col("key").alias("keep_key"), F.col("at").alias("keep_at"), F.coalesce("masks", none).alias("masks")
     )
 
     def report(key, body, marked):
-        words = [w for w in body.translate(_BLANK).split(b" ") if w]
+        words = body.split()
         gone = repeats.cover(len(words), marked, length)
         edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
-        kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g)
+        kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if edge else b" ".join(words)
         spans = [{"first": a, "stop": b} for a, b in zip(edge[::2], edge[1::2])]
         return {"doc_id": key, "n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "removed": spans}
 
     return repeats.judged(docs, bodies, verdicts, windows, report, REPORT)
 
 
-_BLANK = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
-
 ORACLE = r"""
 WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM w WHERE len(w) >= 20),

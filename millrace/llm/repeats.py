@@ -4,30 +4,42 @@ A window of ``length`` units (words or bytes) is represented by its anchor, the
 run of ``k`` units in it whose hash is smallest (leftmost of equals). Equal
 windows have equal anchors at equal places, so a window's other occurrences
 are all found around the other occurrences of its anchor. Consecutive windows
-with one anchor make a snippet of at most ``2 * length - k`` units. Snippets
-with one digest are equal; different snippets of one anchor are variants, whose
+with one anchor make a snippet of at most ``2 * length - k`` units. Equal
+snippets are told by a 96-bit BLAKE2b digest of their bytes and become one row
+with the number of times; different snippets of one anchor are variants, whose
 texts have to be compared. No more than that is ever moved: anchors and digests
-for all windows, texts for variants only.
+for all windows, texts for repeated anchors only.
+
+Hot keys: anchors that a sample of documents shows to be frequent are dealt out
+by digest, and their variants meet in shards of their own surroundings
+(:func:`surroundings`); digests of very many places are salted.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import vectext as V
-from millrace.llm.common import stage
+from millrace.llm.common import drop_stage, stage
 
 _U = np.uint64
 _POS = _U((1 << 28) - 1)
-LAST = 2**63 - 1
+#: Bytes of text whose arrays are in memory at once, and units beyond which a document is cut into overlapping parts.
+SLICE, PART = 1 << 19, 1 << 22
+#: One document of so many tells which anchors are hot: those with at least HOT places in the sample.
+SAMPLE, HOT = 32, 64
+#: Variants of an anchor that meet in one shard; anchors of more meet by their surroundings.
+MANY = 64
+#: A digest with over one in DEALT of all snippets' places is salted by SALTS.
+DEALT, SALTS = 4096, 64
 
 
 @dataclass(frozen=True)
@@ -50,29 +62,72 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 class Units:
-    """The units of some texts as one sequence of 64-bit codes; ``at`` has each text's first unit and the end."""
+    """The units of some texts as one sequence; ``at`` has each text's first unit and the end.
+
+    ``raw`` has their bytes; the texts of words are joined by single spaces
+    first (:func:`normal`), so a run of units is a run of bytes."""
 
     def __init__(self, docs: list[bytes], unit: str):
+        self.unit = unit
         if unit == "word":
-            self.words = V.Words(docs)
-            self.codes, self.at = self.words.hashes(), self.words.first
+            words = V.Words(docs)
+            self.raw = words.buf.tobytes()
+            self.begin, self.stop, self.at = words.start, words.end, words.first
+            self._words = words
         else:
-            self.buf = np.frombuffer(b"".join(docs), dtype=np.uint8)
-            self.codes, self.at = V.CODES[self.buf], np.cumsum([0] + [len(d) for d in docs])
-        self.pre = V.prefix(self.codes)
+            self.raw = b"".join(docs) + V.PAD
+            self.at = np.cumsum([0] + [len(d) for d in docs])
+
+    def runs(self, k: int) -> np.ndarray:
+        """Hashes of all runs of ``k`` units."""
+        if self.unit == "word":
+            return V.runs_hash(self._words.hashes(), k)
+        n = int(self.at[-1])
+        eight = V.eights(np.frombuffer(self.raw, dtype=np.uint8))[:n]
+        have = min(8, k)
+        h = V.mix(eight & V.KEPT[have])
+        while have < k:
+            step = min(have, k - have)
+            h = V.combine(h[:-step], h[step:]) if len(h) > step else h[:0]
+            have += step
+        return h[: max(0, n - k + 1)]
+
+    def span(self, lo, units):
+        """First byte and end of the run of so many units from ``lo`` on; also of arrays."""
+        return (self.begin[lo], self.stop[lo + units - 1]) if self.unit == "word" else (lo, lo + units)
+
+    def body(self, lo: int, units: int) -> bytes:
+        a, z = self.span(lo, units)
+        return self.raw[a:z]
+
+
+def normal(doc: bytes, unit: str) -> bytes:
+    """The text as its units are read: words joined by single spaces."""
+    return b" ".join(doc.split()) if unit == "word" else doc
+
+
+def parted(doc: bytes, windows: Windows):
+    """(first unit, text) of the parts of a long text; each window lies in just one of them."""
+    if len(doc) <= PART:
+        yield 0, doc
+        return
+    seq = doc.split(b" ") if windows.unit == "word" else doc
+    for lo in range(0, max(1, len(seq) - windows.length + 1), PART):
+        part = seq[lo : lo + PART + windows.length - 1]
+        yield lo, b" ".join(part) if windows.unit == "word" else part
 
 
 def snippets(units: Units, windows: Windows):
-    """Arrays doc, lo (unit within the text), n (windows), off (anchor within the snippet), anchor, digest."""
+    """Arrays doc, lo (unit of the sequence), n (windows), off (anchor within the snippet), anchor."""
     length, k = windows.length, windows.k
     sizes = np.diff(units.at)
     runs = np.maximum(0, sizes - length + 1)
     if not runs.sum():
         empty = np.zeros(0, dtype=np.int64)
-        return empty, empty, empty, empty, empty, empty
+        return empty, empty, empty, empty, empty
     doc = np.repeat(np.arange(len(sizes)), runs)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(runs) - runs, runs) + units.at[:-1][doc]
-    hashes = V.runs_hash(units.pre, k)
+    hashes = units.runs(k)
     least = sliding_min((hashes & ~_POS) | np.arange(len(hashes), dtype=np.uint64), length - k + 1)
     place = (least[start] & _POS).astype(np.int64)
     new = np.ones(len(start), dtype=bool)
@@ -80,112 +135,156 @@ def snippets(units: Units, windows: Windows):
     first = np.flatnonzero(new)
     lo, p = start[first], place[first]
     n = np.diff(np.append(first, len(start)))
-    return doc[first], lo - units.at[:-1][doc[first]], n, p - lo, hashes[p].view(np.int64), digests(units, lo, n, p - lo, length)
+    return doc[first], lo, n, p - lo, hashes[p].view(np.int64)
 
 
-def digests(units: Units, lo: np.ndarray, n: np.ndarray, off: np.ndarray, length: int) -> np.ndarray:
-    """Digests of snippets that begin at these units of the sequence."""
-    return V.mix(V.spans_hash(units.pre, lo, lo + n - 1 + length) + off.astype(np.uint64)).view(np.int64)
+def digests(units: Units, lo: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """96-bit digests of the snippets' bytes, as 64 and 32 bits."""
+    raw, blake = units.raw, hashlib.blake2b
+    begin, stop = units.span(lo, n + length - 1)
+    got = b"".join([blake(raw[a:z], digest_size=12).digest() for a, z in zip(begin.tolist(), stop.tolist())])
+    words = np.frombuffer(got, dtype="<i4").reshape(-1, 3)
+    return np.ascontiguousarray(words[:, :2]).view("<i8").ravel(), words[:, 2].copy()
 
 
-#: Bytes of text whose arrays are in memory at once.
-SLICE = 1 << 19
+def _tie(doc: bytes, last: bool) -> int:
+    """32 bits: a checksum of the text, and whether the row has no doc_id."""
+    return zlib.crc32(doc) >> 1 << 1 | bool(last)
 
 
 def _batches(batches, windows: Windows):
-    """(keys, texts, snippets) of slices of batches with columns key and text."""
+    """Keys, places (unit within the text, tie), and the rest of what
+    :func:`snippets` gives, for slices of batches with columns key, last and text."""
     for b in batches:
-        keys, text = b.column(0).to_numpy(), b.column(1)
-        part = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False)) // SLICE
-        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(text)]
-        for lo, hi in zip(edges, edges[1:]):
-            if hi > lo:
-                bodies = [x.encode() for x in text.slice(lo, hi - lo).to_pylist()]
-                yield keys[lo:hi], bodies, snippets(Units(bodies, windows.unit), windows)
+        for lo, hi, texts in V.parts(b.column(2), SLICE):
+            keys, last = b.column(0).slice(lo, hi - lo).to_numpy(), b.column(1).slice(lo, hi - lo).to_pylist()
+            own, base, ties, bodies = [], [], [], []
+            for i, text in enumerate(texts):
+                tie, body = _tie(text, last[i]), normal(text, windows.unit)
+                for first, part in parted(body, windows):
+                    own.append(i)
+                    base.append(first)
+                    ties.append(tie)
+                    bodies.append(part)
+            own, base, ties = np.array(own), np.array(base, dtype=np.int64), np.array(ties, dtype=np.int64)
+            for a, z in V.slices(bodies, SLICE):
+                units = Units(bodies[a:z], windows.unit)
+                doc, at, n, off, anchor = snippets(units, windows)
+                place = (at - units.at[:-1][doc] + base[a:z][doc]) << 32 | ties[a:z][doc]
+                yield keys[own[a:z][doc]], place, n, off, anchor, *digests(units, at, n, windows.length)
 
 
 def keyed(documents: DataFrame) -> DataFrame:
-    """key (the doc_id; rows without one come last) and text (null: empty)."""
-    return documents.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    """key (the doc_id, else a hash of the text), last (no doc_id) and text (null: empty)."""
+    text, doc = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
+    return documents.select(F.coalesce(doc, F.xxhash64(text)).alias("key"), doc.isNull().alias("last"), text.alias("text"))
 
 
-def repeated(docs: DataFrame, windows: Windows) -> DataFrame:
-    """Snippets of all anchors that occur more than once: anchor, digest, key
-    and lo of the first occurrence, n, off, times, variants."""
+ROWS = "anchor long, d1 long, d2 int, key long, at long, n int, off int, times long"
+
+
+def places(docs: DataFrame, windows: Windows) -> DataFrame:
+    """ROWS: the snippets of each batch, equal ones as one row with their first place."""
 
     def run(batches):
         for b in batches:
-            parts = []
-            for keys, _, (doc, lo, n, off, anchor, digest) in _batches([b], windows):
-                parts.append((anchor, digest, keys[doc], lo, n, off))
-            if not parts:
+            found = list(zip(*_batches([b], windows)))
+            if not found:
                 continue
-            anchor, digest, key, lo, n, off = (np.concatenate(x) for x in zip(*parts))
-            # one row for each digest of the batch, so common snippets don't travel one by one
-            order = np.lexsort((lo, key, digest))
+            key, at, n, off, anchor, d1, d2 = (np.concatenate(x) for x in found)
+            order = np.lexsort((at >> 32, at & 0xFFFFFFFF, key, at & 1, d2, d1))
             head = np.ones(len(order), dtype=bool)
-            head[1:] = digest[order][1:] != digest[order][:-1]
+            head[1:] = (d1[order][1:] != d1[order][:-1]) | (d2[order][1:] != d2[order][:-1])
             first = np.flatnonzero(head)
-            at = order[first]
+            to = order[first]
             times = np.diff(np.append(first, len(order)))
-            columns = [anchor[at], digest[at], key[at], lo[at], n[at].astype(np.int32), off[at].astype(np.int32), times]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "digest", "key", "lo", "n", "off", "times"])
+            columns = [anchor[to], d1[to], d2[to], key[to], at[to], n[to].astype(np.int32), off[to].astype(np.int32), times]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["anchor", "d1", "d2", "key", "at", "n", "off", "times"])
+
+    return docs.mapInArrow(run, ROWS)
+
 
-    rows = docs.mapInArrow(run, "anchor long, digest long, key long, lo long, n int, off int, times long")
-    rows = rows.repartition("anchor")
-    first = F.min(F.struct("key", "lo", "n", "off")).alias("f")
-    each = rows.groupBy("anchor", "digest").agg(first, F.sum("times").alias("times"))
-    group = Window.partitionBy("anchor")
-    each = each.withColumn("all", F.sum("times").over(group)).withColumn("variants", F.count("*").over(group))
-    return stage(each.where("`all` > 1").select("anchor", "digest", "f.*", "times", "variants"), "repeated")
+def repeated(docs: DataFrame, windows: Windows) -> DataFrame:
+    """Snippets of all anchors that occur more than once: anchor, d1, d2, key
+    and at of the first occurrence, n, off, times, variants.
+
+    Anchors that are hot in a sample of documents are dealt out by digest, so
+    none fills a task; they count as repeated with over MANY variants."""
+    sample = places(docs.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0), windows)
+    hot = sample.groupBy("anchor").agg(F.sum("times").alias("c")).where(F.col("c") >= HOT).orderBy(F.desc("c"), "anchor").limit(DEALT).select("anchor", F.lit(True).alias("hot"))
+    hot = stage(hot, "hot-anchors")  # DEALT rows at most
+    rows = places(docs, windows).join(F.broadcast(hot), "anchor", "left")
+    rows = rows.withColumn("deal", F.when(F.col("hot"), F.xxhash64("d1", "d2")).otherwise(F.col("anchor"))).repartition("deal")
+    order = F.struct(F.col("at").bitwiseAND(F.lit(1)).alias("last"), "key", F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).alias("tie"), F.shiftright("at", 32).alias("lo"), "at", "n", "off")
+    each = rows.groupBy("deal", "anchor", "d1", "d2").agg(F.min(order).alias("f"), F.sum("times").alias("times"), F.max("hot").alias("hot"))
+    group = Window.partitionBy("deal")
+    each = each.withColumn("all", F.when(F.col("hot"), 2).otherwise(F.sum("times").over(group)))
+    each = each.withColumn("variants", F.when(F.col("hot"), MANY + 1).otherwise(F.count("*").over(group)))
+    out = stage(each.where("`all` > 1").select("anchor", "d1", "d2", "f.key", "f.at", "f.n", "f.off", "times", "variants"), "repeated")
+    drop_stage(hot)
+    return out
 
 
 def located(docs: DataFrame, windows: Windows) -> DataFrame:
-    """digest, key and at (unit within the text, checksum of the text) of every snippet."""
+    """d1, d2, key and at of every snippet."""
 
     def run(batches):
-        for keys, bodies, (doc, lo, _, _, _, digest) in _batches(batches, windows):
-            tie = np.array([zlib.crc32(x) for x in bodies], dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(digest), pa.array(keys[doc]), pa.array(lo << 32 | tie[doc])], ["digest", "key", "at"])
+        for key, at, _, _, _, d1, d2 in _batches(batches, windows):
+            yield pa.RecordBatch.from_arrays([pa.array(d1), pa.array(d2), pa.array(key), pa.array(at)], ["d1", "d2", "key", "at"])
+
+    return docs.mapInArrow(run, "d1 long, d2 int, key long, at long")
+
+
+def surroundings(off: int, units: int, windows: Windows) -> list[tuple[bytes, int, int]]:
+    """Runs of a snippet's units (side, first, stop) around its anchor that a
+    window of it holds: the anchor with half of what else a window has room for,
+    to its left or to its right. Equal windows have one of the two in common."""
+    half = (windows.length - windows.k) // 2
+    both = ((b"left", off - half, off + windows.k), (b"right", off, off + windows.k + half))
+    return [(side, a, z) for side, a, z in both if 0 <= a and z <= units]
 
-    return docs.mapInArrow(run, "digest long, key long, at long")
+
+VARIANT = "shard long, d1 long, d2 int, last int, key long, at long, n int, times long, body binary"
 
 
 def variant_texts(bodies: DataFrame, found: DataFrame, windows: Windows) -> DataFrame:
-    """anchor, digest, key, lo, n, off and body of variants' first occurrences.
+    """VARIANT rows of the first occurrences of repeated snippets: the shards
+    they have to meet others in, and their text.
 
     ``bodies``: the documents, dealt out by key. A document's list of snippets
     is as long as the document at most."""
 
+    names = [c.split()[0] for c in VARIANT.split(", ")]
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary())
+
     def run(batches):
         for b in batches:
-            rows: list[tuple] = []
-            for text, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                body = text.encode()
-                units = Units([body], windows.unit)
-                wanted = [w for w in wanted if w["lo"] + w["n"] - 1 + windows.length <= len(units.codes)]
-                lo, n, off = (np.array([w[c] for w in wanted], dtype=np.int64) for c in ("lo", "n", "off"))
-                own = digests(units, lo, n, off, windows.length).tolist() if wanted else []
-                for w, d in zip(wanted, own):
-                    if w["digest"] == d:  # else another text of this doc_id
-                        end = w["lo"] + w["n"] - 1 + windows.length
-                        if windows.unit == "word":
-                            part = units.codes[w["lo"] : end].tobytes()
-                        else:
-                            part = body[w["lo"] : end]
-                        rows.append((w["anchor"], w["digest"], w["key"], w["lo"], w["n"], w["off"], part))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["anchor", "digest", "key", "lo", "n", "off", "body"])
-
-    lists = found.where("variants > 1").groupBy("key").agg(F.collect_list(F.struct("anchor", "digest", "key", "lo", "n", "off")).alias("wanted"))
-    joined = bodies.join(lists.withColumnRenamed("key", "k2"), F.col("key") == F.col("k2"))
-    return joined.select("text", "wanted").mapInArrow(run, "anchor long, digest long, key long, lo long, n int, off int, body binary").dropDuplicates(["digest"])
+            for lo, hi, texts in V.parts(b.column(2), SLICE):
+                rows: list[tuple] = []
+                keys, lasts, lists = (b.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1, 3))
+                for key, last, body, wanted in zip(keys, lasts, texts, lists):
+                    tie, units = _tie(body, last), Units([normal(body, windows.unit)], windows.unit)
+                    for w in wanted:
+                        if w["at"] & 0xFFFFFFFF != tie:  # another text of this doc_id
+                            continue
+                        first, size = w["at"] >> 32, w["n"] + windows.length - 1
+                        shards = [w["anchor"]]
+                        if w["variants"] > MANY:
+                            near = [hashlib.blake2b(units.body(first + x, z - x), digest_size=8, salt=side) for side, x, z in surroundings(w["off"], size, windows)]
+                            shards = [int.from_bytes(x.digest(), "little", signed=True) for x in near]
+                        own = (w["d1"], w["d2"], tie & 1, key, w["at"], w["n"], w["times"], units.body(first, size))
+                        rows += [(x, *own) for x in shards]
+                columns = list(zip(*rows)) or [()] * len(kinds)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    lists = found.groupBy("key").agg(F.collect_list(F.struct("anchor", "d1", "d2", "at", "n", "off", "times", "variants")).alias("wanted"))
+    joined = bodies.join(lists.withColumnRenamed("key", "k2"), F.col("key") == F.col("k2")).select("key", "last", "text", "wanted")
+    return joined.mapInArrow(run, VARIANT).dropDuplicates(["shard", "d1", "d2"])
 
 
 def cover(n: int, marked: list[tuple[int, np.ndarray]], length: int) -> np.ndarray:
     """Which of ``n`` units some marked window covers."""
-    edge = np.zeros(n + 1, dtype=np.int64)
+    edge = np.zeros(n + 1, dtype=np.int32)
     for lo, flags in marked:
         at = lo + np.flatnonzero(flags)
         np.add.at(edge, at, 1)
@@ -194,30 +293,41 @@ def cover(n: int, marked: list[tuple[int, np.ndarray]], length: int) -> np.ndarr
 
 
 def judged(docs: DataFrame, bodies: DataFrame, verdicts: DataFrame, windows: Windows, report: Callable, schema: str) -> DataFrame:
-    """``report(key, text, covered)`` of every row of ``bodies``.
+    """``report(doc_id, text, covered)`` of every row of ``bodies``.
 
-    ``verdicts``: digest, n, keep_key, keep_lo (the occurrence whose windows
-    ``mask`` tells; null where it tells those of all), mask (packed bits, null:
-    all windows are marked).
+    ``verdicts``: d1, d2, n, times, keep_key, keep_at (the occurrence whose
+    windows ``masks`` tell; null where they tell those of all), masks (packed
+    bits, one or two lists that are ORed; null: all windows are marked).
     """
-    marks = located(docs, windows).join(verdicts, "digest")
-    partial = F.col("mask").isNotNull() & (F.col("keep_key").isNull() | ((F.col("key") == F.col("keep_key")) & (F.shiftright("at", 32) == F.col("keep_lo"))))
-    marks = marks.select("key", F.struct("at", "n", F.when(partial, F.col("mask")).alias("mask")).alias("m"))
+    verdicts = stage(verdicts, "verdicts")
+    every = verdicts.agg(F.sum("times")).first()[0] or 0
+    # DEALT rows at most
+    hot = stage(verdicts.where(F.col("times") > max(1000, every / DEALT)).select("d1", F.lit(True).alias("hot")), "hot-digests")
+    salt = lambda c: F.when(F.col("hot"), c).otherwise(F.lit(0)).cast("int").alias("salt")
+    spots = located(docs, windows).join(F.broadcast(hot), "d1", "left").select("d1", "d2", "key", "at", salt(F.pmod(F.xxhash64("key", "at"), F.lit(SALTS))))
+    each = F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    told = verdicts.join(F.broadcast(hot), "d1", "left").select("d1", "d2", "n", "keep_key", "keep_at", "masks", F.explode(each).alias("salt"))
+    marks = spots.join(told, ["d1", "d2", "salt"])
+    partial = F.col("masks").isNotNull() & (F.col("keep_key").isNull() | ((F.col("key") == F.col("keep_key")) & (F.col("at") == F.col("keep_at"))))
+    marks = marks.select("key", F.struct("at", "n", F.when(partial, F.col("masks")).alias("masks")).alias("m"))
     lists = marks.groupBy(F.col("key").alias("k2")).agg(F.collect_list("m").alias("marks"))
-    joined = bodies.join(lists, F.col("key") == F.col("k2"), "left").select("key", "text", "marks")
+    joined = bodies.join(lists, F.col("key") == F.col("k2"), "left").select("key", "last", "text", "marks")
+
+    def bits(m: dict) -> np.ndarray:
+        if m["masks"] is None:
+            return np.ones(m["n"], np.uint8)
+        return np.bitwise_or.reduce([np.unpackbits(np.frombuffer(x, np.uint8), count=m["n"]) for x in m["masks"]])
 
     def run(batches):
         for b in batches:
-            out = []
-            for key, text, marks in zip(*(c.to_pylist() for c in b.columns)):
-                body = text.encode()
-                tie, marked = zlib.crc32(body), []
-                for m in marks or ():
-                    if m["at"] & 0xFFFFFFFF == tie:
-                        bits = np.ones(m["n"], np.uint8) if m["mask"] is None else np.unpackbits(np.frombuffer(m["mask"], np.uint8), count=m["n"])
-                        marked.append((m["at"] >> 32, bits))
-                out.append(report(None if key == LAST else key, body, marked))
-            yield pa.RecordBatch.from_pylist(out, schema=kinds)
+            for lo, hi, texts in V.parts(b.column(2)):
+                out = []
+                keys, lasts, marks = (b.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1, 3))
+                for key, last, body, own in zip(keys, lasts, texts, marks):
+                    tie = _tie(body, last) if own else 0
+                    marked = [(m["at"] >> 32, bits(m)) for m in own or () if m["at"] & 0xFFFFFFFF == tie]
+                    out.append(report(None if last else key, body, marked))
+                yield pa.RecordBatch.from_pylist(out, schema=kinds)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string

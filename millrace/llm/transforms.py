@@ -1,15 +1,20 @@
 """Substring deduplication by merging Burrows-Wheeler transforms.
 
-The texts that may repeat are the variants around the corpus's anchors
-(:mod:`millrace.llm.repeats`). Each is a small shard with a transform of its
-own. A batch of shards is merged as Holt and McMillan (2014) merge two: start
-with the transforms one behind the other and refine the interleave step by
-step. A step reads the merged transform in the present order and deals every
-row out to its symbol, which orders the suffixes by one symbol more; no suffix
-is compared with another. Here sixteen symbols in a row are one letter of a
-larger alphabet, and a step takes a letter. Rows that the steps
-have not told apart share a prefix: after ``length`` symbols these intervals
-are the repeated windows.
+The texts that may repeat are the snippets around the corpus's repeated anchors
+(:mod:`millrace.llm.repeats`). They are dealt to small shards, the j-th variant
+of an anchor to the j-th shard, and each shard gets a transform of its own: its
+rows in the order of what follows them, and the letter before each row.
+
+Transforms are merged as by Holt and McMillan (2014). The interleave, which
+says for each place of the merged order from which shard it comes, starts as
+one shard behind the other and is refined step by step: a step reads the
+shards' letters in the present interleave and deals the places out to them,
+stably, which orders all suffixes by one letter more. Only letters and shard
+numbers move; no suffix is compared with another or sorted anew. Where two
+neighbours first part, the common prefix ends: places that the steps never part
+share ``length`` symbols, and such intervals are the repeated windows. Sixteen
+symbols in a row are one letter of a larger alphabet, so ``length`` symbols
+take few steps.
 """
 
 from __future__ import annotations
@@ -24,97 +29,146 @@ from pyspark.sql import functions as F
 from millrace.llm import repeats
 from millrace.llm.repeats import Windows
 
-#: Bytes of variants that are merged at once; an anchor's variants stay together.
-BATCH = 1 << 17
-
-
-def merge(shards: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, interval): positions in the shards, one behind the other with an
-    end mark each, in the order of their next ``length`` symbols, and the
-    number of the interval of equal ones that each lies in."""
-    sizes = np.array([len(s) + 1 for s in shards])
-    n = int(sizes.sum())
-    ends = np.cumsum(sizes)
-    text = np.frombuffer(b"\0".join(shards) + b"\0", dtype=np.uint8)
-    # a shard is a ring: its end mark stands before its first symbol
-    before = np.arange(-1, n - 1, dtype=np.int32)
-    before[ends - sizes] = ends - 1
-    after = np.empty(n, dtype=np.int32)
-    after[before] = np.arange(n, dtype=np.int32)
-    # letters[k]: ranks of the 2**k symbols from each position on; back[k]: the position as many before
-    words, ahead, back, letters = text.astype(np.uint64), after, [before], [text]
-    for k in range(3):
-        words = (words << np.uint64(8 << k)) | words[ahead]
-        ahead = ahead[ahead]
-        back.append(back[-1][back[-1]])
-        letters.append(None)
-    names, ranks = np.unique(words, return_inverse=True)
-    letters[3] = ranks.astype(np.uint16 if len(names) <= 65536 else np.uint32)
-    names, ranks = np.unique((ranks.astype(np.uint64) << np.uint64(32)) | ranks[ahead].astype(np.uint64), return_inverse=True)
-    letters.append(ranks.astype(np.uint16 if len(names) <= 65536 else np.uint32))
-    back.append(back[3][back[3]])
-    rows = np.arange(n, dtype=np.int32)
-    interval = np.zeros(n, dtype=np.int32)
-
-    def refine(rows, interval, behind, symbol):
-        rows = behind[rows]
-        own = symbol[rows]
-        if own.dtype.itemsize > 2:  # two stable passes of 16 bits
-            order = np.argsort((own & 0xFFFF).astype(np.uint16), kind="stable")
-            order = order[np.argsort((own[order] >> 16).astype(np.uint16), kind="stable")]
-        else:
-            order = np.argsort(own, kind="stable")
-        rows, own, interval = rows[order], own[order], interval[order]
+#: Bytes of snippets that are merged at once, beyond an anchor's own, and shards they are dealt to.
+BATCH, SHARDS = 1 << 16, 6
+
+
+class Alphabet:
+    """The letters of some texts: for runs of 1, 8 and 16 symbols before each
+    position their ranks among all texts, and where such a run begins.
+
+    A text is a ring: its end mark (0) stands before its first symbol."""
+
+    def __init__(self, texts: list[bytes]):
+        self.sizes = np.array([len(t) + 1 for t in texts])
+        n, ends = int(self.sizes.sum()), np.cumsum(self.sizes)
+        self.first = ends - self.sizes
+        text = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
+        back = np.arange(-1, n - 1, dtype=np.int32)
+        back[self.first] = ends - 1
+        ahead = np.empty(n, dtype=np.int32)
+        ahead[back] = np.arange(n, dtype=np.int32)
+        words = text.astype(np.uint64)  # the symbols from each position on, the first one highest
+        self.back, self.letters = {1: back}, {1: text}
+        for k in (1, 2, 4):
+            words = (words << np.uint64(8 * k)) | words[ahead]
+            ahead, back = ahead[ahead], back[back]
+        names, ranks = np.unique(words, return_inverse=True)
+        self._put(8, names, ranks, back)
+        names, ranks = np.unique((ranks.astype(np.uint64) << np.uint64(32)) | ranks[ahead].astype(np.uint64), return_inverse=True)
+        self._put(16, names, ranks, back[back])
+        self.ahead = ahead[ahead]
+
+    def _put(self, k: int, names: np.ndarray, ranks: np.ndarray, back: np.ndarray) -> None:
+        self.letters[k], self.back[k] = ranks.astype(np.uint16 if len(names) <= 65536 else np.uint32), back
+
+
+class Transform:
+    """The transform of a shard, some texts of an alphabet: ``rows``, positions in
+    the order of what follows them round the ring; before row i stands
+    ``letters[k][i]``, for letters of k symbols."""
+
+    def __init__(self, alphabet: Alphabet, texts: np.ndarray):
+        size = alphabet.sizes[texts]
+        own = np.repeat(alphabet.first[texts] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        place = np.zeros(len(alphabet.ahead), dtype=np.int64)
+        ranks, ahead, symbols = alphabet.letters[16][own].astype(np.int64), alphabet.ahead[own], 16
+        # double the symbols that count until all rows are told apart, or can't be: two rings
+        # that agree for the sum of their sizes agree for ever
+        while symbols < 2 * int(size.max(initial=0)):
+            place[own] = ranks
+            names, ranks = np.unique(ranks * (len(own) + 65536 * 65536) + place[ahead] if symbols == 16 else ranks * len(own) + place[ahead], return_inverse=True)
+            if len(names) == len(own):
+                break
+            place[own] = ahead
+            ahead, symbols = place[ahead], 2 * symbols
+        self.rows = own[np.argsort(ranks, kind="stable")]
+        self.letters = {k: alphabet.letters[k][alphabet.back[k][self.rows]] for k in (1, 8, 16)}
+
+
+def by_letter(own: np.ndarray) -> np.ndarray:
+    """The stable order of the letters."""
+    if own.dtype.itemsize <= 2:
+        return np.argsort(own, kind="stable")
+    order = np.argsort((own & 0xFFFF).astype(np.uint16), kind="stable")
+    return order[np.argsort((own[order] >> 16).astype(np.uint16), kind="stable")]
+
+
+def merge(shards: list[Transform], length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, common): all shards' rows in the order of their next ``length``
+    symbols, and how many symbols each shares with the one before it, as far
+    as whole steps tell (``length``: all of them)."""
+    sizes = [len(s.rows) for s in shards]
+    n = sum(sizes)
+    interleave = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
+    letters = {k: np.concatenate([s.letters[k] for s in shards]) for k in (1, 8, 16)}
+    common = np.full(n, length, dtype=np.int32)
+    common[:1] = 0
+    done, interval = 0, np.zeros(n, dtype=np.int32)
+    for k in [1] * (length % 8) + [8] * (length // 8 % 2) + [16] * (length // 16):
+        read = np.empty(n, dtype=letters[k].dtype)
+        read[np.argsort(interleave, kind="stable")] = letters[k]  # each shard's letters in its own order
+        order = by_letter(read)
+        interleave, own, before = interleave[order], read[order], interval[order]
+        part = np.flatnonzero((own[1:] != own[:-1]) | (before[1:] != before[:-1])) + 1
+        common[part] = np.minimum(common[part], done)
+        done += k
         fresh = np.zeros(n, dtype=np.int32)
-        fresh[1:] = (own[1:] != own[:-1]) | (interval[1:] != interval[:-1])
-        return rows, np.cumsum(fresh, dtype=np.int32)
-
-    for step in [0] * (length % 8) + [3] * (length // 8 % 2) + [4] * (length // 16):
-        if interval[-1] == n - 1:  # all apart: nothing repeats any further
+        fresh[part] = 1
+        interval = np.cumsum(fresh, dtype=np.int32)
+        if n and interval[-1] == n - 1:  # all apart: nothing repeats any further
             break
-        rows, interval = refine(rows, interval, back[step], letters[step])
-    return rows, interval
-
-
-def shared(group: list[tuple[int, bytes]], length: int) -> list[np.ndarray]:
-    """For each variant (number of windows, text), which windows another place of the batch repeats."""
-    rows, interval = merge([t for _, t in group], length)
-    begin = np.cumsum([0] + [len(t) + 1 for _, t in group])
-    window = np.zeros(begin[-1], dtype=bool)
-    for at, (n, _) in zip(begin.tolist(), group):
-        window[at : at + n] = True
-    counted = window[rows]
-    many = np.bincount(interval[counted], minlength=int(interval[-1]) + 1) > 1
-    marked = np.zeros(begin[-1], dtype=bool)
-    marked[rows[counted & many[interval]]] = True
-    return [marked[at : at + n] for at, (n, _) in zip(begin.tolist(), group)]
+    rows = np.empty(n, dtype=np.int64)
+    rows[np.argsort(interleave, kind="stable")] = np.concatenate([s.rows for s in shards])
+    return rows, common
+
+
+def shared(group: list[tuple[int, int, bytes]], deal: list[int], length: int) -> list[np.ndarray]:
+    """For each snippet (windows, times, text), dealt to a shard each: its windows that the corpus holds more than once."""
+    alphabet = Alphabet([t for _, _, t in group])
+    shards = [Transform(alphabet, np.flatnonzero(np.array(deal) == j)) for j in sorted(set(deal))]
+    rows, common = merge(shards, length)
+    weight = np.zeros(len(rows), dtype=np.int64)
+    for at, (n, times, _) in zip(alphabet.first.tolist(), group):
+        weight[at : at + n] = times
+    interval = np.cumsum(common < length) - 1
+    many = np.bincount(interval, weights=weight[rows]) > 1
+    marked = np.zeros(len(rows), dtype=bool)
+    marked[rows] = many[interval]
+    return [marked[at : at + n] for at, (n, _, _) in zip(alphabet.first.tolist(), group)]
 
 
 def repeated_elsewhere(variants: DataFrame, windows: Windows) -> DataFrame:
-    """digest and mask: windows of each variant that another variant holds."""
+    """d1, d2 and masks: windows of each snippet that the corpus holds more than once."""
 
     def run(batches):
-        digests, group, size, anchor = [], [], 0, None
+        digests, group, deal, size, shard, nth = {}, [], [], 0, None, 0
 
         def out():
-            rows = [(d, np.packbits(m).tobytes()) for d, m in zip(digests, shared(group, windows.length)) if m.any()]
-            columns = list(zip(*rows)) or [()] * 2
-            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.binary())], ["digest", "mask"])
+            rows = [(*d, np.packbits(m).tobytes()) for d, m in zip(digests, shared(group, deal, windows.length)) if m.any()]
+            columns = list(zip(*rows)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.binary()))], ["d1", "d2", "mask"])
 
         for b in batches:
-            for a, digest, n, body in zip(*(b.column(i).to_pylist() for i in (0, 1, 2, 3))):
-                if a != anchor and size > BATCH:
-                    yield out()
-                    digests, group, size = [], [], 0
-                anchor = a
-                digests.append(digest)
-                group.append((n, body))
+            for s, d1, d2, n, times, body in zip(*(b.column(i).to_pylist() for i in range(6))):
+                if s != shard:
+                    if size > BATCH:
+                        yield out()
+                        digests, group, deal, size = {}, [], [], 0
+                    shard, nth = s, 0
+                if (d1, d2) in digests:  # it met this batch by its other surroundings
+                    continue
+                digests[d1, d2] = True
+                group.append((n, times, body))
+                deal.append(nth % SHARDS)
+                nth += 1
                 size += len(body) + 1
         if group:
             yield out()
 
-    ordered = variants.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "digest", "n", "body")
-    return ordered.mapInArrow(run, "digest long, mask binary")
+    ordered = variants.repartition("shard").sortWithinPartitions("shard").select("shard", "d1", "d2", "n", "times", "body")
+    marks = ordered.mapInArrow(run, "d1 long, d2 int, mask binary")
+    return marks.groupBy("d1", "d2").agg(F.collect_list("mask").alias("masks"))  # two at most
 
 
 REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<first:long,stop:long>>"
@@ -126,17 +180,16 @@ def dedupe(documents: DataFrame, length: int = 200, k: int = 64) -> DataFrame:
 
     A UTF-8 byte goes if a window of ``length`` bytes that covers it starts
     anywhere else too, in this document or another; a repeated row is another
-    document. A null text has no bytes. Equal windows are found by 64-bit
-    hashes of anchors and snippets. Other columns are not read.
+    document. A null text has no bytes. Equal snippets are told by 96-bit
+    digests, all others by their bytes. Other columns are not read.
     """
     windows = Windows("byte", length, k)
     docs = repeats.keyed(documents)
     bodies = docs.repartition("key")
     found = repeats.repeated(docs, windows)
     masks = repeated_elsewhere(repeats.variant_texts(bodies, found, windows), windows)
-    rows = found.join(masks, "digest", "left").where("times > 1 or mask is not null")
     nowhere = F.lit(None).cast("long")
-    verdicts = rows.select("digest", "n", nowhere.alias("keep_key"), nowhere.alias("keep_lo"), F.when(F.col("times") == 1, F.col("mask")).alias("mask"))
+    verdicts = found.select("d1", "d2", "n", "times").join(masks, ["d1", "d2"]).select("d1", "d2", "n", "times", nowhere.alias("keep_key"), nowhere.alias("keep_at"), "masks")
 
     def report(key, body, marked):
         gone = repeats.cover(len(body), marked, length)

@@ -77,6 +77,41 @@ def test_odd_rows_of_word_dedup(spark):
     assert automata.dedupe(docs.limit(0)).count() == 0
 
 
+def test_hot_anchors_and_long_texts(spark, monkeypatch):
+    """Frequent anchors dealt by digest and met by surroundings, texts cut into parts, salted digests."""
+    from millrace.llm import transforms
+
+    monkeypatch.setattr(repeats, "SAMPLE", 1)
+    monkeypatch.setattr(repeats, "HOT", 5)
+    monkeypatch.setattr(repeats, "MANY", 2)
+    monkeypatch.setattr(repeats, "PART", 150)
+    monkeypatch.setattr(repeats, "DEALT", 100_000)
+    r = random.Random(8)
+    line = "all rights reserved by the owner of this very page"
+    rows = corpus(7)
+    rows += [(1000 + i, " ".join(r.choices("pqrst", k=r.randint(3, 30))) + f" {line} " + " ".join(r.choices("pqrst", k=r.randint(3, 30))), 0) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key int").repartition(5)
+    assert sorted(tuple(x)[:4] for x in automata.dedupe(docs).collect()) == brute_words(rows)
+    assert sorted(tuple(x)[:5] for x in transforms.dedupe(docs).collect()) == brute_bytes(rows)
+
+
+def test_very_long_words_and_texts(spark):
+    """Long words that share every polynomial hash; texts of a megabyte."""
+    from millrace.llm import transforms
+    from tests.llm.test_tokens import thue_morse
+
+    r = random.Random(9)
+    a, b = thue_morse(1024), thue_morse(1024, "ba")
+    long = [f"w{r.randrange(3000)}" for _ in range(60_000)]
+    rows = [(1, f"{a} " + " ".join(f"x{i}" for i in range(40)), 0), (2, f"{b} " + " ".join(f"x{i}" for i in range(40)), 0), (3, " ".join([a, b] * 30), 0), (4, " ".join([b] * 30), 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert sorted(tuple(x)[:4] for x in automata.dedupe(docs).collect()) == brute_words(rows)
+    rows = [(1, " ".join(long), 0), (2, " ".join(long[20_000:21_000]), 0), (3, "z" * 300_000, 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    assert sorted(tuple(x)[:4] for x in automata.dedupe(docs).collect()) == brute_words(rows)
+    assert sorted(tuple(x)[:5] for x in transforms.dedupe(docs).collect()) == brute_bytes(rows)
+
+
 def brute_bytes(rows, length=200):
     from collections import Counter
 
@@ -93,18 +128,24 @@ def brute_bytes(rows, length=200):
     return sorted(out)
 
 
-def test_merged_order_and_intervals():
+def test_merged_order_and_common_prefixes():
     from millrace.llm import transforms
 
     r = random.Random(3)
-    for length in (1, 2, 3, 5, 8):
-        shards = [bytes(r.choice(b"abc") for _ in range(r.randint(0, 30))) for _ in range(6)]
-        rows, interval = transforms.merge(shards, length)
-        rings = [s + b"\0" for s in shards]
-        heads = [(ring[i:] + ring * 9)[:length] for ring in rings for i in range(len(ring))]
-        got = [heads[i] for i in rows]
-        assert got == sorted(heads)
-        assert (np.diff(interval) == [a != b for a, b in zip(got, got[1:])]).all()
+    for length in (1, 2, 3, 5, 8, 17, 40):
+        for letters in (b"abc", b"ab", b"a", bytes(range(256))):
+            texts = [bytes(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(9)]
+            alphabet = transforms.Alphabet(texts)
+            shards = [transforms.Transform(alphabet, np.array(x)) for x in ([0, 4, 5], [1], [2, 3, 6, 7, 8])]
+            rows, common = transforms.merge(shards, length)
+            rings = [t + b"\0" for t in texts]
+            heads = [(ring[i:] + ring * 50)[:length] for ring in rings for i in range(len(ring))]
+            assert sorted(rows.tolist()) == list(range(len(heads)))
+            got = [heads[i] for i in rows]
+            assert got == sorted(heads)
+            assert ((common[1:] == length) == [a == b for a, b in zip(got, got[1:])]).all()
+            for a, b, c in zip(got, got[1:], common[1:].tolist()):
+                assert a[:c] == b[:c]
 
 
 def test_bytes_that_repeat_go(spark):
