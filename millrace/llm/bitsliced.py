@@ -12,14 +12,32 @@ exact integers.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 from pyspark.sql import DataFrame
 
 from millrace.llm.vectors import clean, search
 
 
+#: Components up to this size are sliced; with larger ones a block is resolved by whole numbers of any size.
+SMALL = 1 << 24
+
+
 def quantise(vectors: np.ndarray) -> np.ndarray:
-    return np.floor(256.0 * vectors).astype(np.int64)
+    """floor(256 * x) of each component, exactly; as Python's numbers where some exceed SMALL."""
+    with np.errstate(over="ignore"):
+        scaled = np.floor(256.0 * vectors)
+    if np.abs(scaled).max(initial=0.0) <= SMALL:
+        return scaled.astype(np.int64)
+    # doubles of 2**53 and more are whole
+    exact = [math.floor(256 * x) if abs(x) < 2**53 else 256 * int(x) for x in vectors.ravel().tolist()]
+    return np.array(exact, dtype=object).reshape(vectors.shape)
+
+
+def in_long(scores: np.ndarray) -> np.ndarray:
+    """Scores beyond a long's range become its nearest end."""
+    return np.array([max(-(2**63) + 1, min(2**63 - 1, int(x))) for x in scores], dtype=np.int64)
 
 
 class Slices:
@@ -103,34 +121,39 @@ def top_k(embeddings: DataFrame, k: int = 5, every: int = 50, skip: int = 2, row
     """query_id, rank, vec_id, score: each query's k highest integer inner
     products with the other vectors, ties to the smaller vec_id.
 
-    Which vectors take part, and what repeated ids mean, is stated in
+    Which rows take part, and what repeated ids mean, is stated in
     :func:`millrace.llm.vectors.clean`. Vectors meet only vectors of their own
-    dimension. A query without other vectors gives no row, an empty table none.
+    dimension. Quantised components and products are exact whatever their size;
+    a score that no long holds counts as the nearest long. Equal scores of one
+    vec_id are rows of one look. A query without other vectors gives no row, an
+    empty table none.
     """
 
     def index(matrix):
         values = quantise(matrix)
-        return values, Slices(values, skip)
+        return values, Slices(values, skip) if values.dtype != object else None
 
     def probe(built, matrix, q):
         values, slices = built
         w = quantise(q)
+        if slices is None or w.dtype == object or float(np.abs(w).sum()) * SMALL > 2.0**62:
+            return np.arange(len(values)), in_long(values.astype(object) @ w.astype(object))
         # what the left-out bits can add, in units of 2**skip, rounded up; the complement's too
         spare = (((1 << skip) - 1) * int(np.abs(w).sum()) >> skip) + 1
         at = slices.at_least_kth(slices.total(w), k + 1, spare)
         return at, values[at] @ w
 
-    return search(clean(embeddings), every, k, "long", probe, index, rows, 128)
+    return search(clean(embeddings), every, k, "long", probe, index, rows)
 
 
 ORACLE = """
-WITH v AS (
- SELECT vec_id, min(list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT))) AS q FROM embeddings
+WITH v AS MATERIALIZED (
+ SELECT row_number() OVER () AS nr, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id),
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
- SELECT a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
- FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
+ SELECT a.nr, a.vec_id AS query_id, b.vec_id, CAST(list_sum(list_transform(list_zip(a.q, b.q), lambda z: z[1] * z[2])) AS BIGINT) AS score
+ FROM v a JOIN v b ON a.nr <> b.nr AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
- SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+ SELECT *, row_number() OVER (PARTITION BY nr ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """

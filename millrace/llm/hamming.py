@@ -1,10 +1,16 @@
 """Approximate nearest neighbours by multi-index hashing.
 
 Codes come from rotations learned by iterative quantisation (ITQ) on a bounded
-sample. A code's substrings are indexed one by one; a code within Hamming
-radius r of the query agrees with it in some substring to within
-``r // substrings`` bits, so probing all such buckets retrieves every code in
-the radius. Those are then ranked by their exact inner product.
+sample. A code is cut into substrings of ``WIDTH`` bits, and each substring has
+an index of its own: buckets by value. Probing the buckets within ``near`` bits
+of the query's substring, for all substrings, retrieves every code within a
+Hamming radius of ``substrings * (near + 1) - 1`` of the query's (pigeonhole:
+such a code differs by ``near`` bits at most in some substring), and of the
+codes beyond it those that come near in one substring. What is retrieved is
+ranked by its exact inner product.
+
+How many substrings there are decides what is found and what is probed; both
+are told on the sample (:func:`fit`).
 """
 
 from __future__ import annotations
@@ -15,13 +21,17 @@ from pyspark.sql import functions as F
 
 from millrace.llm.vectors import clean, search
 
-#: The bound of the training sample: the vectors with the smallest hashed ids.
+#: The bound of the training sample: the rows with the smallest hashed ids.
 SAMPLE = 4096
-ALL8 = np.arange(256, dtype=np.uint8)
-POP8 = np.bitwise_count(ALL8).astype(np.int64)
+#: Bits of a substring (about the logarithm of a block's rows), and substrings at most.
+WIDTH, MOST = 14, 448
+#: The part of the sample's nearest neighbours that the substrings have to retrieve.
+SHARE = 0.96
+VALUES = np.arange(1 << WIDTH, dtype=np.uint16)
+ONES = np.bitwise_count(VALUES)
 
 
-def learn(sample: np.ndarray, bits: int, rounds: int = 25, seed: int = 11) -> np.ndarray:
+def learn(sample: np.ndarray, bits: int, rounds: int = 10, seed: int = 11) -> np.ndarray:
     """A dim x bits projection: PCA axes turned by ITQ rotations from as many starts as bits need."""
     dim = sample.shape[1]
     unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
@@ -29,94 +39,116 @@ def learn(sample: np.ndarray, bits: int, rounds: int = 25, seed: int = 11) -> np
     axes = axes[:, ::-1]
     turned = unit @ axes
     rng = np.random.default_rng(seed)
-    out = []
-    while sum(x.shape[1] for x in out) < bits:
+    out: list[np.ndarray] = []
+    while len(out) * dim < bits:
         rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         for _ in range(rounds):
             u, _, v = np.linalg.svd(np.where(turned @ rotation >= 0, 1.0, -1.0).T @ turned)
             rotation = (u @ v).T
         out.append(axes @ rotation)
+    # a substring takes its bits from one rotation as far as it goes
     return np.concatenate(out, axis=1)[:, :bits]
 
 
 def encode(vectors: np.ndarray, projection: np.ndarray) -> np.ndarray:
-    """Codes as bytes; one byte is one substring."""
-    return np.packbits(vectors @ projection >= 0, axis=1)
+    """The values of the codes' substrings, one column each."""
+    out = np.empty((len(vectors), projection.shape[1] // WIDTH), dtype=np.uint16)
+    weights = (1 << np.arange(WIDTH)).astype(np.float32)
+    for lo in range(0, len(vectors), 1024):
+        bits = (vectors[lo : lo + 1024] @ projection >= 0).reshape(-1, out.shape[1], WIDTH)
+        out[lo : lo + 1024] = bits.astype(np.float32) @ weights
+    return out
+
+
+def ball(near: int) -> np.ndarray:
+    """What a value is XORed with to get all values within ``near`` bits."""
+    return VALUES[ONES <= near]
 
 
 class MultiIndex:
-    """For each 8-bit substring, the rows sorted by its value, and how many rows each value has."""
+    """For each substring the rows in the order of its value, and where each value's bucket begins."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.wide = np.ascontiguousarray(codes).view(np.uint64)
-        self.order = [np.argsort(codes[:, s], kind="stable") for s in range(codes.shape[1])]
-        self.sizes = [np.bincount(codes[:, s], minlength=256) for s in range(codes.shape[1])]
-
-    def probe(self, code: np.ndarray, radius: int) -> np.ndarray:
-        """Every row within ``radius``, by the pigeonhole principle, with its distance."""
-        near = radius // len(self.order)
-        held = np.zeros(len(self.codes), dtype=bool)
-        for s, (order, sizes) in enumerate(zip(self.order, self.sizes)):
-            # buckets within `near` bits; substring s gets one bit less once the radius is used up
-            reach = near if s <= radius - near * len(self.order) else near - 1
-            wanted = POP8[ALL8 ^ code[s]] <= reach
-            held[order[np.repeat(wanted, sizes)]] = True
-            if s % 4 == 3 and held.all():
-                break
-        at = np.flatnonzero(held)
-        distance = np.bitwise_count(self.wide[at] ^ code.view(np.uint64)).sum(axis=1)
-        return at[distance <= radius]
-
-
-def radius_for(sample: np.ndarray, codes: np.ndarray, neighbours: int, share: float) -> int:
-    """The Hamming radius that holds ``share`` of the sample's own nearest neighbours."""
-    asked = slice(0, min(512, len(sample)))
-    products = sample[asked] @ sample.T
-    products[np.arange(len(products)), np.arange(len(products))] = -np.inf
-    near = np.argsort(-products, axis=1)[:, :neighbours]
-    distance = np.bitwise_count(codes[asked][:, None, :] ^ codes[near]).sum(axis=2)
-    return int(np.quantile(distance, share, method="higher"))
-
-
-def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, bits: int = 256, share: float = 0.99, rows: int = 8192) -> DataFrame:
+        self.n, self.parts = codes.shape
+        self.order = np.concatenate([np.argsort(codes[:, s], kind="stable") for s in range(self.parts)] or [np.zeros(0, int)]).astype(np.int32)
+        sizes = np.zeros((self.parts, len(VALUES)), dtype=np.int32)
+        for s in range(self.parts):
+            sizes[s] = np.bincount(codes[:, s], minlength=len(VALUES))
+        self.sizes = sizes.ravel()
+        self.begin = (np.cumsum(self.sizes) - self.sizes).astype(np.int64)
+        self.base = np.arange(self.parts) * len(VALUES)
+
+    def probe(self, code: np.ndarray, near: int) -> np.ndarray:
+        """The rows of all buckets within ``near`` bits of the code's substrings."""
+        buckets = (self.base[:, None] + (code[:, None] ^ ball(near)[None])).ravel()
+        sizes = self.sizes[buckets]
+        buckets, sizes = buckets[sizes > 0], sizes[sizes > 0]
+        ends = np.cumsum(sizes)
+        total = int(ends[-1]) if len(ends) else 0
+        held = np.zeros(self.n, dtype=bool)
+        held[self.order[np.repeat(self.begin[buckets] - ends + sizes, sizes) + np.arange(total)]] = True
+        return np.flatnonzero(held)
+
+
+def fit(sample: np.ndarray, projection: np.ndarray, neighbours: int, share: float) -> tuple[int, int]:
+    """(substrings, near): the least that retrieve ``share`` of the sample's own
+    nearest neighbours; ``near`` is one bit if ``MOST`` substrings are enough."""
+    codes, asked = encode(sample, projection), min(256, len(sample))
+    products = sample[:asked] @ sample.T
+    products[np.arange(asked), np.arange(asked)] = -np.inf
+    close = np.argsort(-products, axis=1)[:, :neighbours]
+    apart = ONES[codes[:asked, None, :] ^ codes[close]]  # asked x neighbours x substrings
+    for near in range(1, WIDTH + 1):
+        found = (np.minimum.accumulate(apart, axis=2) <= near).mean(axis=(0, 1))
+        if found[-1] >= share:
+            break
+    return int(np.argmax(found >= share)) + 1, near
+
+
+def trained(vectors: DataFrame, k: int, share: float) -> tuple[np.ndarray | None, int, int]:
+    """(projection, near, dimension) fitted on at most ``SAMPLE`` rows; None where there are too few."""
+    sample = [r[0] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE).select("vector").collect()]
+    dims = [len(v) for v in sample]
+    dim = max(set(dims), key=lambda d: (dims.count(d), d), default=0)
+    known = np.array([v for v in sample if len(v) == dim]) if dim else np.zeros((0, 1))
+    if len(known) <= k:
+        return None, 0, dim
+    total = max(1, vectors.count())
+    projection = learn(known, MOST * WIDTH)
+    parts, near = fit(known, projection, max(1, -(-k * len(known) // total)), share)
+    return projection[:, : parts * WIDTH], near, dim
+
+
+def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, share: float = SHARE, rows: int = 8192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found by inner product, ties to the smaller vec_id.
 
-    The rotations and the radius are fitted on at most ``SAMPLE`` vectors; every
-    vector is indexed. The radius is what ``share`` of the sample's neighbours
-    need, counting as many neighbours as the sample holds of a query's k. Where
-    a block has fewer than k vectors in the radius, the radius grows until it
-    has. Zero vectors take no part, nor do those that
-    :func:`millrace.llm.vectors.clean` leaves out; vectors meet their own
-    dimension only, and dimensions other than the sample's commonest are
-    searched exactly. Scores are inner products in double precision.
+    Rotations and the number of substrings are fitted on at most ``SAMPLE``
+    rows, counting as many neighbours as the sample holds of a query's k; every
+    row is indexed. Where a block's buckets hold fewer than k rows, ``near``
+    grows until they do. Zero vectors take no part, nor do those that
+    :func:`millrace.llm.vectors.clean` leaves out, which also says what repeated
+    ids mean; vectors meet their own dimension only, and dimensions other than
+    the sample's commonest are searched exactly. Scores are inner products in
+    double precision, infinite where that overflows (an overflow to NaN counts
+    as minus infinity).
     """
     vectors = clean(embeddings).where(F.exists("vector", lambda x: x != 0))
-    sample = [r[0] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").collect()]
-    total = max(1, vectors.count())
-    dims = [len(v) for v in sample]
-    dim = max(set(dims), key=lambda d: (dims.count(d), d), default=0)
-    fit = np.array([v for v in sample if len(v) == dim]) if dim else np.zeros((0, 1))
-    if len(fit) > k:
-        projection = learn(fit, bits)
-        neighbours = min(k, max(1, 2 * -(-k * len(fit) // total)))
-        radius = radius_for(fit, encode(fit, projection), neighbours, share)
-    else:
-        projection, radius = None, 0
+    projection, near, dim = trained(vectors, k, share)
 
     def index(matrix):
         return MultiIndex(encode(matrix, projection)) if projection is not None and matrix.shape[1] == dim else None
 
     def probe(built, matrix, q):
-        if built is None:
-            at = np.arange(len(matrix))
-        else:
-            code, reach = encode(q[None], projection)[0], radius
+        at, reach = np.arange(len(matrix)), near
+        if built is not None:
+            code = encode(q[None], projection)[0]
             at = built.probe(code, reach)
             while len(at) < min(k + 1, len(matrix)):
-                reach += max(1, reach // 8)
+                reach += 1
                 at = built.probe(code, reach)
         # row by row in one order of summation, so equal vectors have equal scores
-        return at, (matrix[at] * q).sum(axis=1)
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (matrix[at] * q).sum(axis=1)
+        return at, np.where(np.isnan(score), -np.inf, score)
 
     return search(vectors, every, k, "double", probe, index, rows)
