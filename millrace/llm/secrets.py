@@ -1,19 +1,21 @@
 """Secret scan over a trigram inverted index, with DataFrame functions only.
 
-Each rule's regular expression is reduced to a Boolean query over lower-cased
-trigrams: an alternation of literals becomes an OR of ANDs of their trigrams. A
-rule that demands no literal of three characters (a run of hex digits) has no
-query and scans every text. Postings (trigram, document) are made for the
-trigrams that some rule asks for; a document is a candidate of a rule if the
-postings of all trigrams of one of its branches hold it. Candidates are then
-verified with the whole expression, so a posting too many costs time only.
+Each rule's regular expression is parsed into a Boolean query over lower-cased
+trigrams (:func:`query`): what every match must hold, as an OR of ANDs. A rule
+whose expression demands no trigram (a run of hex digits) has no query and
+scans every text. Postings (trigram, document) are made for the trigrams that
+some rule asks for; a document is a candidate of a rule if the postings of all
+trigrams of one of the rule's branches hold it. Candidates are then verified
+with the whole expression, so a posting too many costs time only.
 """
 
 from __future__ import annotations
 
 import re
+import re._constants as C
+import re._parser as parser
+from collections.abc import Callable
 from dataclasses import dataclass
-from itertools import product
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,45 +23,98 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Rule:
-    """A kind of secret: its expression and what a match must fulfil.
-
-    ``literals`` has, for each alternative of the mandatory part, the strings
-    that it may be written as; none means that no trigram is mandatory.
-    ``group`` is the part whose length, ``least`` at least, decides.
-    """
+    """A kind of secret: its expression and what a match must fulfil: ``group``
+    is the part whose length, ``least`` at least, decides."""
 
     kind: str
     pattern: str
     group: int
     least: int
-    literals: tuple[str, ...] = ()
 
 
 # The expressions and lengths of the contract.
 RULES = (
-    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8, ("password", "passwd", "secret", "token", "api_?key")),
-    Rule("access", r"AKIA[A-Z0-9]+", 0, 16, ("AKIA",)),
+    Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Rule("access", r"AKIA[A-Z0-9]+", 0, 16),
     Rule("hex", r"[0-9a-f]+", 0, 32),
 )
 
-
-def spellings(literal: str) -> list[str]:
-    """What a literal with optional characters may be written as."""
-    parts: list[list[str]] = []
-    for c in literal.lower():
-        if c == "?":
-            parts[-1] = [parts[-1][0], ""]
-        else:
-            parts.append([c])
-    return ["".join(x) for x in product(*parts)]
+#: Strings that a part of an expression may be written as before they are turned into trigrams; branches of a query.
+SPELLINGS, BRANCHES = 48, 64
+#: A query: alternatives, each a set of trigrams that must all be there. ANY demands nothing.
+Query = frozenset[frozenset[str]]
+ANY: Query = frozenset([frozenset()])
+
+
+def _simple(q: Query) -> Query:
+    """Without alternatives that demand more than another one; ANY if too many are left."""
+    q = frozenset(b for b in q if not any(c < b for c in q))
+    return q if len(q) <= BRANCHES else ANY
+
+
+def _both(a: Query, b: Query) -> Query:
+    return _simple(frozenset(x | y for x in a for y in b))
+
+
+def _of(strings: set[str]) -> Query:
+    """What texts hold that hold one of these strings."""
+    return _simple(frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings))
+
+
+def _sequence(items) -> tuple[set[str] | None, Query]:
+    """(all lower-cased strings that the items may match, if few; what every match holds)."""
+    whole, running, needed = True, {""}, ANY
+    for op, arg in items:
+        strings, own = _item(op, arg)
+        if strings is not None and len(strings) * len(running) <= SPELLINGS:
+            running = {a + b for a in running for b in strings}
+            continue
+        # what came so far ends here; what follows begins anew
+        needed, whole = _both(_both(needed, _of(running)), own), False
+        running = strings if strings is not None else {""}
+    return (running if whole else None), _both(needed, _of(running))
+
+
+def _item(op, arg) -> tuple[set[str] | None, Query]:
+    if op is C.LITERAL:
+        return ({chr(arg).lower()}, ANY) if arg < 128 else (None, ANY)
+    if op is C.IN:
+        chars: set[str] = set()
+        for kind, x in arg:
+            if kind is C.LITERAL and x < 128:
+                chars.add(chr(x).lower())
+            elif kind is C.RANGE and x[1] < 128:
+                chars |= {chr(c).lower() for c in range(x[0], x[1] + 1)}
+            else:  # a class, a negation
+                return None, ANY
+        return (chars if len(chars) <= 4 else None), ANY
+    if op is C.SUBPATTERN:
+        return _sequence(arg[-1])
+    if op is C.BRANCH:
+        parts = [_sequence(x) for x in arg[1]]
+        strings = set().union(*(s for s, _ in parts if s is not None))
+        same = all(s is not None for s, _ in parts) and len(strings) <= SPELLINGS
+        return (strings if same else None), _simple(frozenset().union(*(q for _, q in parts)))
+    if op in (C.MAX_REPEAT, C.MIN_REPEAT, C.POSSESSIVE_REPEAT):
+        least, most, sub = arg
+        strings, own = _sequence(sub)
+        if strings is not None and most == 1:
+            return strings | ({""} if not least else set()), ANY
+        return None, own if least else ANY
+    if op in (C.AT, C.ASSERT, C.ASSERT_NOT):
+        return {""}, ANY
+    return None, ANY
+
+
+def query(pattern: str) -> Query:
+    """What a text must hold, lower-cased, to match: read off the parsed expression."""
+    return _sequence(parser.parse(pattern))[1]
 
 
 def branches(rule: Rule) -> list[list[str]]:
-    """The rule's query: one list of trigrams for each branch; [] if it has none."""
-    words = [w for x in rule.literals for w in spellings(x)]
-    if not words or min(map(len, words)) < 3:
-        return []
-    return [sorted({w[i : i + 3] for i in range(len(w) - 2)}) for w in words]
+    """The rule's query: a list of trigrams for each alternative; [] if it demands none."""
+    q = query(rule.pattern)
+    return [] if frozenset() in q else sorted(sorted(b) for b in q)
 
 
 #: One character class and a plus, whose matches are the class's runs.
@@ -67,10 +122,10 @@ RUN = re.compile(r"\[\^?[^\[\]\\^]+\]\+")
 
 
 def least_run(rule: Rule) -> str:
-    """What a text must hold for a rule without trigrams: a run of ``least``
-    characters if the pattern is a single class, else the pattern itself."""
+    """The expression of the matches that count: of a single class the runs of
+    ``least`` characters or more, else the pattern itself."""
     if rule.group == 0 and RUN.fullmatch(rule.pattern):
-        return rule.pattern[:-1] + "{%d}" % rule.least
+        return rule.pattern[:-1] + "{%d,}" % rule.least
     return rule.pattern
 
 
@@ -82,38 +137,62 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Keys of the texts that the index cannot rule out, one row each."""
-    plan = [(k, g, len(b)) for k, b in enumerate(b for r in rules for b in branches(r)) for g in b]
-    asked = docs.sparkSession.createDataFrame(plan, "branch int, trigram string, need int")
+    """Keys of the texts that the index cannot rule out, and the numbers of the rules that may match."""
+    plan = [(nr, k, g, len(b)) for nr, r in enumerate(rules) for k, b in enumerate(branches(r)) for g in b]
+    asked = docs.sparkSession.createDataFrame(plan, "rule int, branch int, trigram string, need int")
     hits = postings(docs, rules).join(F.broadcast(asked), "trigram")  # a row for each trigram of a rule
-    full = hits.groupBy("key", "branch").agg(F.countDistinct("trigram").alias("n"), F.first("need").alias("need"))
-    return full.where("n = need").select("key").distinct()
+    full = hits.groupBy("key", "rule", "branch").agg(F.countDistinct("trigram").alias("n"), F.first("need").alias("need"))
+    return full.where("n = need").groupBy("key").agg(F.collect_set("rule").alias("hit"))  # len(rules) at most
+
+
+def running(items: Column, zero: Column, value: Callable, combine: Callable, out: Callable) -> Column:
+    """``out(item, combined values of all items before it)`` for each item.
+
+    An array can't be appended to without copying it, so the items are taken in
+    about sqrt(n) chunks: n ** 1.5 steps instead of n ** 2. ``items`` must be a
+    column that is there, not an expression: it is read again for each chunk."""
+    n = F.size(items)
+    chunk = F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int"))
+    numbers = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int"))).otherwise(F.expr("cast(array() as array<int>)"))
+    chunks = F.transform(numbers, lambda i: F.slice(items, i * chunk + 1, chunk))
+    totals = F.transform(chunks, lambda c: F.aggregate(c, zero, lambda a, x: combine(a, value(x))))
+    none = F.slice(F.array(zero), 1, 0)
+    before = F.aggregate(
+        totals, F.struct(zero.alias("at"), none.alias("out")),
+        lambda a, t: F.struct(combine(a["at"], t).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+        lambda a: a["out"],
+    )
+    # per chunk, what lies before each of its items
+    inner = F.zip_with(
+        chunks, before,
+        lambda c, b: F.aggregate(
+            c, F.struct(b.alias("at"), none.alias("out")),
+            lambda a, x: F.struct(combine(a["at"], value(x)).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")),
+            lambda a: a["out"],
+        ),
+    )
+    return F.zip_with(items, F.flatten(inner), out)
 
 
-def found(text: Column, rule: Rule) -> Column:
-    """array<struct<start,stop,nr,kind>> of the rule's matches, in code points.
+def found(rows: DataFrame, rule: Rule, nr: int, may: Column) -> DataFrame:
+    """``rows`` with ``spans{nr}``, an array<struct<start,nr,stop,kind,size>> of
+    the rule's matches in ``text``, in code points; none where ``may`` is not true.
 
     The pieces between matches (split) and the matches themselves give the
     positions; both are leftmost and don't overlap.
     """
-    nr = [r.kind for r in RULES].index(rule.kind) if rule.kind in [r.kind for r in RULES] else len(RULES)
-    gaps = F.split(text, rule.pattern, -1)
-    whole = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    judged = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else whole
-    sizes = F.zip_with(F.slice(gaps, 1, F.size(whole)), whole, lambda g, m: F.struct(F.length(g).cast("long").alias("g"), F.length(m).cast("long").alias("m")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("out"))
-    begins = F.aggregate(
-        sizes, start,
-        lambda a, x: F.struct((a["at"] + x["g"] + x["m"]).alias("at"), F.concat(a["out"], F.array(a["at"] + x["g"])).alias("out")),
-        lambda a: a["out"],
-    )
-    spans = F.transform(
-        F.arrays_zip(begins.alias("b"), whole.alias("w"), judged.alias("j")),
-        lambda x: F.struct(
-            x["b"].alias("start"), F.lit(nr).alias("nr"), (x["b"] + F.length(x["w"])).alias("stop"), F.lit(rule.kind).alias("kind"), F.length(x["j"]).alias("size")
-        ),
+    pattern, kept, text = least_run(rule), rows.columns, F.col("text")
+    whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    judged = F.regexp_extract_all(text, F.lit(pattern), F.lit(rule.group)) if rule.group else whole
+    rows = rows.withColumn("_may", may).select(*kept, F.when(F.col("_may"), whole).alias("_w"), F.when(F.col("_may"), judged).alias("_j"), F.when(F.col("_may"), F.split(text, pattern, -1)).alias("_g"))
+    zipped = F.arrays_zip(F.slice("_g", 1, F.size("_w")).alias("g"), F.col("_w").alias("w"), F.col("_j").alias("j"))
+    sizes = F.transform(zipped, lambda x: F.struct(F.length(x["g"]).cast("long").alias("g"), F.length(x["w"]).cast("long").alias("m"), F.length(x["j"]).alias("j")))
+    spans = running(
+        F.col("_s"), F.lit(0).cast("long"), lambda x: x["g"] + x["m"], lambda a, b: a + b,
+        lambda x, at: F.struct((at + x["g"]).alias("start"), F.lit(nr).alias("nr"), (at + x["g"] + x["m"]).alias("stop"), F.lit(rule.kind).alias("kind"), x["j"].alias("size")),
     )
-    return F.filter(spans, lambda x: x["size"] >= rule.least)
+    spans = F.coalesce(F.filter(spans, lambda x: x["size"] >= rule.least), F.expr(NONE))
+    return rows.select(*kept, F.when(F.size("_w") > 0, sizes).alias("_s")).select(*kept, spans.alias(f"spans{nr}"))
 
 
 NONE = "cast(array() as array<struct<start:bigint,nr:int,stop:bigint,kind:string,size:int>>)"
@@ -126,20 +205,16 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     rows and null ids are judged by their own text. A null text counts as
     empty. The input's columns stay, whatever they are called, under ``row``.
     """
-    indexed = [r for r in rules if branches(r)]
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key")
-    hinted = candidates(docs.select(key, F.coalesce("text", F.lit("")).alias("text")), rules).withColumn("hit", F.lit(True))
+    key = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")).alias("key")
+    hinted = candidates(docs.select(key, F.coalesce("text", F.lit("")).alias("text")), rules)
     # the text travels once, within its row
     joined = docs.select(F.struct("*").alias("row"), key).join(hinted.hint("shuffle_hash"), "key", "left")
-    joined = joined.withColumn("text", F.coalesce("row.text", F.lit("")))
-    parts = []
-    for r in rules:
-        if r in indexed:
-            parts.append(F.when(F.col("hit"), found(F.col("text"), r)).otherwise(F.expr(NONE)))
-        else:
-            # most texts have none
-            parts.append(F.when(F.col("text").rlike(least_run(r)), found(F.col("text"), r)).otherwise(F.expr(NONE)))
-    return joined.select("row", "text", F.array_sort(F.concat(*parts)).alias("spans"))
+    joined = joined.select("row", "hit", F.coalesce("row.text", F.lit("")).alias("text"))
+    for nr, r in enumerate(rules):
+        # most texts have none of the runs that a rule without trigrams asks for
+        may = F.array_contains("hit", nr) if branches(r) else F.col("text").rlike(least_run(r))
+        joined = found(joined, r, nr, may)
+    return joined.select("row", "text", F.array_sort(F.concat(*[f"spans{nr}" for nr in range(len(rules))])).alias("spans"))
 
 
 def summary(scanned: DataFrame) -> DataFrame:
@@ -156,21 +231,16 @@ def summary(scanned: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """The documents with every match replaced by ``mark``; overlapping spans
     become one. Columns stay as they are; ``n_chars``, if there, is recounted."""
-    scanned = scan(docs)
-    # walk the spans by start, keeping what lies before each of them
-    first = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate(
-        "spans", first,
-        lambda a, x: F.when(
-            x["stop"] > a["at"],
-            F.struct(
-                x["stop"].alias("at"),
-                F.concat(a["out"], F.when(x["start"] >= a["at"], F.concat(F.substring(F.col("text"), (a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark))).otherwise(F.lit(""))).alias("out"),
-            ),
-        ).otherwise(a),
-        lambda a: F.concat(a["out"], F.substring(F.col("text"), (a["at"] + 1).cast("int"), F.length("text"))),
-    )
-    done = scanned.select("row", F.when(F.size("spans") > 0, clean).otherwise(F.col("row.text")).alias("clean"))
+    kept = running(F.col("spans"), F.lit(0).cast("long"), lambda x: x["stop"], lambda a, b: F.greatest(a, b), lambda x, at: F.struct(at.alias("a"), x["start"].alias("z")))
+    end = F.array_max(F.transform("spans", lambda x: x["stop"]))
+    gaps = F.concat(F.filter(kept, lambda x: x["z"] >= x["a"]), F.array(F.struct(end.alias("a"), F.length("text").cast("long").alias("z"))))
+    # a piece is found from the text's beginning, so many pieces are cut from the list of its characters
+    letters = F.when(F.size("spans") > 64, F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0)))
+    parted = scan(docs).select("row", "text", F.when(F.size("spans") > 0, gaps).alias("gaps"), letters.alias("letters"))
+    few = F.transform("gaps", lambda x: F.substring(F.col("text"), (x["a"] + 1).cast("int"), (x["z"] - x["a"]).cast("int")))
+    many = F.transform("gaps", lambda x: F.array_join(F.slice("letters", (x["a"] + 1).cast("int"), (x["z"] - x["a"]).cast("int")), ""))
+    clean = F.array_join(F.when(F.col("letters").isNull(), few).otherwise(many), mark)
+    done = parted.select("row", F.when(F.col("gaps").isNotNull(), clean).otherwise(F.col("row.text")).alias("clean"))
     cols = []
     for c in docs.columns:
         if c == "text":
