@@ -80,7 +80,9 @@ def texts(df: DataFrame, *extra: str) -> DataFrame:
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *extra)
 
 
-def small(df: DataFrame, rows: int = 50_000) -> DataFrame:
-    """``df`` to be broadcast if it has at most ``rows`` rows (of a few numbers
-    and a short name each); beyond that, left to a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = 50_000, size: int = 8 << 20) -> DataFrame:
+    """``df`` to be broadcast if it has at most ``rows`` rows of numbers and at
+    most ``size`` bytes in its strings; beyond that, left to a shuffled join."""
+    text = [F.coalesce(F.octet_length(name), F.lit(0)).cast("long") for name, kind in df.dtypes if kind == "string"]
+    n, held = df.agg(F.count("*"), F.coalesce(F.sum(sum(text, F.lit(0).cast("long"))), F.lit(0))).first()
+    return F.broadcast(df) if n <= rows and held <= size else df

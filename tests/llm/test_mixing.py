@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 
 from millrace.llm import mixing
 
@@ -69,3 +70,26 @@ def test_empty_and_wordless(spark):
     assert mixing.mixed_words(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, " ", "a")], "doc_id long, text string, source string")
     assert sorted((x["doc_id"], x["size"], x["target"], x["taken"]) for x in mixing.mixed_words(blank).collect()) == [(1, 0, 0.0, 0), (2, 0, 0.0, 0)]
+
+
+def test_sources_of_any_kind(spark):
+    """An empty name, a name of many letters, many sources, one document beyond all others."""
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 400:03d}", 1) for i in range(2000)]
+    rows += [(5000, "w " * 50_000, "", 1), (5001, "x y", "n" * 10_000, 1), (5002, "a b c", None, 1), (5003, None, "zero", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, order int")
+    sizes = {}
+    for _, t, s, _ in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    want = brute_targets(sizes)
+    plan = mixing.copies(docs).toPandas()
+    plan["source"] = plan["source"].astype(object).where(plan["source"].notna(), None)
+    for s, t in want.items():
+        g = plan[plan["source"].isna()] if s is None else plan[plan["source"] == s]
+        assert (g["source_size"] == sizes[s]).all() and abs(g["target"].iloc[0] - t) < 1e-6 * max(1, t)
+        assert abs((g["copies"] * g["size"]).sum() - t) <= g["size"].max()
+
+
+def test_a_dual_that_is_not_solved_is_an_error(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="1 Newton steps"):
+        mixing.copies(make(spark)[1])
