@@ -187,9 +187,11 @@ def dedupe(documents: DataFrame, length: int = 200, k: int = 64) -> DataFrame:
     docs = repeats.keyed(documents)
     bodies = docs.repartition("key")
     found = repeats.repeated(docs, windows)
-    masks = repeated_elsewhere(repeats.variant_texts(bodies, found, windows), windows)
+    # where an anchor has one snippet only there is nothing to merge: all its windows occur as often as it does
+    masks = repeated_elsewhere(repeats.variant_texts(bodies, found.where("variants > 1"), windows), windows)
     nowhere = F.lit(None).cast("long")
-    verdicts = found.select("d1", "d2", "n", "times").join(masks, ["d1", "d2"]).select("d1", "d2", "n", "times", nowhere.alias("keep_key"), nowhere.alias("keep_at"), "masks")
+    rows = found.select("d1", "d2", "n", "times").join(masks, ["d1", "d2"], "left").where("times > 1 or masks is not null")
+    verdicts = rows.select("d1", "d2", "n", "times", nowhere.alias("keep_key"), nowhere.alias("keep_at"), F.when(F.col("times") == 1, F.col("masks")).alias("masks"))
 
     def report(key, body, marked):
         gone = repeats.cover(len(body), marked, length)
