@@ -11,8 +11,6 @@ before, and is then added to it.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -112,9 +110,6 @@ def first_seen(variants: DataFrame, windows: Windows) -> DataFrame:
     return marks.groupBy("d1", "d2").agg(F.collect_list("mask").alias("masks"))  # two at most
 
 
-REPORT = "doc_id long, n_words long, n_removed long, kept_sha256 string, removed array<struct<first:long,stop:long>>"
-
-
 def dedupe(documents: DataFrame, length: int = 20, k: int = 6) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and removed (spans of words) of every row.
 
@@ -136,15 +131,8 @@ def dedupe(documents: DataFrame, length: int = 20, k: int = 6) -> DataFrame:
         "d1", "d2", "n", "times", F.col("key").alias("keep_key"), F.col("at").alias("keep_at"), F.coalesce("masks", none).alias("masks")
     )
 
-    def report(key, body, marked):
-        words = body.split()
-        gone = repeats.cover(len(words), marked, length)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
-        kept = b" ".join(w for w, g in zip(words, gone.tolist()) if not g) if edge else b" ".join(words)
-        spans = [{"first": a, "stop": b} for a, b in zip(edge[::2], edge[1::2])]
-        return {"doc_id": key, "n_words": len(words), "n_removed": int(gone.sum()), "kept_sha256": hashlib.sha256(kept).hexdigest(), "removed": spans}
-
-    return repeats.judged(docs, bodies, verdicts, windows, report, REPORT)
+    out = repeats.judged(docs, bodies, verdicts, windows)
+    return out.select("doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256", "removed")
 
 
 ORACLE = r"""

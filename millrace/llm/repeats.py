@@ -19,11 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -282,18 +282,12 @@ def variant_texts(bodies: DataFrame, found: DataFrame, windows: Windows) -> Data
     return joined.mapInArrow(run, VARIANT).dropDuplicates(["shard", "d1", "d2"])
 
 
-def cover(n: int, marked: list[tuple[int, np.ndarray]], length: int) -> np.ndarray:
-    """Which of ``n`` units some marked window covers."""
-    edge = np.zeros(n + 1, dtype=np.int32)
-    for lo, flags in marked:
-        at = lo + np.flatnonzero(flags)
-        np.add.at(edge, at, 1)
-        np.add.at(edge, np.minimum(at + length, n), -1)
-    return np.cumsum(edge[:-1]) > 0
+REPORT = "doc_id long, n_units long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<first:long,stop:long>>"
 
 
-def judged(docs: DataFrame, bodies: DataFrame, verdicts: DataFrame, windows: Windows, report: Callable, schema: str) -> DataFrame:
-    """``report(doc_id, text, covered)`` of every row of ``bodies``.
+def judged(docs: DataFrame, bodies: DataFrame, verdicts: DataFrame, windows: Windows) -> DataFrame:
+    """REPORT of every row of ``bodies``: its units, how many marked windows
+    cover, as how many spans, which, and what is left.
 
     ``verdicts``: d1, d2, n, times, keep_key, keep_at (the occurrence whose
     windows ``masks`` tell; null where they tell those of all), masks (packed
@@ -313,24 +307,59 @@ def judged(docs: DataFrame, bodies: DataFrame, verdicts: DataFrame, windows: Win
     lists = marks.groupBy(F.col("key").alias("k2")).agg(F.collect_list("m").alias("marks"))
     joined = bodies.join(lists, F.col("key") == F.col("k2"), "left").select("key", "last", "text", "marks")
 
-    def bits(m: dict) -> np.ndarray:
-        if m["masks"] is None:
-            return np.ones(m["n"], np.uint8)
-        return np.bitwise_or.reduce([np.unpackbits(np.frombuffer(x, np.uint8), count=m["n"]) for x in m["masks"]])
-
     def run(batches):
         for b in batches:
-            for lo, hi, texts in V.parts(b.column(2)):
-                out = []
-                keys, lasts, marks = (b.column(c).slice(lo, hi - lo).to_pylist() for c in (0, 1, 3))
-                for key, last, body, own in zip(keys, lasts, texts, marks):
-                    tie = _tie(body, last) if own else 0
-                    marked = [(m["at"] >> 32, bits(m)) for m in own or () if m["at"] & 0xFFFFFFFF == tie]
-                    out.append(report(None if last else key, body, marked))
-                yield pa.RecordBatch.from_pylist(out, schema=kinds)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    kinds = to_arrow_schema(_parse_datatype_string(schema))
-    return joined.mapInArrow(run, schema)
+            for lo, hi, texts in V.parts(b.column(2), SLICE):
+                keys, lasts = b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)
+                yield _report(keys, lasts.to_pylist(), texts, b.column(3).slice(lo, hi - lo), windows)
+
+    return joined.mapInArrow(run, REPORT)
+
+
+def _windows(marks: pa.ListArray, texts: list[bytes], lasts: list[bool], base: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First units and ends of what is marked; ``base`` has each text's first unit."""
+    of = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False))
+    one = marks.flatten()
+    at, n, masks = one.field("at").to_numpy(), one.field("n").to_numpy(), one.field("masks")
+    ties = np.array([_tie(t, last) if some else -1 for t, last, some in zip(texts, lasts, np.bincount(of, minlength=len(texts)).tolist())], dtype=np.int64)
+    own = (at & 0xFFFFFFFF) == ties[of]  # else another text of this doc_id
+    start, whole = base[of] + (at >> 32), pc.is_null(masks).to_numpy(zero_copy_only=False)
+    begins, ends = [start[own & whole]], [(start + n + length - 1)[own & whole]]
+    for i in np.flatnonzero(own & ~whole).tolist():
+        bits = np.bitwise_or.reduce([np.unpackbits(np.frombuffer(x, np.uint8), count=n[i]) for x in masks[i].as_py()])
+        begins.append(start[i] + np.flatnonzero(bits))
+        ends.append(begins[-1] + length)
+    return np.concatenate(begins), np.concatenate(ends)
+
+
+def _report(keys: pa.Array, lasts: list[bool], texts: list[bytes], marks: pa.ListArray, windows: Windows) -> pa.RecordBatch:
+    seqs = [t.split() for t in texts] if windows.unit == "word" else texts
+    glue = b" " if windows.unit == "word" else b""
+    sizes = np.array([len(x) for x in seqs], dtype=np.int64)
+    base = np.cumsum(sizes) - sizes
+    begins, ends = _windows(marks, texts, lasts, base, windows.length)
+    total = int(sizes.sum())
+    depth = np.cumsum(np.bincount(begins, minlength=total + 1) - np.bincount(ends, minlength=total + 1))[:total]
+    gone = np.zeros(total + 2, dtype=bool)
+    gone[1:-1] = depth > 0
+    edge = np.zeros(total + 1, dtype=bool)  # a span ends with its text
+    edge[base[sizes > 0]] = edge[total] = True
+    first = np.flatnonzero(gone[1:-1] & (~gone[:-2] | edge[:-1]))
+    stop = np.flatnonzero(gone[1:-1] & (~gone[2:] | edge[1:])) + 1
+    of = np.searchsorted(base + sizes, first, side="right")
+    spans, removed = np.bincount(of, minlength=len(texts)), np.bincount(of, weights=stop - first, minlength=len(texts)).astype(np.int64)
+    cuts = np.concatenate([[0], np.cumsum(spans)])
+    first, stop = first - base[of], stop - base[of]
+    kept = []
+    for i, seq in enumerate(seqs):
+        if spans[i]:
+            a, z = [0, *stop[cuts[i] : cuts[i + 1]].tolist()], [*first[cuts[i] : cuts[i + 1]].tolist(), len(seq)]
+            left = [seq[x:y] for x, y in zip(a, z)]
+            body = glue.join(w for part in left for w in part) if glue else b"".join(left)
+        else:
+            body = glue.join(seq) if glue else seq
+        kept.append(hashlib.sha256(body).hexdigest())
+    pairs = pa.StructArray.from_arrays([pa.array(first), pa.array(stop)], ["first", "stop"])
+    doc = pa.array(keys.to_numpy(zero_copy_only=False), pa.int64(), mask=np.array(lasts, dtype=bool))
+    columns = [doc, pa.array(sizes), pa.array(removed), pa.array(spans), pa.array(kept), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)]
+    return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_units", "n_removed", "n_spans", "kept_sha256", "removed"])

@@ -19,8 +19,6 @@ take few steps.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,7 +70,7 @@ class Transform:
         size = alphabet.sizes[texts]
         own = np.repeat(alphabet.first[texts] - np.cumsum(size) + size, size) + np.arange(size.sum())
         place = np.zeros(len(alphabet.ahead), dtype=np.int64)
-        ranks, ahead, symbols = alphabet.letters[16][own].astype(np.int64), alphabet.ahead[own], 16
+        ranks, ahead, symbols, names = alphabet.letters[16][own].astype(np.int64), alphabet.ahead[own], 16, ()
         # double the symbols that count until all rows are told apart, or can't be: two rings
         # that agree for the sum of their sizes agree for ever
         while symbols < 2 * int(size.max(initial=0)):
@@ -82,7 +80,11 @@ class Transform:
                 break
             place[own] = ahead
             ahead, symbols = place[ahead], 2 * symbols
-        self.rows = own[np.argsort(ranks, kind="stable")]
+        if len(names) == len(own):
+            self.rows = np.empty_like(own)
+            self.rows[ranks] = own
+        else:
+            self.rows = own[np.argsort(ranks, kind="stable")]
         self.letters = {k: alphabet.letters[k][alphabet.back[k][self.rows]] for k in (1, 8, 16)}
 
 
@@ -171,9 +173,6 @@ def repeated_elsewhere(variants: DataFrame, windows: Windows) -> DataFrame:
     return marks.groupBy("d1", "d2").agg(F.collect_list("mask").alias("masks"))  # two at most
 
 
-REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<first:long,stop:long>>"
-
-
 def dedupe(documents: DataFrame, length: int = 200, k: int = 64) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and removed (spans of
     bytes) of every row.
@@ -193,14 +192,7 @@ def dedupe(documents: DataFrame, length: int = 200, k: int = 64) -> DataFrame:
     rows = found.select("d1", "d2", "n", "times").join(masks, ["d1", "d2"], "left").where("times > 1 or masks is not null")
     verdicts = rows.select("d1", "d2", "n", "times", nowhere.alias("keep_key"), nowhere.alias("keep_at"), F.when(F.col("times") == 1, F.col("masks")).alias("masks"))
 
-    def report(key, body, marked):
-        gone = repeats.cover(len(body), marked, length)
-        edge = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))).tolist()
-        spans = [{"first": a, "stop": b} for a, b in zip(edge[::2], edge[1::2])]
-        kept = np.frombuffer(body, np.uint8)[~gone].tobytes()
-        return {"doc_id": key, "n_bytes": len(body), "n_removed": int(gone.sum()), "n_spans": len(spans), "kept_sha256": hashlib.sha256(kept).hexdigest(), "removed": spans}
-
-    return repeats.judged(docs, bodies, verdicts, windows, report, REPORT)
+    return repeats.judged(docs, bodies, verdicts, windows).withColumnRenamed("n_units", "n_bytes")
 
 
 ORACLE = r"""
