@@ -31,6 +31,8 @@ SAMPLE = 8_000
 #: Sampled texts that a word must occur in to get a weight.
 LEAST = 4
 DEVIATIONS = 5.0
+#: Weight of the squared weights beside the mean log-likelihood.
+PENALTY = 1e-4
 
 _GAP = np.ones(256, dtype=bool)
 _GAP[128:] = False
@@ -115,8 +117,68 @@ def _digest(doc: bytes) -> int:
     return int.from_bytes(hashlib.blake2b(doc, digest_size=8).digest(), "little", signed=True)
 
 
-def fit_features(doc, word, form, grades, texts, top: int = 2, steps: int = 200, penalty: float = 1e-5, rate: float = 0.15) -> Model:
-    """Penalised maximum likelihood by Adam over the whole sample; deterministic.
+def loss(p: np.ndarray, doc, col, form, grades, words: int, top: int, penalty: float) -> tuple[float, np.ndarray]:
+    """Penalised mean negative log-likelihood and its gradient.
+
+    ``p``: weights of the words, of the form, the first threshold, and the
+    logarithms of the gaps between thresholds (so they stay in order)."""
+    n, k = len(grades), words
+    w, f, first, gap = p[:k], p[k : k + form.shape[1]], p[k + form.shape[1]], p[k + form.shape[1] + 1 :]
+    theta = first + np.concatenate([[0], np.cumsum(np.exp(gap))])
+    s = form @ f + np.bincount(doc, weights=w[col], minlength=n)
+    tail = np.concatenate([np.ones((n, 1)), sigmoid(s[:, None] - theta), np.zeros((n, 1))], axis=1)
+    rows = np.arange(n)
+    hi, lo = tail[rows, grades], tail[rows, grades + 1]
+    chance = np.maximum(hi - lo, 1e-300)
+    d_hi, d_lo = hi * (1 - hi) / chance, lo * (1 - lo) / chance
+    d_s = -(d_hi - d_lo) / n
+    d_theta = np.array([(d_hi[grades == j + 1].sum() - d_lo[grades == j].sum()) / n for j in range(top)])
+    value = -np.log(chance).mean() + penalty / 2 * (w @ w + f @ f) + 5e-5 * (first * first + gap @ gap)
+    g = np.concatenate([
+        np.bincount(col, weights=d_s[doc], minlength=k) + penalty * w,
+        form.T @ d_s + penalty * f,
+        [d_theta.sum() + 1e-4 * first],
+        np.array([d_theta[j + 1 :].sum() * np.exp(gap[j]) for j in range(top - 1)]) + 1e-4 * gap,
+    ])
+    return float(value), g
+
+
+def descend(f, p: np.ndarray, close: float = 1e-6, steps: int = 2000, memory: int = 12) -> np.ndarray:
+    """The minimum of ``f`` (value and gradient) by L-BFGS; an error where no
+    component of the gradient falls below ``close`` within ``steps`` steps."""
+    value, g = f(p)
+    past: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(steps):
+        if np.abs(g).max() <= close:
+            return p
+        d, told = -g, []
+        for s, y in reversed(past):
+            a = s @ d / (s @ y)
+            d = d - a * y
+            told.append(a)
+        if past:
+            s, y = past[-1]
+            d = d * (s @ y) / (y @ y)
+        for (s, y), a in zip(past, reversed(told)):
+            d = d + s * (a - y @ d / (s @ y))
+        slope, length = g @ d, 1.0 if past else 1 / max(1.0, np.abs(g).max())
+        if slope >= 0:  # no way down: start anew with the gradient
+            past, d, slope = [], -g, -(g @ g)
+        for _ in range(60):
+            fresh = p + length * d
+            low, g2 = f(fresh)
+            if low <= value + 1e-4 * length * slope:
+                break
+            length /= 2
+        s, y = fresh - p, g2 - g
+        if s @ y > 1e-12 * np.sqrt((s @ s) * (y @ y)):
+            past = [*past[1 - memory :], (s, y)]
+        p, value, g = fresh, low, g2
+    raise RuntimeError(f"ordinal: the gradient is still {np.abs(g).max():.2e} after {steps} steps")
+
+
+def fit_features(doc, word, form, grades, texts, top: int = 2, penalty: float = PENALTY) -> Model:
+    """Penalised maximum likelihood over the whole sample, to a gradient of zero; deterministic.
 
     (doc, word) are the texts' features, ``texts`` digests that tell equal texts."""
     n = len(grades)
@@ -141,26 +203,7 @@ def fit_features(doc, word, form, grades, texts, top: int = 2, steps: int = 200,
     theta = -np.log(share / (1 - share))
     gaps = np.log(np.maximum(np.diff(theta), 1e-2))
     p = np.concatenate([np.zeros(k + form.shape[1]), theta[:1], gaps])
-    m, v = np.zeros_like(p), np.zeros_like(p)
-    for t in range(1, steps + 1):
-        w, f, first, gap = p[:k], p[k : k + form.shape[1]], p[k + form.shape[1]], p[k + form.shape[1] + 1 :]
-        theta = first + np.concatenate([[0], np.cumsum(np.exp(gap))])
-        s = form @ f + np.bincount(doc, weights=w[col], minlength=n)
-        tail = np.concatenate([np.ones((n, 1)), sigmoid(s[:, None] - theta), np.zeros((n, 1))], axis=1)
-        rows = np.arange(n)
-        hi, lo = tail[rows, grades], tail[rows, grades + 1]
-        inv = 1 / np.maximum(hi - lo, 1e-9)
-        d_hi, d_lo = hi * (1 - hi) * inv, lo * (1 - lo) * inv
-        d_s = -(d_hi - d_lo) / n
-        d_theta = np.array([(d_hi[grades == j + 1].sum() - d_lo[grades == j].sum()) / n for j in range(top)])
-        g = np.concatenate([
-            np.bincount(col, weights=d_s[doc], minlength=k) + penalty * w,
-            form.T @ d_s + penalty * f,
-            [d_theta.sum() + 1e-4 * first],
-            np.array([d_theta[j + 1 :].sum() * np.exp(gap[j]) for j in range(top - 1)]) + 1e-4 * gap,
-        ])
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        p = p - rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
+    p = descend(lambda x: loss(x, doc, col, form, grades, k, top, penalty), p)
     theta = p[k + form.shape[1]] + np.concatenate([[0], np.cumsum(np.exp(p[k + form.shape[1] + 1 :]))])
     order = np.argsort(names[keep])
     return Model(names[keep][order], p[:k][order], p[k : k + form.shape[1]], theta)

@@ -34,6 +34,36 @@ def test_grades_of_held_out_texts():
     assert abs(tails.sum(axis=1) - grades).mean() < 0.3
 
 
+def test_the_fit_is_the_optimum_of_the_likelihood():
+    """Against a likelihood written out rating by rating: its slope is zero in every direction."""
+    import math
+
+    g = np.random.default_rng(4)
+    n, k = 60, 5
+    doc, col = np.repeat(np.arange(n), 2), g.integers(0, k, 2 * n)
+    form, grades = g.random((n, 3)), g.integers(0, 3, n)
+
+    def brute(p):
+        theta = [p[k + 3], p[k + 3] + math.exp(p[k + 4])]
+        total = 0.0
+        for i in range(n):
+            s = sum(p[c] for d, c in zip(doc, col) if d == i) + sum(p[k + j] * form[i, j] for j in range(3))
+            tail = [1.0, *(1 / (1 + math.exp(t - s)) for t in theta), 0.0]
+            total -= math.log(tail[grades[i]] - tail[grades[i] + 1])
+        return total / n + 0.005 * sum(x * x for x in p[: k + 3]) + 5e-5 * (p[k + 3] ** 2 + p[k + 4] ** 2)
+
+    f = lambda p: ordinal.loss(p, doc, col, form, grades, k, 2, 0.01)
+    best = ordinal.descend(f, np.zeros(k + 5))
+    assert abs(f(best)[0] - brute(best)) < 1e-12
+    for i in range(k + 5):
+        step = np.zeros(k + 5)
+        step[i] = 1e-4
+        assert abs(brute(best + step) - brute(best - step)) / 2e-4 < 1e-5
+        assert min(brute(best + step * 100), brute(best - step * 100)) > brute(best)
+    with pytest.raises(RuntimeError, match="after 2 steps"):
+        ordinal.descend(f, np.zeros(k + 5), steps=2)
+
+
 def test_odd_samples():
     assert ordinal.fit([], np.zeros(0, dtype=int)).tails([b"", b"x"]).shape == (2, 2)
     one = ordinal.fit([b"a b", b"c"], np.array([2, 2]))
@@ -59,6 +89,7 @@ def test_held_out_ratings(spark):
     docs, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
     model = ordinal.train(docs, labels.where("doc_id % 4 <> 0"))
     got = ordinal.grade(docs, model).join(labels.where("doc_id % 4 = 0"), "doc_id").withColumn("good", (F.col("quality") == 1) & (F.col("toxic") == 0))
+    print({(r["good"], r["keep"]): r["count"] for r in got.groupBy("good", "keep").count().collect()})
     counts = {(r["good"], r["keep"]): r["count"] for r in got.groupBy("good", "keep").count().collect()}
     assert counts.get((True, False), 0) <= 0.02 * counts[True, True]
     assert counts.get((False, True), 0) <= 0.3 * counts[False, False]
