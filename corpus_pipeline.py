@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import minhash, mixing, ordinal, packing, secrets
@@ -16,17 +16,32 @@ LEAST = 0.5
 NEAR = 80
 
 
+# Every stage: a null text counts as empty, repeated rows and null ids or sources
+# are rows like others unless said, an empty table gives an empty table, and columns
+# beside those of documents stay as they are, whatever they are called.
+
+
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose chance of the top grade is one half or more."""
+    """Documents whose chance of the top grade is one half or more. Without
+    ratings nothing is known against a text, and the thresholds' prior decides."""
     model = ordinal.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return ordinal.accepted(docs, model, LEAST)
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of links of ``NEAR`` percent or more, the one with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs, NEAR).where("not kept").select("doc_id").distinct()
-    left = docs.join(gone.hint("shuffle_hash"), "doc_id", "left_anti")
-    return left.select(*docs.columns)
+    """One document of each group of links of ``NEAR`` percent or more, the one
+    with the smallest doc_id; of several rows of that id the one whose text has
+    the smallest hash. Texts without words link with nothing, rows without
+    doc_id neither: both stay, repeated ones once for each doc_id."""
+    groups = minhash.near_duplicates(docs, NEAR).where("doc_id is not null")
+    gone = groups.where("not kept").select("doc_id").distinct()
+    named = docs.where("doc_id is not null")
+    left = named.join(gone.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
+    row = F.struct(*docs.columns)
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text"))
+    left = left.select(F.col("doc_id"), F.col("text"), row.alias("row")).withColumn("nth", nth).where("nth = 1")
+    left = left.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+    return left.unionByName(docs.where("doc_id is null"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +50,7 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def mixing_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them, three times at most; those without words once."""
     return mixing.mixed_documents(docs)
 
 
