@@ -13,7 +13,7 @@ def brute_set(text):
     return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(d, brute_set(t)) for d, t, *_ in rows]
     parent = {d: d for d, _ in sets}
 
@@ -24,7 +24,7 @@ def brute(rows):
 
     for i, (a, x) in enumerate(sets):
         for b, y in sets[:i]:
-            if x and y and a is not None and b is not None and 100 * len(x & y) >= 85 * len(x | y):
+            if x and y and a is not None and b is not None and 100 * len(x & y) >= percent * len(x | y):
                 u, v = root(a), root(b)
                 parent[max(u, v)] = min(u, v)
     return sorted((d, len(s), root(d) if s else d) for d, s in sets)

@@ -42,7 +42,7 @@ def test_stages_do_what_brute_force_does(spark, tmp_path):
     assert len(after) > len(before) / 2
     # 1: the smallest id of each group of all-pairs links
     before, after = kept[1]
-    first = {d: c for d, _, c in brute_groups([(r[0], r[1]) for r in before])}
+    first = {d: c for d, _, c in brute_groups([(r[0], r[1]) for r in before], corpus_pipeline.NEAR)}
     assert sorted(after) == sorted(r for r in before if first[r[0]] == r[0])
     # 2: every secret is replaced, nothing else
     before, after = kept[2]
@@ -87,3 +87,33 @@ def test_stages_do_what_brute_force_does(spark, tmp_path):
         assert at <= 2048
     tokens = sum(x[3] for x in after)
     assert len(places) <= -(-tokens // 2048) + 2
+
+
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty and very long texts, ties, repeated rows, an empty table, clashing names."""
+    long = " ".join(f"w{i % 977}" for i in range(150_000))
+    text = " ".join(f"v{i}" for i in range(80))
+    base = [
+        (1, text, "en", "a", None), (1, text, "en", "a", 5), (2, text + " end", None, "a", 1), (3, "", "en", None, 0), (3, "", "en", None, 0), (4, None, None, None, None),
+        (None, text, "en", "b", 1), (None, text, "en", "b", 1), (None, None, "en", "b", 1), (5, long, "en", "b", len(long)), (6, "token=abcdefgh " * 300, "de", "c", 1), (7, "x" * 300_000, "de", "c", 1),
+    ]
+    extra = [(*r, "k", i, [1]) for i, r in enumerate(base)]
+    docs = spark.createDataFrame(extra, "doc_id long, text string, lang string, source string, n_chars long, row string, nth int, spans array<int>")
+    docs.drop("row", "nth", "spans").write.parquet(f"{tmp_path}/in/documents.parquet")
+    spark.createDataFrame([(1, 1, 0), (6, 0, 1), (None, 1, 1), (5, None, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/in/labels.parquet")
+    for name, step in corpus_pipeline.STAGES[:-1]:
+        out = step(spark, docs, f"{tmp_path}/in")
+        assert out.dtypes == docs.dtypes, name
+        got = rows(out)
+        assert not rows(step(spark, docs.limit(0), f"{tmp_path}/in"))
+        if name == "minhash near-dedup":
+            left = sorted((r[0] or 0, len(r[1] or "")) for r in got)
+            assert left == [(0, 0), (0, len(text)), (0, len(text)), (1, len(text)), (3, 0), (4, 0), (5, len(long)), (6, 4500), (7, 300_000)]
+        if name == "secret scans":
+            assert sorted(r[1] or "" for r in got) == sorted((r[1] or "").replace("token=abcdefgh", "[SECRET]") for r in extra)
+        if name == "mixing to target weights":
+            assert all(n <= 3 for n in Counter(r[6] for r in got).values())
+    pieces = rows(corpus_pipeline.STAGES[-1][1](spark, docs, ""))
+    assert Counter(p[0] for p in pieces if p[1] == 0) == Counter(r[0] for r in extra)
+    assert not rows(corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), ""))
+    assert corpus_pipeline.run(spark, f"{tmp_path}/in").count() > 0
