@@ -1,115 +1,199 @@
-"""Text and links of HTML pages."""
+"""Text and links of HTML pages.
+
+Which text belongs to which element depends on nesting and on end tags that are
+left out, which no regular expression over a page can tell. So pages are walked
+tag by tag (:class:`Tree`) in an Arrow-batched UDF, once for all that a query
+asks of them; links, which don't nest, stay in the JVM.
+"""
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from millrace.functions import text as T
 
-# What is dropped, what is kept, and from which length.
-DROPPED = ("script", "style", "noscript", "header", "footer", "nav", "aside", "form", "iframe")
-EMITTED = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "td", "th", "dt", "dd")
+# What is dropped, what holds the content, what is kept, and from which length.
+DROPPED = ("script", "style", "noscript", "header", "footer", "nav", "aside", "form", "iframe", "svg")
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
+EMITTED = ("p", "li", "td", "th", "dt", "dd")
+CONTENT_CLASS = r"(?i)entry-content|post-content|page-content|faq|content-area"
+CONTENT_ID = r"(?i)content|main|faq|primary"
 SHORTEST = 10
 LINKS = 20
 _ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&middot;", "·"), ("&copy;", "©"), ("&amp;", "&"))
 
+VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+_BLOCKS = "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
+#: Start tag: (elements that it ends if they are open, elements beyond which it doesn't look).
+ENDS = {
+    **{t: (("p",), ("td", "th", "table", "div", "section", "article", "main", "li", "dd", "body")) for t in _BLOCKS},
+    "li": (("li",), ("ul", "ol", "menu")),
+    "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)),
+    "option": (("option",), ("select",)), "body": (("head",), ()),
+}
 
-def without_subtrees(c: Column) -> Column:
-    c = F.regexp_replace(c, r"(?s)<!--.*?-->", "")
-    for tag in DROPPED:
-        c = F.regexp_replace(c, rf"(?is)<{tag}\b.*?</{tag}\s*>", "")
-    return c
 
+class Tree(HTMLParser):
+    """A page's elements in document order, each with the range of its strings.
 
-def main_content(c: Column) -> Column:
-    """The first of main, article, div by class or id, body; the page where none is."""
-    picks = (r"(?is)<main\b[^>]*>(.*?)</main>", r"(?is)<article\b[^>]*>(.*?)</article>", r"(?is)<div\b[^>]*(?:class|id)=\"[^\"]*(?:content|main)[^\"]*\"[^>]*>(.*?)</div>", r"(?is)<body\b[^>]*>(.*)</body>")
-    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in picks], c)
+    ``elements``: [tag, class, id, first string, end, last element inside + 1]. What
+    is in a dropped element is left out. End tags that are missing are supplied
+    where the next start tag demands it."""
 
+    def __init__(self, dropped: tuple[str, ...] = DROPPED):
+        super().__init__(convert_charrefs=True)
+        self.dropped, self.strings, self.elements = frozenset(dropped), [], []
+        self.open: list[tuple[str, int]] = []  # tag, element (-1: in what is dropped)
+        self.skip, self.fresh = 0, True
+
+    def _end(self, at: int) -> None:
+        """Close the open elements from ``at`` on."""
+        for tag, i in self.open[at:]:
+            if i >= 0:
+                self.elements[i][4:] = [len(self.strings), len(self.elements)]
+            elif tag in self.dropped:
+                self.skip -= 1
+        del self.open[at:]
 
-def plain(c: Column) -> Column:
-    """Text of a fragment: tags out, entities decoded, white space collapsed."""
-    c = F.regexp_replace(F.regexp_replace(c, r"(?is)<br\s*/?>", " "), r"<[^>]*>", "")
-    for name, sign in _ENTITIES:
-        c = F.replace(c, F.lit(name), F.lit(sign))
-    return F.trim(F.regexp_replace(c, r"\s+", " "))
+    def handle_starttag(self, tag, attrs):
+        self.fresh = True
+        ended, bounds = ENDS.get(tag, ((), ()))
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] in ended:
+                self._end(at)
+                break
+            if self.open[at][0] in bounds:
+                break
+        if not self.skip and tag not in self.dropped:
+            named = dict(attrs)
+            self.elements.append([tag, named.get("class") or "", named.get("id") or "", len(self.strings), len(self.strings), len(self.elements) + 1])
+        if tag in VOID:
+            return
+        if tag in self.dropped:
+            self.skip += 1
+        self.open.append((tag, -1 if self.skip else len(self.elements) - 1))
 
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID and tag in self.dropped:
+            self._end(len(self.open) - 1)
 
-def main_text(c: Column) -> Column:
-    """Headings as ``## text`` lines and the longer text elements, for flat markup."""
-    body = main_content(without_subtrees(c))
-    pattern = F.lit(r"(?is)<(h[1-6]|p|li|td|th|dt|dd)\b[^>]*>(.*?)</(?:h[1-6]|p|li|td|th|dt|dd)>")
-    tags, inner = F.regexp_extract_all(body, pattern, F.lit(1)), F.regexp_extract_all(body, pattern, F.lit(2))
-    told = F.zip_with(tags, inner, lambda t, x: F.struct(F.lower(t).alias("t"), plain(x).alias("x")))
-    told = F.filter(told, lambda z: z["t"].startswith("h") | (F.length(z["x"]) > SHORTEST))
-    lines = F.transform(told, lambda z: F.when(z["t"].startswith("h"), F.concat(F.lit("\n## "), z["x"], F.lit("\n"))).otherwise(z["x"]))
-    return F.trim(F.regexp_replace(F.array_join(lines, "\n"), r"\n{3,}", "\n\n"))
+    def handle_endtag(self, tag):
+        self.fresh = True
+        for at in range(len(self.open) - 1, -1, -1):
+            if self.open[at][0] == tag:
+                self._end(at)
+                break
 
+    def handle_comment(self, data):
+        self.fresh = True
 
-BLOCKS = ArrayType(StructType([StructField("ord", IntegerType()), StructField("tag", StringType()), StructField("text", StringType())]))
+    def handle_data(self, data):
+        if self.skip:
+            return
+        if self.fresh:
+            self.strings.append(data)
+        else:
+            self.strings[-1] += data
+        self.fresh = False
+
+    def said(self, element: list, glue: str) -> str:
+        parts = (x.strip() for x in self.strings[element[3] : element[4]])
+        return glue.join(x for x in parts if x)
+
+    def content(self) -> list | None:
+        """The first main, else article, else div by class, else by id, else body; None without elements."""
+        wanted = (
+            lambda e: e[0] == "main", lambda e: e[0] == "article",
+            lambda e: e[0] == "div" and any(re.search(CONTENT_CLASS, c) for c in e[1].split()),
+            lambda e: e[0] == "div" and re.search(CONTENT_ID, e[2]), lambda e: e[0] == "body",
+        )
+        for test in wanted:
+            for e in self.elements:
+                if test(e):
+                    return e
+        return ["", "", "", 0, len(self.strings), len(self.elements)] if self.elements else None
+
+    def told(self, spans: bool) -> list[tuple[str, str]]:
+        """(tag, text) of the content's elements; one inside another is told twice."""
+        top = self.content()
+        if top is None:
+            return []
+        first = next((i + 1 for i, e in enumerate(self.elements) if e is top), 0)
+        kinds, out = EMITTED + ("span",) * spans, []
+        for e in self.elements[first : top[5]]:
+            if e[0] in HEADINGS:
+                text = self.said(e, "")
+                if text:
+                    out.append((e[0], text))
+            elif e[0] in kinds:
+                text = self.said(e, " ")
+                if len(text) > SHORTEST:
+                    out.append((e[0], text))
+        return out
 
 
-class _Walker(HTMLParser):
-    """Texts of elements in document order; an element inside another is told twice."""
+def parse(page: str | None, dropped: tuple[str, ...] = DROPPED) -> Tree:
+    tree = Tree(dropped)
+    tree.feed(page or "")
+    tree.close()
+    tree._end(0)
+    return tree
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.skip, self.open, self.found = 0, [], []
 
-    def handle_starttag(self, tag, attrs):
-        if tag in DROPPED:
-            self.skip += 1
-        if tag in EMITTED and not self.skip:
-            entry = [tag, []]
-            self.open.append(entry)
-            self.found.append(entry)
+def as_text(tree: Tree, spans: bool) -> str:
+    """Headings as ``## text`` lines between blank ones, other elements as lines; plain strings where a page has no elements."""
+    if tree.content() is None:
+        return "\n".join(x.strip() for x in tree.strings if x.strip())
+    lines = [f"\n## {text}\n" if tag in HEADINGS else text for tag, text in tree.told(spans)]
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()
 
-    def handle_endtag(self, tag):
-        if tag in DROPPED:
-            self.skip = max(0, self.skip - 1)
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                del self.open[i:]
-                break
 
-    def handle_data(self, data):
-        if not self.skip:
-            for entry in self.open:
-                entry[1].append(data)
-
-
-@F.pandas_udf(BLOCKS)
-def blocks(pages: pd.Series) -> pd.Series:
-    """Elements of pages with nested markup, by a walk of the tags."""
-
-    def walk(page):
-        w = _Walker()
-        w.feed(page or "")
-        w.close()
-        out = []
-        for tag, parts in w.found:
-            text = " ".join("".join(parts).split())
-            if tag[0] == "h" or len(text) > SHORTEST:
-                out.append({"ord": len(out), "tag": tag, "text": text})
-        return out
+def extracted(c: Column, spans: bool = True, dropped: tuple[str, ...] = DROPPED) -> Column:
+    """struct<text, blocks: array<struct<ord, tag, text>>> of a page. ``spans``: whether span elements count."""
+
+    @F.pandas_udf("text string, blocks array<struct<ord:int,tag:string,text:string>>")
+    def run(pages: pd.Series) -> pd.DataFrame:
+        trees = [parse(x, dropped) for x in pages]
+        blocks = [[{"ord": i, "tag": tag, "text": text} for i, (tag, text) in enumerate(t.told(spans))] for t in trees]
+        return pd.DataFrame({"text": [as_text(t, spans) for t in trees], "blocks": blocks})
+
+    return run(c)
+
+
+def plain(c: Column) -> Column:
+    """Text of a fragment: tags out, entities decoded, white space collapsed."""
+    c = F.regexp_replace(F.regexp_replace(c, r"(?is)<br\s*/?>", " "), r"<[^>]*>", "")
+    for name, sign in _ENTITIES:
+        c = F.replace(c, F.lit(name), F.lit(sign))
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
 
-    return pages.map(walk)
 
+def links(pages: DataFrame, most: int | None = LINKS, ending: str = "", holds: tuple[str, ...] = ()) -> DataFrame:
+    """page_id, nth, url, title of the distinct links of each page, first seen first, made absolute.
 
-def links(pages: DataFrame, most: int | None = LINKS) -> DataFrame:
-    """page_id, nth, url, title of the distinct links of each page, first seen first, made absolute."""
+    ``ending``: what a url has to end with, in either case (".pdf"); ``holds``:
+    words of which the link's text or url has to hold one."""
     href = F.lit(r"(?is)<a\b[^>]*href=\"([^\"]+)\"[^>]*>(.*?)</a>")
     both = F.arrays_zip(F.regexp_extract_all("html", href, F.lit(1)).alias("h"), F.regexp_extract_all("html", href, F.lit(2)).alias("t"))
     rows = pages.select("page_id", F.regexp_extract("url", r"^(https?:)//", 1).alias("scheme"), F.regexp_extract("url", r"^(https?://[^/]+)", 1).alias("site"), F.posexplode(both).alias("pos", "a"))
-    h = F.col("a.h")
+    h = F.trim(F.col("a.h"))
     url = F.when(h.startswith("//"), F.concat("scheme", h)).when(h.startswith("/"), F.concat("site", h)).otherwise(h)
     rows = rows.select("page_id", "pos", url.alias("url"), plain(F.col("a.t")).alias("said"))
+    if ending:
+        rows = rows.where(F.lower("url").endswith(ending.lower()))
     first = rows.withColumn("_n", F.row_number().over(Window.partitionBy("page_id", "url").orderBy("pos"))).where("_n = 1")
+    if holds:
+        low, any_of = F.lower(F.concat_ws(" ", "said", "url")), F.lit(False)
+        for word in holds:
+            any_of = any_of | F.contains(low, F.lit(word.lower()))
+        first = first.where(any_of)
     title = F.when(F.col("said") != "", F.col("said")).otherwise(T.title_from_url(F.col("url")))
     out = first.withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy("pos"))).select("page_id", "nth", "url", title.alias("title"))
     return out if most is None else out.where(F.col("nth") <= most)

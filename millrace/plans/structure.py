@@ -188,40 +188,64 @@ def plain_sql(c: str) -> str:
     return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
 
 
-CUT = "regexp_replace(html, '(?s)<!--.*?-->', '', 'g')"
-for _tag in H.DROPPED:
-    CUT = f"regexp_replace({CUT}, '(?is)<{_tag}\\b.*?</{_tag}\\s*>', '', 'g')"
-ELEMENT = r"'(?is)<(h[1-6]|p|li|td|th|dt|dd)\b[^>]*>(.*?)</(?:h[1-6]|p|li|td|th|dt|dd)>'"
-MAIN_TEXT = rf"""
-WITH a AS (SELECT page_id, {CUT} AS c FROM pages),
-m AS (SELECT page_id, coalesce(nullif(regexp_extract(c, '(?is)<main\b[^>]*>(.*?)</main>', 1), ''), nullif(regexp_extract(c, '(?is)<article\b[^>]*>(.*?)</article>', 1), ''), c) AS c FROM a),
-e AS (SELECT page_id, list_zip(regexp_extract_all(c, {ELEMENT}, 1), regexp_extract_all(c, {ELEMENT}, 2)) AS z FROM m),
-t AS (SELECT page_id, list_filter(list_transform(z, lambda x: {{'t': lower(x[1]), 'x': {plain_sql('x[2]')}}}), lambda y: y.t[1] = 'h' OR length(y.x) > 10) AS z FROM e)
-SELECT page_id, md5(trim(regexp_replace(array_to_string(list_transform(z, lambda y: CASE WHEN y.t[1] = 'h' THEN chr(10) || '## ' || y.x || chr(10) ELSE y.x END), chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'))) AS digest, len(z) AS elements FROM t
+def decoded_sql(c: str) -> str:
+    for name, sign in H._ENTITIES:
+        c = f"replace({c}, {literal(name)}, {literal(sign)})"
+    return c
+
+
+def _any_tag(tags) -> str:
+    return "[" + ", ".join(map(literal, tags)) + "]"
+
+
+# Pages as a stream of tags and texts; windows over it tell what is dropped, what
+# lies in the article, and which element a text belongs to. An element ends with
+# its end tag or where the next one begins (these pages nest none in another).
+ELEMENTS = rf"""
+WITH t0 AS (SELECT page_id, regexp_extract_all(regexp_replace(html, '(?is)<(?:script|style)\b.*?</(?:script|style)\s*>', '', 'g'), '(?s)<!--.*?-->|<[a-zA-Z/!][^>]*>|[^<]+') AS z FROM pages),
+t1 AS (SELECT page_id, unnest(z) AS tok, generate_subscripts(z, 1) AS i FROM t0),
+t2 AS (SELECT *, CASE WHEN tok[1] = '<' THEN lower(regexp_extract(tok, '^</?([a-zA-Z0-9]+)', 1)) END AS tag, tok[1:2] = '</' AS closes, tok[1] <> '<' AS txt FROM t1),
+t3 AS (SELECT *, sum(CASE WHEN list_contains({_any_tag(H.DROPPED)}, tag) THEN CASE WHEN closes THEN -1 ELSE 1 END ELSE 0 END) OVER w AS lost,
+ sum(CASE WHEN tag = 'article' THEN CASE WHEN closes THEN -1 ELSE 1 END ELSE 0 END) OVER w AS inside FROM t2 WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+t4 AS (SELECT *, list_contains({_any_tag((*H.HEADINGS, *H.EMITTED, 'span'))}, tag) AS kind FROM t3 WHERE lost = 0 AND inside > 0),
+t5 AS (SELECT *, sum(CASE WHEN kind AND NOT closes THEN 1 ELSE 0 END) OVER w AS nr, last(CASE WHEN kind THEN NOT closes END IGNORE NULLS) OVER w AS live, last(CASE WHEN kind THEN tag END IGNORE NULLS) OVER w AS own
+ FROM t4 WINDOW w AS (PARTITION BY page_id ORDER BY i)),
+t6 AS (SELECT page_id, nr, max(own) AS tag, list(trim({decoded_sql('tok')}, E' \t\n\r\f') ORDER BY i) AS x FROM t5 WHERE txt AND live GROUP BY page_id, nr),
+t7 AS (SELECT page_id, nr, tag, CASE WHEN tag[1] = 'h' THEN array_to_string(list_filter(x, lambda y: y <> ''), '') ELSE array_to_string(list_filter(x, lambda y: y <> ''), ' ') END AS text FROM t6),
+elements AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY nr) - 1 AS INTEGER) AS ord, tag, text FROM t7 WHERE text <> '' AND (tag[1] = 'h' OR length(text) > 10))
 """
 
 
-@query(MAIN_TEXT)
+def _extracted(spark, d):
+    return table(spark, d, "pages").select("page_id", H.extracted(F.col("html")).alias("x"))
+
+
+@query(ELEMENTS + r""" SELECT page_id, md5(trim(regexp_replace(string_agg(CASE WHEN tag[1] = 'h' THEN chr(10) || '## ' || text || chr(10) ELSE text END, chr(10) ORDER BY ord), '
+{3,}', chr(10) || chr(10), 'g'), E' 	
+
+')) AS digest,
+ count(*) AS elements FROM elements GROUP BY page_id""")
 def html_main_text(spark, d):
-    text = H.main_text(F.col("html"))
-    pages = table(spark, d, "pages")
-    body = H.main_content(H.without_subtrees(F.col("html")))
-    inner = F.regexp_extract_all(body, F.lit(r"(?is)<(h[1-6]|p|li|td|th|dt|dd)\b[^>]*>(.*?)</(?:h[1-6]|p|li|td|th|dt|dd)>"), F.lit(0))
-    told = F.filter(inner, lambda x: F.lower(F.substring(x, 2, 1)).eqNullSafe("h") | (F.length(H.plain(x)) > H.SHORTEST))
-    return pages.select("page_id", F.md5(text.cast("binary")).alias("digest"), F.size(told).cast("long").alias("elements"))
+    rows = _extracted(spark, d).where(F.size("x.blocks") > 0)
+    return rows.select("page_id", F.md5(F.col("x.text").cast("binary")).alias("digest"), F.size("x.blocks").cast("long").alias("elements"))
 
 
-@query()
+@query(ELEMENTS + " SELECT page_id, ord, tag, text FROM elements")
 def html_blocks(spark, d):
-    """Elements by a walk of the tags; held against brute force in the tests."""
-    rows = table(spark, d, "pages").select("page_id", F.explode(H.blocks(F.col("html"))).alias("b"))
+    rows = _extracted(spark, d).select("page_id", F.explode("x.blocks").alias("b"))
     return rows.select("page_id", "b.ord", "b.tag", "b.text")
 
 
+@query(ELEMENTS + " SELECT page_id, tag, count(*) AS n, max(length(text)) AS longest FROM elements GROUP BY ALL")
+def html_element_report(spark, d):
+    rows = _extracted(spark, d).select("page_id", F.explode("x.blocks").alias("b"))
+    return rows.groupBy("page_id", "b.tag").agg(F.count("*").alias("n"), F.max(F.length("b.text")).cast("long").alias("longest"))
+
+
 LINKS = rf"""
 WITH a AS (SELECT page_id, regexp_extract(url, '^(https?://[^/]+)', 1) AS site, regexp_extract_all(html, '(?is)<a\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 1) AS h, regexp_extract_all(html, '(?is)<a\b[^>]*href="([^"]+)"[^>]*>(.*?)</a>', 2) AS t FROM pages),
 b AS (SELECT page_id, site, unnest(h) AS h, unnest(t) AS t, generate_subscripts(h, 1) AS pos FROM a),
-c AS (SELECT page_id, pos, CASE WHEN h LIKE '/%' THEN site || h ELSE h END AS url, {plain_sql('t')} AS title FROM b),
+c AS (SELECT page_id, pos, CASE WHEN h LIKE '//%' THEN 'https:' || h WHEN h LIKE '/%' THEN site || h ELSE h END AS url, {plain_sql('t')} AS title FROM b),
 e AS (SELECT *, row_number() OVER (PARTITION BY page_id, url ORDER BY pos) AS n FROM c),
 f AS (SELECT page_id, url, title, row_number() OVER (PARTITION BY page_id ORDER BY pos) AS nth FROM e WHERE n = 1)
 """
@@ -237,6 +261,19 @@ def html_link_dedupe(spark, d):
     return H.links(table(spark, d, "pages"), None).groupBy("url").agg(F.min("page_id").alias("first_page"), F.count("*").alias("pages"))
 
 
+HELD = ("THE", "/de", "hath")
+
+
+@query(LINKS.replace("WHERE n = 1)", "WHERE n = 1 AND (" + " OR ".join(f"contains(lower(title || ' ' || url), {literal(w.lower())})" for w in HELD) + "))") + " SELECT page_id, nth, url, title FROM f WHERE nth <= 3")
+def html_link_filter(spark, d):
+    return H.links(table(spark, d, "pages"), 3, holds=HELD).withColumn("nth", F.col("nth").cast("long"))
+
+
+@query(LINKS.replace("FROM b),", "FROM b WHERE lower(h) LIKE '%e'),") + " SELECT page_id, nth, url, title FROM f WHERE nth <= 20")
+def html_link_ending(spark, d):
+    return H.links(table(spark, d, "pages"), ending="E").withColumn("nth", F.col("nth").cast("long"))
+
+
 @query("SELECT page_id, CASE WHEN length(url) < 150 AND length(html) > length(url) THEN md5(html) ELSE md5(url) END AS chosen FROM pages")
 def fallback_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.md5(H.better_text(F.col("url"), F.col("html")).cast("binary")).alias("chosen"))

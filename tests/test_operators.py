@@ -135,10 +135,31 @@ def test_sources_and_sinks(spark, tmp_path):
     assert S.latest(spark, f"file://{tmp_path}/runs/*_summary/*.json").first()["n"] == 2
 
 
+def told(page, spans=True):
+    return html.parse(page).told(spans)
+
+
 def test_nested_markup_is_told_twice(spark):
-    page = "<body><nav><p>menu entry that is long</p></nav><ul><li>outer text here <p>inner text here</p></li></ul><h2>Hi</h2></body>"
-    got = spark.createDataFrame([(page,)], "html string").select(F.explode(html.blocks(F.col("html"))).alias("b")).select("b.*").collect()
-    assert [(r["tag"], r["text"]) for r in got] == [("li", "outer text here inner text here"), ("p", "inner text here"), ("h2", "Hi")]
+    page = "<body><nav><p>menu entry that is long</p></nav><ul><li>outer text here <p>inner text here</p> tail</li></ul><h2>Hi</h2></body>"
+    want = [("li", "outer text here inner text here tail"), ("p", "inner text here"), ("h2", "Hi")]
+    got = spark.createDataFrame([(page,), (None,), ("",)], "html string").select(html.extracted(F.col("html")).alias("x")).collect()
+    assert [(r["tag"], r["text"]) for r in got[0]["x"]["blocks"]] == want
+    assert got[0]["x"]["text"] == "outer text here inner text here tail\ninner text here\n\n## Hi"
+    assert got[1]["x"] == got[2]["x"] and got[1]["x"]["text"] == ""
+
+
+def test_content_is_found_by_structure():
+    a, b = "text in the first place", "text in the second place"
+    assert told(f'<div class="page-content"><div><p>{a}</p></div><p>{b}</p></div><p>outside of the content</p>') == [("p", a), ("p", b)]
+    assert told(f'<div id="primary"><p>{a}</p></div><div class="x faq-list"><p>{b}</p></div>') == [("p", b)]
+    assert told(f"<article><p>{a}</p></article><main><p>{b}</p></main>") == [("p", b)]
+    assert told(f"<aside>a <aside>b</aside> <p>{a}</p></aside><p>{b}</p>") == [("p", b)]
+    assert told(f"<svg><p>{a}</p></svg><span>{b}</span>") == [("span", b)] and told(f"<span>{b}</span>", False) == []
+    # end tags left out; comments and line breaks part strings
+    assert told(f"<p><b>{a}<br>more<p>{b}<ul><li>one long entry<li>two<!-- x -->halves here</ul>") == [("p", a + " more"), ("p", b), ("li", "one long entry"), ("li", "two halves here")]
+    assert told("<h1>A <i>b</i> c</h1><table><tr><td>cell number one<td>cell number two<tr><td>cell number three</table>") == [("h1", "Abc"), ("td", "cell number one"), ("td", "cell number two"), ("td", "cell number three")]
+    assert html.as_text(html.parse("just words"), True) == "just words"
+    assert told("<script>var t='</p>';</script><p>R&amp;D and more text</p>") == [("p", "R&D and more text")]
 
 
 def test_legacy_splitter():
