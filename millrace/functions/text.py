@@ -1,5 +1,7 @@
 """Text expressions. All are built from Spark's own functions and stay in the
-JVM, but for NFKC, which Spark lacks and which only non-ASCII values reach."""
+JVM, but for NFKC, which Spark lacks; :func:`normalized` keeps rows of ASCII
+values away from it. Unicode patterns are slow, so most expressions first ask
+cheaply whether a value can match at all (``octet_length`` is ``length`` only for ASCII)."""
 
 from __future__ import annotations
 
@@ -8,7 +10,7 @@ import re
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -37,16 +39,19 @@ SECTORS = (
     ("machinery", ("machine", "pump", "valve", "wrench", "tool", "bearing", "cylinder", "helmet", "tyre")),
 )
 STOPWORDS = (
-    "the and for are what which how does can you any all its with from into under about need needs needed "
-    "require requires required apply get tell give know please india indian bis standard standards number "
-    "applicable applies mandatory voluntary certification certified certify product products item items list "
-    "info information detail details there this that have has was were will would should"
-).split()
+    "the", "and", "for", "are", "what", "which", "how", "does", "can", "you", "any", "all", "its", "with", "from",
+    "into", "under", "about", "need", "needs", "needed", "require", "requires", "required", "apply", "get",
+    "tell", "give", "know", "please", "india", "indian", "bis", "standard", "standards", "number", "applicable",
+    "applies", "mandatory", "voluntary", "certification", "certified", "certify", "product", "products", "item",
+    "items", "list", "info", "information", "detail", "details", "there", "this", "that", "have", "has", "was",
+    "were", "will", "would", "should",
+)
 CARRY_NOISE = (
-    "the and for are its covers cover covered specifies specified specify includes included including falls fall "
-    "carry carries must should per also under used use using general regarding related tell explain know want need "
-    "please thanks"
-).split()
+    "the", "and", "for", "are", "its", "covers", "cover", "covered", "specifies", "specified", "specify",
+    "includes", "included", "including", "falls", "fall", "carry", "carries", "must", "should", "per", "also",
+    "under", "used", "use", "using", "general", "regarding", "related", "tell", "explain", "know", "want", "need",
+    "please", "thanks",
+)
 REFUSALS = (
     "not enough verified information", "cannot find", "outside my scope", "not in my sources", "not available in",
     "verify with the official", "designed to answer questions about bureau of indian standards",
@@ -59,20 +64,34 @@ LEGACY_HEADER = (
 )
 
 
+BLANK = " \t\n\x0b\f\r"
+
+
+def is_ascii(c: Column) -> Column:
+    return F.octet_length(c) == F.length(c)
+
+
 def strip(c: Column) -> Column:
     """Without white space of any kind at either end."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    t = F.btrim(c, F.lit(BLANK))
+    plain = (F.ascii(F.left(t, F.lit(1))) < 128) & (F.ascii(F.right(t, F.lit(1))) < 128)
+    return F.when(plain, t).otherwise(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+
+
+def single_spaced(c: Column) -> Column:
+    return F.when(F.contains(c, F.lit("  ")), F.regexp_replace(c, " {2,}", " ")).otherwise(c)
 
 
 def clean_line(c: Column) -> Column:
-    c = F.regexp_replace(F.regexp_replace(c, INVISIBLE_LINE, ""), PRIVATE_USE, "")
-    return strip(F.regexp_replace(F.translate(c, " \t", "  "), " {2,}", " "))
+    visible = F.when(is_ascii(c), c).otherwise(F.regexp_replace(F.regexp_replace(c, INVISIBLE_LINE, ""), PRIVATE_USE, ""))
+    return strip(single_spaced(F.translate(visible, "\u00a0\t", "  ")))
 
 
 def script_ratio(c: Column) -> Column:
     """Devanagari code points for each letter; above 1 where signs are many, 0 without letters."""
     letters = F.regexp_count(c, F.lit(LETTER))
-    return F.when(letters == 0, 0.0).otherwise(F.regexp_count(c, F.lit(DEVANAGARI)) / letters)
+    share = F.when(letters == 0, 0.0).otherwise(F.regexp_count(c, F.lit(DEVANAGARI)) / letters)
+    return F.when(is_ascii(c), 0.0).when(c.rlike(DEVANAGARI), share).otherwise(0.0 * F.length(c))
 
 
 @F.pandas_udf(StringType())
@@ -81,10 +100,20 @@ def _nfkc(values: pd.Series) -> pd.Series:
 
 
 def normalize(c: Column) -> Column:
-    """Canonical form of an extracted value; null is empty. ASCII values don't leave the JVM."""
-    text = F.coalesce(c.cast("string"), F.lit(""))
-    text = F.when(text.rlike(r"^[\x00-\x7F]*$"), text).otherwise(_nfkc(text))
-    return tidy(text)
+    """Canonical form of an extracted value; null is empty. For whole tables see :func:`normalized`."""
+    return tidy(_nfkc(F.coalesce(c.cast("string"), F.lit(""))))
+
+
+def normalized(rows: DataFrame, names: list[str]) -> DataFrame:
+    """``rows`` with these columns in canonical form. Spark runs a Python
+    function on every row that its plan holds, whatever stands around it, so
+    rows whose values are all ASCII, which NFKC leaves alone, are planned apart."""
+    values = {n: F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names}
+    plain = F.lit(True)
+    for v in values.values():
+        plain = plain & is_ascii(v)
+    ours = rows.where(plain).withColumns({n: tidy(v) for n, v in values.items()})
+    return ours.unionByName(rows.where(~plain).withColumns({n: tidy(_nfkc(v)) for n, v in values.items()}))
 
 
 def tidy(text: Column) -> Column:
@@ -161,11 +190,11 @@ def tokens(c: Column) -> Column:
 def keywords(c: Column) -> Column:
     """Distinct words of three or more characters that aren't stopwords, in order."""
     found = F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"(?U)\b[\w/]{3,}\b"), F.lit(0)))
-    return F.filter(found, lambda x: ~x.isin(STOPWORDS))
+    return F.filter(found, lambda x: ~x.isin(*STOPWORDS))
 
 
 def content_terms(c: Column) -> Column:
-    return F.filter(keywords(c), lambda x: ~x.isin(CARRY_NOISE) & ~x.rlike(r"^\d+$"))
+    return F.filter(keywords(c), lambda x: ~x.isin(*CARRY_NOISE) & ~x.rlike(r"^\d+$"))
 
 
 def is_refusal(c: Column) -> Column:

@@ -97,7 +97,7 @@ def query_ok(c: Column) -> Column:
 
 
 def needs_context(q: Column, has_history: Column) -> Column:
-    short = F.size(F.filter(F.split(q, r"\s+"), lambda x: x != "")) <= SHORT_QUERY
+    short = F.regexp_count(q, F.lit(r"[\p{L}\p{N}_]+")) <= SHORT_QUERY  # "what's" is two words
     return has_history & ~q.rlike(CHITCHAT) & (q.rlike(REFERENTIAL) | q.rlike(ELLIPTIC) | short)
 
 

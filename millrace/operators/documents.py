@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.folds import states
 
 # Markers, patterns and sizes.
 PAGE_MARK = r"^\[Page\s+(\d+)\]$"
@@ -38,12 +39,18 @@ def long_enough(docs: DataFrame) -> DataFrame:
 
 
 def page_lines(docs: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc, line_no, text, page of every cleaned line but page markers; 0 before the first marker."""
-    lines = docs.select(F.col(doc).alias("doc"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "raw")).withColumn("text", T.clean_line(F.col("raw")))
+    """doc, line_no, text, page of every cleaned line but page markers; 0 before the first marker.
+
+    Documents without a marker need no window, so their lines aren't shuffled."""
+    named = docs.select(F.col(doc).alias("doc"), F.col(text).alias("body"))
+    paged = F.contains(F.lower("body"), F.lit("[page"))
+    # cleaned within the array: a filter on the text would else be pushed down with a second cleaning
+    lines = lambda rows: rows.select("doc", F.posexplode(F.transform(F.split("body", "\n", -1), T.clean_line)).alias("line_no", "text"))
+    plain = lines(named.where(~paged)).select("doc", "line_no", "text", F.lit(0).alias("page"))
     number = F.when(F.col("text").rlike(PAGE_MARK), F.regexp_extract("text", PAGE_MARK, 1).cast("int"))
     upto = Window.partitionBy("doc").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    lines = lines.withColumn("mark", number).withColumn("page", F.coalesce(F.last("mark", ignorenulls=True).over(upto), F.lit(0)))
-    return lines.where("mark is null").select("doc", "line_no", "text", "page")
+    marked = lines(named.where(paged)).withColumn("mark", number).withColumn("page", F.coalesce(F.last("mark", ignorenulls=True).over(upto), F.lit(0)))
+    return plain.unionByName(marked.where("mark is null").select("doc", "line_no", "text", "page"))
 
 
 def judged_lines(lines: DataFrame, html: bool) -> DataFrame:
@@ -59,7 +66,8 @@ def judged_lines(lines: DataFrame, html: bool) -> DataFrame:
     else:
         out = out.withColumn("heading", F.lit(""))
         above = F.lit(False)
-    inked = T.strip(F.regexp_replace(F.regexp_replace("text", IMAGE, " "), " {2,}", " "))
+    shown = F.when(F.contains("text", F.lit("[image]")), F.regexp_replace("text", IMAGE, " ")).otherwise(F.col("text"))
+    inked = T.strip(T.single_spaced(shown))
     drop = (
         F.when(above, "nav").when(F.col("text") == "", "empty").when(F.col("text").rlike(LAST_UPDATED) | F.col("text").rlike(PDF_NAV), "nav")
         .when(T.script_ratio(F.col("text")) >= SCRIPT_SHARE, "script").when(inked == "", "nav")
@@ -128,32 +136,28 @@ def hard_split(c: Column, most: int = CHUNK_CHARS, overlap: int = OVERLAP) -> Co
     return F.when(F.length(c) <= most, F.array(c)).otherwise(F.flatten(F.transform(parts, cut)))
 
 
-def pack_groups(lengths: Column, breaks: Column, alone: Column, most: int) -> Column:
-    """The number of the chunk that each unit goes to, by one greedy pass.
+def pack_groups(units_: Column, most: int) -> Column:
+    """The number of the chunk that each unit (len, brk, alone) goes to, by one greedy pass.
 
     A unit joins the chunk before it while lengths plus two each stay within
     ``most``, unless it breaks (a top-level clause) or stands alone (a table,
     or a unit longer than a chunk). The state is a few numbers."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chunk"), F.lit(True).alias("closed"), F.array().cast("array<int>").alias("out"))
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("chunk"), F.lit(True).alias("closed"))
 
     def step(a, u):
         cost = u["len"] + 2
         new = u["alone"] | a["closed"] | u["brk"] | (a["n"] + cost > most)
-        chunk = F.when(new, a["chunk"] + 1).otherwise(a["chunk"])
-        return F.struct(F.when(new, cost).otherwise(a["n"] + cost).alias("n"), chunk.alias("chunk"), u["alone"].alias("closed"), F.concat(a["out"], F.array(chunk)).alias("out"))
+        return F.struct(F.when(new, cost).otherwise(a["n"] + cost).alias("n"), F.when(new, a["chunk"] + 1).otherwise(a["chunk"]).alias("chunk"), u["alone"].alias("closed"))
 
-    zipped = F.arrays_zip(lengths.alias("len"), breaks.alias("brk"), alone.alias("alone"))
-    return F.aggregate(zipped, start, step, lambda a: a["out"])
+    return F.transform(states(units_, start, step), lambda s: s["chunk"])
 
 
 def packed(units_: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
     """units with ``chunk``, the number of the packed chunk within the document."""
-    row = F.struct("unit", F.length("text").alias("len"), ((F.col("clause") != "") & ~F.contains("clause", F.lit("."))).alias("brk"), ((F.col("kind") == "table_rows") | (F.length("text") > most)).alias("alone"))
+    row = F.struct("unit", F.length("text").alias("len"), ((F.col("clause") != "") & ~F.contains("clause", F.lit("."))).alias("brk"), ((F.col("kind") == "table_rows") | (F.length("text") > most)).alias("alone"), F.struct(*units_.columns).alias("own"))
     docs = units_.groupBy("doc").agg(F.array_sort(F.collect_list(row)).alias("u"))
-    pick = lambda f: F.transform("u", lambda x: x[f])
-    docs = docs.withColumn("g", pack_groups(pick("len"), pick("brk"), pick("alone"), most))
-    where = docs.select("doc", F.explode(F.arrays_zip(pick("unit").alias("unit"), F.col("g").alias("chunk"))).alias("z")).select("doc", "z.unit", "z.chunk")
-    return units_.join(where, ["doc", "unit"])
+    each = docs.select("u", pack_groups(F.col("u"), most).alias("g")).select(F.explode(F.arrays_zip("u", "g")).alias("z"))
+    return each.select(*[F.col("z.u.own").getField(c).alias(c) for c in units_.columns], F.col("z.g").alias("chunk"))
 
 
 def chunks(units_: DataFrame, most: int = CHUNK_CHARS) -> DataFrame:
@@ -203,8 +207,8 @@ def corpus_report(stats: DataFrame, chunked: DataFrame, kept: DataFrame) -> Data
 
 def row_groups(lengths: Column, most: int = 1800) -> Column:
     """Group numbers of table rows packed to ``most`` characters, one more each; only whole rows."""
-    false = F.transform(lengths, lambda x: F.lit(False))
-    return pack_groups(F.transform(lengths, lambda x: x - 1), false, false, most)
+    no = F.lit(False)
+    return pack_groups(F.transform(lengths, lambda x: F.struct((x - 1).alias("len"), no.alias("brk"), no.alias("alone"))), most)
 
 
 def legacy_split(texts, most: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")):

@@ -14,37 +14,36 @@ ESTABLISHED, CURATED = 1.5, 0.5
 KEYWORDS, ROWS = 8, 8
 
 
-def _words(c):
-    return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"(?U)\w+"), F.lit(0))
-
-
-def _weighed(c, weight: float):
-    return F.transform(_words(c), lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight")))
+def _tokens(c, weight: float):
+    """(word, weight) of a field's words and, where it has slashes, of its runs of words and slashes."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    words = F.regexp_extract_all(low, F.lit(r"(?U)\w+"), F.lit(0))
+    phrases = F.when(F.contains(low, F.lit("/")), F.filter(F.regexp_extract_all(low, F.lit(r"(?U)[\w/]+"), F.lit(0)), lambda w: F.contains(w, F.lit("/")))).otherwise(F.expr("cast(array() as array<string>)"))
+    return F.transform(F.concat(words, phrases), lambda w: F.struct(w.alias("word"), F.lit(weight).alias("weight")))
 
 
 def structured(records: DataFrame, asked: DataFrame) -> DataFrame:
     """query_id, id, product_name, score, rank, best for every record that an
     accepted keyword or number of asked(query_id, query) finds.
 
-    Records become (word, weight) rows once, the best field's weight for each
-    word, and meet the keywords by an equi-join. Keywords with a slash, which
-    are no single word, are held against the fields as phrases. Every mention
-    of a number counts, also repeated ones.
+    Queries are normalised first. Records become (word, weight) rows once, the
+    best field's weight for each word, and meet the keywords by an equi-join; a
+    keyword with a slash meets runs of words and slashes. Numbers are rows of
+    the same join, in a kind of their own. Every mention of a number counts,
+    also repeated ones.
     """
     good = quality.validate(records).where("ok")
     fields = ((F.col("product_name"), NAME), (F.col("standard_title"), TITLE), (F.col("is_standard_number"), OTHER), (F.col("qco_reference"), OTHER))
-    weighed = F.flatten(F.array(*[_weighed(c, s) for c, s in fields]))
-    words = good.select("id", F.explode(weighed).alias("x")).groupBy("id", "x.word").agg(F.max("x.weight").alias("weight"))
-    keys = asked.select("query_id", F.explode(F.slice(T.keywords(F.col("query")), 1, KEYWORDS)).alias("word"))
-    plain = keys.where(~F.contains("word", F.lit("/"))).join(words, "word").select("query_id", "id", F.col("weight").alias("part"))
-    phrase = keys.where(F.contains("word", F.lit("/")))
-    whole = lambda c: F.contains(F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w/]+", " "), F.lit(" ")), F.concat(F.lit(" "), F.col("word"), F.lit(" ")))
-    best = F.when(whole(fields[0][0]), NAME).when(whole(fields[1][0]), TITLE).when(whole(fields[2][0]) | whole(fields[3][0]), OTHER)
-    slashed = good.join(F.broadcast(phrase), how="cross").select("query_id", "id", best.alias("part")).where("part is not null")
-    mentions = asked.select("query_id", F.explode(F.regexp_extract_all(F.lower("query"), F.lit(r"\bis\s*(\d{1,5})"), F.lit(1))).alias("number"))
-    numbers = good.select("id", F.explode(F.array_distinct(F.regexp_extract_all("is_standard_number", F.lit(r"\d+"), F.lit(0)))).alias("number"))
-    named = mentions.join(numbers, "number").select("query_id", "id", F.lit(NUMBER).alias("part"))
-    scores = plain.unionByName(slashed).unionByName(named).groupBy("query_id", "id").agg(F.sum("part").alias("base")).where("base > 0")
+    weighed = F.flatten(F.array(*[_tokens(c, s) for c, s in fields]))
+    numbers = F.transform(F.array_distinct(F.regexp_extract_all("is_standard_number", F.lit(r"\d+"), F.lit(0))), lambda w: F.struct(w.alias("word"), F.lit(NUMBER).alias("weight")))
+    kinds = F.array(F.struct(F.lit("word").alias("kind"), weighed.alias("w")), F.struct(F.lit("number").alias("kind"), numbers.alias("w")))
+    rows = good.select("id", F.explode(kinds).alias("k")).select("id", "k.kind", F.explode("k.w").alias("x"))
+    words = rows.groupBy("id", "kind", "x.word").agg(F.max("x.weight").alias("weight"))
+    asked = T.normalized(asked.select("query_id", "query"), ["query"])
+    named = F.regexp_extract_all(F.lower("query"), F.lit(r"\bis\s*(\d{1,5})"), F.lit(1))
+    wanted = F.array(F.struct(F.lit("word").alias("kind"), F.slice(T.keywords(F.col("query")), 1, KEYWORDS).alias("w")), F.struct(F.lit("number").alias("kind"), named.alias("w")))
+    keys = asked.select("query_id", F.explode(wanted).alias("k")).select("query_id", "k.kind", F.explode("k.w").alias("word"))
+    scores = keys.join(words, ["kind", "word"]).groupBy("query_id", "id").agg(F.sum("weight").alias("base")).where("base > 0")
     bonus = F.when(F.col("status_basis") == "established", ESTABLISHED).otherwise(0.0) + F.when(F.col("extraction_method") == "curated", CURATED).otherwise(0.0)
     full = scores.join(good.select("id", "product_name", bonus.alias("bonus")), "id").withColumn("score", F.col("base") + F.col("bonus"))
     one = Window.partitionBy("query_id")

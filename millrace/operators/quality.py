@@ -67,7 +67,8 @@ def status_basis(reference: Column, url: Column, title: Column) -> Column:
 
 
 def method(c: Column) -> Column:
-    low = F.lower(T.normalize(c))
+    """Of a normalised value."""
+    low = F.lower(c)
     return F.when(low == "", "unknown").otherwise(low)
 
 
@@ -90,7 +91,8 @@ def validate(records: DataFrame) -> DataFrame:
     """
     held = set(records.columns)
     texts = ["product_name", "is_standard_number", "standard_title", "mandatory_or_voluntary", "scheme_type", "qco_reference", "source_url"]
-    out = records.withColumns({c: T.normalize(F.col(c)) if c in held else F.lit("") for c in texts})
+    out = records.withColumns({c: F.lit("") for c in texts if c not in held})
+    out = T.normalized(out, [*(c for c in texts if c in held), "extraction_method"])
     out = out.withColumn("extraction_method", method(F.col("extraction_method")))
     out = out.withColumn("reasons", reasons(F.col("extraction_method"), F.col("product_name"), F.col("is_standard_number")))
     out = out.withColumns({"ok": F.size("reasons") == 0, "status_basis": status_basis(F.col("qco_reference"), F.col("source_url"), F.col("standard_title"))})

@@ -14,9 +14,16 @@ LEXICAL_WEIGHT, DENSE_WEIGHT, RRF_K = 0.4, 0.6, 60
 LEXICAL_ONLY = 0.85
 
 
+#: Query terms, and query vectors, that are broadcast at once; more queries are taken in blocks.
+TERMS, ASKED = 500_000, 4096
+
+
 def postings(docs: DataFrame) -> DataFrame:
-    """doc_id, term, tf of documents(doc_id, text)."""
-    return docs.select("doc_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    """doc_id, dl, term, tf of documents(doc_id, text); dl is the length in tokens.
+
+    Texts are dealt out by doc_id, so what is counted by document needs no further shuffle."""
+    body = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    return body.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
 def term_stats(posts: DataFrame, whole: DataFrame) -> DataFrame:
@@ -30,6 +37,12 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl"))
 
 
+def in_blocks(rows: DataFrame, key: str, most: int) -> list[DataFrame]:
+    """``rows`` in parts of about ``most`` rows, by a hash of ``key``; the parts may be broadcast."""
+    parts = max(1, -(-rows.count() // most))
+    return [rows] if parts == 1 else [rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """item_id, doc_id, score, rank: the k best documents of each query(item_id, text).
 
@@ -37,6 +50,10 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     all terms. Queries that match fewer than k documents are filled up with
     documents of score 0. Scores are rounded to 6 digits before ranking; of
     equals the larger doc_id is first.
+
+    The weighted terms of a block of queries are broadcast (TERMS rows at most)
+    to the postings, which lie by document: a document's scores are summed up
+    where it lies, and each partition keeps its k best of a query.
     """
     asked = queries.select("item_id", F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count("*").alias("qtf"))
     whole = corpus_stats(docs)
@@ -44,16 +61,18 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     stats = term_stats(posts, whole)
     mean = stats.agg(F.avg("idf").alias("mean_idf"))
     weight = stats.join(F.broadcast(mean), how="cross").select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
-    lengths = docs.select("doc_id", F.size(T.tokens(F.col("text"))).alias("dl"))
-    wanted = asked.join(weight, "term")
-    hits = posts.join(wanted, "term").join(lengths, "doc_id").join(F.broadcast(whole), how="cross")
-    gain = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scores = hits.groupBy("item_id", "doc_id").agg(T.rounded(F.sum(gain), 6).alias("score"))
     order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").desc())
-    best = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+    best = None
+    for block in in_blocks(asked, "item_id", TERMS):
+        wanted = block.join(weight, "term").select("term", "item_id", (F.col("qtf") * F.col("idf")).alias("w"))
+        hits = posts.join(F.broadcast(wanted), "term").join(F.broadcast(whole), how="cross")
+        gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+        scores = hits.groupBy("doc_id", "item_id").agg(T.rounded(F.sum(gain), 6).alias("score")).select("item_id", "doc_id", "score")
+        part = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
+        best = part if best is None else best.unionByName(part)
     last = docs.select("doc_id").orderBy(F.col("doc_id").desc()).limit(2 * k)
-    fill = queries.select("item_id").join(F.broadcast(last), how="cross").join(best.select("item_id", "doc_id"), ["item_id", "doc_id"], "left_anti")
-    both = best.unionByName(fill.withColumn("score", F.lit(0.0)))
+    fill = queries.select("item_id").join(F.broadcast(last), how="cross").withColumn("score", F.lit(0.0))
+    both = best.unionByName(fill).groupBy("item_id", "doc_id").agg(F.max("score").alias("score"))
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
@@ -67,16 +86,20 @@ def cosine(a: Column, b: Column) -> Column:
 def dense(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     """item_id, doc_id, similarity, rank: the k nearest by exact cosine, rounded to 6 digits.
 
-    The query set meets every vector; Catalyst keeps the k best of each query
-    within the partitions before it shuffles (WindowGroupLimit).
+    The query set meets every vector, a block of ASKED queries at a time, which
+    is broadcast; Catalyst keeps the k best of each query within the partitions
+    before it shuffles (WindowGroupLimit).
     """
     unit = lambda c: T.l2_normalise(F.col(c))
     dot = F.aggregate(F.zip_with("q", "v", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     asked = queries.select("item_id", unit("embedding").alias("q"))
-    pairs = vectors.select(F.col("vec_id").alias("doc_id"), unit("embedding").alias("v")).crossJoin(asked)
-    scored = pairs.select("item_id", "doc_id", T.rounded(dot, 6).alias("similarity"))
     order = Window.partitionBy("item_id").orderBy(F.col("similarity").desc(), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    units, best = vectors.select(F.col("vec_id").alias("doc_id"), unit("embedding").alias("v")), None
+    for block in in_blocks(asked, "item_id", ASKED):
+        scored = units.join(F.broadcast(block), how="cross").select("item_id", "doc_id", T.rounded(dot, 6).alias("similarity"))
+        part = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        best = part if best is None else best.unionByName(part)
+    return best
 
 
 def fuse(near: DataFrame, lexical: DataFrame, k: int = CANDIDATES) -> DataFrame:

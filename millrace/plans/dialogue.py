@@ -14,7 +14,7 @@ QUERIES = Inline("id int, q string", list(enumerate((
     "hii!", "Good morning", "ok", "what is the gst rate", "tell me a joke", "IS 302 details", "which standard applies to helmets", "is it mandatory for import", "how do i apply for certification",
     "licence renewal fee", "scheme ii", "what is hallmark", "gold purity", "something else", "qco for a song", "Which products are covered under the order",
 ))))
-WORDS = r"len(list_filter(string_split_regex({0}, '\s+'), lambda x: x <> ''))"
+WORDS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'))"
 GOOD = "role IN ('user', 'assistant') AND text IS NOT NULL AND trim(text) <> ''"
 PAST = f"""
 good AS (SELECT conv_id, turn, role, text, list({{'role': role, 'text': text}}) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING) AS past FROM conversations WHERE {GOOD}),
