@@ -18,6 +18,8 @@ from millrace.llm import vectext as V
 from millrace.llm.common import stage
 from millrace.llm.tokens import byte_bpe_ids
 
+#: Alternatives of the search that are held at once, each a histogram.
+BRANCHES = 200
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -136,15 +138,17 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 3000, keep: i
     The largest piece left is completed by an undominated filling, which is
     used as often as the counts allow. Other fillings are tried depth first
     while the bins used and the lower bound of the rest can beat the incumbent,
-    at first the best-fit solution; after ``nodes`` completions without proof
-    the incumbent stays.
+    at first the best-fit solution. The first descent always ends with a full
+    plan or a proof that it can't beat the incumbent; after ``nodes`` completions
+    the incumbent stays. Limits: ``keep`` fillings of a bin, found in 4,000 steps
+    (:func:`fillings`), and the BRANCHES latest alternatives.
     """
     incumbent = best_fit(counts, capacity)
     best = sum(n for _, n in incumbent)
     bound = lower_bound(counts, capacity)
     left = nodes
 
-    def go(rest: np.ndarray, used: int, plan: list) -> bool:
+    def go(rest: np.ndarray, used: int, plan: list, first: bool = False) -> bool:
         nonlocal incumbent, best, left
         trail = []
         while True:
@@ -157,7 +161,7 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 3000, keep: i
             rest[big] -= 1
             weight = int((rest * np.arange(len(rest))).sum()) + big
             slack = (best - 1 - used) * capacity - weight  # waste that still beats the incumbent
-            if slack < 0 or left <= 0:
+            if slack < 0 or (left <= 0 and not first):
                 rest[big] += 1
                 return False
             left -= 1
@@ -184,7 +188,7 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 3000, keep: i
 
     branches: list = []
     if best > bound:
-        done = go(counts.copy(), 0, [])
+        done = go(counts.copy(), 0, [], True)
         while branches and not done and left > 0:
             rest, used, plan, big, filling = branches.pop()
             if used + lower_bound(rest, capacity) >= best:
@@ -192,7 +196,7 @@ def bin_completion(counts: np.ndarray, capacity: int, nodes: int = 3000, keep: i
                 continue
             used, step = _apply(rest, used, big, filling)
             done = go(rest, used, plan + [step])
-            del branches[: max(0, len(branches) - 200)]
+            del branches[: max(0, len(branches) - BRANCHES)]
     return incumbent
 
 

@@ -44,7 +44,17 @@ def test_bin_completion_is_optimal_on_small_instances():
         assert bins == exact_bins(items, cap), (items, cap)
 
 
-def test_large_histograms_reach_the_bound_or_one_more():
+def test_the_first_descent_ends_with_a_plan():
+    """Whatever the limit on completions, also over nearly all lengths."""
+    g = np.random.default_rng(6)
+    counts = np.bincount(g.integers(1, 2049, 200_000), minlength=2049)
+    for nodes in (1, 3000):
+        plan = packing.bin_completion(counts, 2048, nodes=nodes)
+        assert (sum((np.bincount(p, minlength=2049) * n for p, n in plan), np.zeros(2049, dtype=int)) == counts).all()
+        assert sum(n for _, n in plan) <= sum(n for _, n in packing.best_fit(counts, 2048))
+
+
+def test_large_histograms_come_within_three_of_the_bound():
     g = np.random.default_rng(5)
     for mean in (200, 500, 900):
         items = np.clip(g.lognormal(np.log(mean), 0.9, 50_000).astype(int), 1, 2048)
