@@ -76,6 +76,7 @@ CHITCHAT = (
 )
 SHORT_QUERY, LOOKBACK, MAX_TERMS, HISTORY = 4, 4, 6, 12
 UNVERIFIED = "[number not in sources]"
+LOW_NOTE = "\n\nLow confidence: the sources may not cover this question fully."
 SHORTEST_QUERY, LONGEST_QUERY = 3, 1000
 
 
@@ -173,6 +174,11 @@ def source_list(hits: DataFrame, keys: list[str]) -> DataFrame:
     return kept.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy("kind", "position")))
 
 
+def noted(answer: Column, low: Column) -> Column:
+    """The answer with the note behind it where confidence is low."""
+    return F.when(low, F.concat(answer, F.lit(LOW_NOTE))).otherwise(answer)
+
+
 def decision(route_: Column, rows: Column, chunks: Column, confident: Column) -> Column:
     """What kind of answer a query gets."""
     return (

@@ -191,9 +191,9 @@ def emitted(chunked: DataFrame) -> DataFrame:
 
 
 def section_of(chunk_rows: DataFrame) -> DataFrame:
-    """Every chunk with the ids of its section's chunks (the parent look-up)."""
-    members = chunk_rows.groupBy("parent_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("siblings"))
-    return chunk_rows.join(members, "parent_id")
+    """parent_id and the ids of its chunks in order: a chunk's parent_id finds its
+    siblings. One list for each section, so a section's ids are not repeated for each of its chunks."""
+    return chunk_rows.groupBy("parent_id").agg(F.array_sort(F.collect_list("chunk_id")).alias("siblings"))
 
 
 def corpus_report(stats: DataFrame, chunked: DataFrame, kept: DataFrame) -> DataFrame:
@@ -211,13 +211,37 @@ def row_groups(lengths: Column, most: int = 1800) -> Column:
     return pack_groups(F.transform(lengths, lambda x: F.struct((x - 1).alias("len"), no.alias("brk"), no.alias("alone"))), most)
 
 
-def legacy_split(texts, most: int, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ", "")):
-    """Pieces by the first separator all of whose pieces fit; for a list of Python strings."""
-    out = []
-    for text in texts:
-        for s in separators:
-            pieces = text.split(s) if s else [text[i : i + most] for i in range(0, len(text), most)]
-            if all(len(p) <= most for p in pieces):
-                out.append([p for p in pieces if p.strip()])
-                break
-    return out
+def legacy_split(c: Column, most: int, overlap: int = 0, separators: tuple[str, ...] = ("\n\n", "\n", ". ", " ")) -> Column:
+    """Pieces of a text by the first separator whose pieces all fit.
+
+    Parts are joined again while they fit; a piece begins with the last
+    ``overlap`` characters before it. Where no separator does, the text is cut
+    every ``most - overlap`` characters. Pieces are stripped, empty ones dropped."""
+
+    def pieces(sep: str) -> Column:
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("cur"))
+
+        def step(a, part):
+            longer = F.when(a["cur"] == "", part).otherwise(F.concat(a["cur"], F.lit(sep), part))
+            full = (F.length(longer) > most) & (a["cur"] != "")
+            tail = F.substring(a["cur"], -overlap, overlap) if overlap else F.lit("")
+            return F.struct(F.when(full, F.concat(a["out"], F.array(T.strip(a["cur"])))).otherwise(a["out"]).alias("out"), F.when(full, F.concat(tail, F.lit(sep), part)).otherwise(longer).alias("cur"))
+
+        done = lambda a: F.when(T.strip(a["cur"]) == "", a["out"]).otherwise(F.concat(a["out"], F.array(T.strip(a["cur"]))))
+        return F.aggregate(F.split(c, "\\Q" + sep + "\\E", -1), start, step, done)
+
+    stride = most - overlap
+    out = F.transform(F.sequence(F.lit(0), F.floor((F.length(c) - 1) / stride).cast("int")), lambda i: T.strip(F.substring(c, i * stride + 1, F.lit(most))))
+    for sep in reversed(separators):
+        got = pieces(sep)
+        out = F.when(F.contains(c, F.lit(sep)) & F.forall(got, lambda x: F.length(x) <= most), got).otherwise(out)
+    whole = F.when(T.strip(c) == "", F.array().cast("array<string>")).otherwise(F.array(T.strip(c)))
+    return F.filter(F.when(F.length(c) <= most, whole).otherwise(out), lambda x: x != "")
+
+
+def structure(lines: DataFrame, chunked: DataFrame, kept: DataFrame) -> DataFrame:
+    """doc, numbered, pages, chunks, duplicates of each document that has any structure to tell."""
+    pages = lines.groupBy("doc").agg(F.max("page").alias("pages")).join(clause_numbered(lines), "doc")
+    made, held = chunked.groupBy("doc").agg(F.count("*").alias("made")), kept.groupBy("doc").agg(F.count("*").alias("chunks"))
+    out = pages.join(made, "doc").join(held, "doc").withColumn("duplicates", F.col("made") - F.col("chunks"))
+    return out.where("numbered or pages > 0 or duplicates > 0").select("doc", "numbered", "pages", "chunks", "duplicates")

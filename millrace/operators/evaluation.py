@@ -91,8 +91,15 @@ def gate(summary_row: DataFrame) -> DataFrame:
 
 
 def compare(runs: DataFrame, value: str) -> DataFrame:
-    """Change of ``value`` from each run to the next; runs(run, value)."""
-    return runs.withColumn("change", F.col(value) - F.lag(value).over(Window.orderBy("run")))
+    """Change of ``value`` from each run to the next; runs(run, value). Each run is
+    numbered within its range of names, then meets the one before it by number."""
+    ranged = runs.repartitionByRange("run").withColumn("_part", F.spark_partition_id()).persist()
+    counts = ranged.groupBy("_part").agg(F.count("*").alias("_c"))
+    base = counts.select("_part", F.coalesce(F.sum("_c").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_b"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("run")) + F.col("_b")
+    placed = ranged.join(F.broadcast(base), "_part").withColumn("_n", nth)  # a row for each partition
+    last = placed.select((F.col("_n") + 1).alias("_n"), F.col(value).alias("_last"))
+    return placed.join(last, "_n", "left").withColumn("change", F.col(value) - F.col("_last")).select(*runs.columns, "change")
 
 
 def coverage(rows: DataFrame, fields: list[str]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -107,3 +107,8 @@ def validate(records: DataFrame) -> DataFrame:
 
 def reason_counts(validated: DataFrame) -> DataFrame:
     return validated.select(F.explode("reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def sorted_reasons(counts: DataFrame) -> DataFrame:
+    """nth, reason, n: the most frequent first, equal ones by name. There are as many rows as rules."""
+    return counts.withColumn("nth", F.row_number().over(Window.orderBy(F.desc("n"), "reason"))).select("nth", "reason", "n")

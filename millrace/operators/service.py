@@ -57,9 +57,57 @@ def health(chunks: DataFrame, records: DataFrame) -> DataFrame:
     return chunks.agg(F.count("*").alias("n")).select(F.lit("index").alias("part"), F.lit("chunks").alias("name"), "n").unionByName(long).unionByName(reasons)
 
 
-def systematic_sample(rows: DataFrame, keys: list[str], order: str, k: int) -> DataFrame:
-    """Every max(1, n // k)-th row of each group by ``order``, from the first."""
+def systematic_sample(rows: DataFrame, keys: list[str], order: str, k: int, blocks: int = 65536) -> DataFrame:
+    """Every max(1, n // k)-th row of each group by the whole number ``order``, from the first.
+
+    Rows are numbered by two levels of counts (ranges of ``order``, then rows
+    within one), so no group is one task's work."""
+    dealt = rows.withColumn("_range", F.floor(F.col(order) / blocks))
+    counts = dealt.groupBy(*keys, "_range").agg(F.count("*").alias("_c"))
     one = Window.partitionBy(*keys)
-    n = F.count("*").over(one)
-    step = F.greatest(F.lit(1), F.floor(n / k))
-    return rows.withColumn("_n", F.row_number().over(one.orderBy(order)) - 1).withColumn("_step", step).where("_n % _step = 0").drop("_n", "_step")
+    base = counts.select(*keys, "_range", F.coalesce(F.sum("_c").over(one.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_c").over(one).alias("_all"))
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy(order)) - 1
+    placed = dealt.withColumn("_in", within).join(base, [*keys, "_range"])
+    step = F.greatest(F.lit(1), F.floor(F.col("_all") / k))
+    return placed.withColumn("_step", step).where("(_in + _before) % _step = 0").select(*rows.columns)
+
+
+def containing(rows: DataFrame, text: str, needle: str, order: str, most: int = 20) -> DataFrame:
+    """The first ``most`` rows by ``order`` whose text holds ``needle`` in any case."""
+    return rows.where(F.contains(F.lower(text), F.lit(needle.lower()))).orderBy(order).limit(most)
+
+
+def extractive(text: Column, words: int = 12) -> Column:
+    """The stand-in for the service's text model: the first words of the best source."""
+    return F.array_join(F.slice(F.filter(F.split(text, r"\s+"), lambda w: w != ""), 1, words), " ")
+
+
+def stream(answers: DataFrame) -> DataFrame:
+    """stream_id, seq, type, text of the events that an answer is sent as.
+
+    answers: stream_id, route, kind, confidence, low (low confidence), answer,
+    removed (numbers that the guard took out, told only after the text was sent).
+    First what is known before the text, then the text word by word, a note where
+    confidence is low, the removed numbers if any, and the end."""
+    said = lambda kind, text: F.struct(F.lit(kind).alias("type"), text.alias("text"))
+    meta = F.concat_ws("|", "route", "kind", F.format_number("confidence", 4), F.col("low").cast("string"))
+    none = F.expr("cast(array() as array<struct<type:string,text:string>>)")
+    parts = F.concat(
+        F.array(said("meta", meta)),
+        F.transform(F.split("answer", "(?<= )", -1), lambda w: said("token", w)),
+        F.when(F.col("low"), F.array(said("token", F.lit(D.LOW_NOTE)))).otherwise(none),
+        F.when(F.size("removed") > 0, F.array(said("stripped_is", F.array_join("removed", ",")))).otherwise(none),
+        F.array(said("done", F.lit(""))),
+    )
+    return answers.select("stream_id", F.posexplode(parts).alias("seq", "e")).select("stream_id", F.col("seq").cast("long").alias("seq"), "e.type", "e.text")
+
+
+def end_guard(deltas: DataFrame, contexts: DataFrame) -> DataFrame:
+    """stream_id, removed: the numbers in a stream's whole text that its context
+    doesn't hold. The text was sent before; this only reports.
+
+    deltas: stream_id, seq, delta; contexts: stream_id, context."""
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "delta"))), lambda x: x["delta"]), "")
+    told = deltas.groupBy("stream_id").agg(T.strip_thinking(whole).alias("text")).join(contexts, "stream_id", "left")
+    _, removed = D.guard(F.col("text"), F.coalesce("context", F.lit("")))
+    return told.select("stream_id", removed.alias("removed"))

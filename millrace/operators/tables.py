@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.functions.folds import states
 
 # What header cells, numbers and row starts look like, and the known tables.
 ROLES = {
@@ -60,34 +61,43 @@ def header_roles(rows: DataFrame) -> DataFrame:
 
 
 def records(rows: DataFrame) -> DataFrame:
-    """page, table_no, row_no, serial, is_number, product, the continued rows appended.
+    """doc, page, table_no, row_no, serial, is_number, product, the continued rows
+    appended; rows(doc, page, table_no, row_no, cells).
 
-    The latest header's columns hold until the next header, also on later
-    pages; before any header only three-column tables are read. A row with a
-    product but neither serial nor number continues the record before it.
+    The latest header's columns hold until the document's next header, also on
+    later pages; before any header only three-column tables are read. A row
+    with a product but neither serial nor number continues the record before it.
     """
-    order = Window.orderBy("page", "table_no", "row_no")
+    order = Window.partitionBy("doc").orderBy("page", "table_no", "row_no")
     tagged = with_roles(rows).withColumn("is_header", F.col("is_number").isNotNull() & F.col("product").isNotNull())
     place = F.when(F.col("is_header"), F.struct("serial", "is_number", "product", F.size("cells").alias("width")))
     known = tagged.withColumn("m", F.last(place, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     default = F.when(F.size("cells") == 3, F.struct(F.lit(0).alias("serial"), F.lit(1).alias("is_number"), F.lit(2).alias("product"), F.lit(3).alias("width")))
     known = known.withColumn("m", F.coalesce("m", default)).where("not is_header and m is not null and size(cells) = m.width")
     cell = lambda r: F.coalesce(T.normalize(F.get("cells", F.col(f"m.{r}"))), F.lit(""))
-    read = known.select("page", "table_no", "row_no", *[cell(r).alias(r) for r in ROLES])
+    read = known.select("doc", "page", "table_no", "row_no", *[cell(r).alias(r) for r in ROLES])
     read = read.withColumn("starts", (F.col("serial") != "") | (F.col("is_number") != "")).where("starts or product <> ''")
     read = read.withColumn("record", F.sum(F.col("starts").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))).where("record > 0")
     parts = F.array_sort(F.collect_list(F.struct("page", "table_no", "row_no", "serial", "is_number", "product")))
-    out = read.groupBy("record").agg(parts.alias("p"))
+    out = read.groupBy("doc", "record").agg(parts.alias("p"))
     first = F.get("p", F.lit(0))
     text = F.array_join(F.transform(F.filter("p", lambda x: x["product"] != ""), lambda x: x["product"]), " ")
-    return out.select(*[first[c].alias(c) for c in ("page", "table_no", "row_no", "serial", "is_number")], text.alias("product"))
+    return out.select("doc", *[first[c].alias(c) for c in ("page", "table_no", "row_no", "serial", "is_number")], text.alias("product"))
 
 
-def gaps(rows: DataFrame, keys: list[str], serial: str) -> DataFrame:
-    """keys, last, seen, gaps and missing serials between the first and the last."""
-    seen = rows.groupBy(*keys).agg(F.min(serial).alias("first"), F.max(serial).alias("last"), F.countDistinct(serial).alias("seen"), F.collect_set(serial).alias("s"))
-    missing = F.array_join(F.array_except(F.sequence("first", "last"), "s"), ",")
-    return seen.select(*keys, "last", "seen", (F.col("last") - F.col("first") + 1 - F.col("seen")).cast("long").alias("gaps"), missing.alias("missing"))
+def gaps(rows: DataFrame, keys: list[str], serial: str, told: int = 1000) -> DataFrame:
+    """keys, last, seen, gaps and missing serials between the first and the last.
+
+    Gaps are found between neighbours, so far-apart serials cost nothing; of a
+    gap of over ``told`` serials only the ends are listed, as "first-last"."""
+    one = Window.partitionBy(*keys).orderBy(serial)
+    each = rows.select(*keys, serial).distinct().withColumn("_next", F.lead(serial).over(one))
+    a, z = F.col(serial) + 1, F.col("_next") - 1
+    list_ = F.array_join(F.transform(F.sequence(a, F.least(z, a + told)), lambda x: x.cast("string")), ",")
+    hole = F.when(z >= a, F.when(z - a < told, list_).otherwise(F.concat_ws("-", a.cast("string"), z.cast("string"))))
+    each = each.select(*keys, F.col(serial).alias("_s"), hole.alias("_h"), F.greatest(z - a + 1, F.lit(0)).cast("long").alias("_g"))
+    holes = F.array_sort(F.collect_list(F.when(F.col("_h").isNotNull(), F.struct("_s", "_h"))))
+    return each.groupBy(*keys).agg(F.max("_s").alias("last"), F.count("*").alias("seen"), F.coalesce(F.sum("_g"), F.lit(0)).alias("gaps"), F.array_join(F.transform(holes, lambda x: x["_h"]), ",").alias("missing"))
 
 
 def profile_of(lines: Column) -> Column:
@@ -138,14 +148,14 @@ def reassemble(lines: DataFrame) -> DataFrame:
     docs = lines.groupBy("doc").agg(ordered.alias("lines"))
     docs = docs.withColumn("profile", profile_of(F.transform("lines", lambda x: x["text"]))).where("profile is not null")
     number = lambda x: F.coalesce(F.regexp_extract(x["text"], ROW_START, 1).try_cast("int"), F.lit(-1))
-    start = F.struct(F.lit(1).alias("expected"), F.array().cast("array<int>").alias("rows"))
+    start = F.struct(F.lit(1).alias("expected"), F.lit(-1).alias("row"))
 
     def step(a, x):
         n = number(x)
         begins = (n >= a["expected"]) & (n <= a["expected"] + LOOKAHEAD)
-        return F.struct(F.when(begins, n + 1).otherwise(a["expected"]).alias("expected"), F.concat(a["rows"], F.array(F.when(begins, n).otherwise(-1))).alias("rows"))
+        return F.struct(F.when(begins, n + 1).otherwise(a["expected"]).alias("expected"), F.when(begins, n).otherwise(-1).alias("row"))
 
-    docs = docs.withColumn("rows", F.aggregate("lines", start, step, lambda a: a["rows"]))
+    docs = docs.withColumn("rows", F.transform(states(F.col("lines"), start, step), lambda s: s["row"]))
     each = docs.select("doc", "profile", F.posexplode(F.arrays_zip("lines", "rows")).alias("pos", "z"))
     each = each.select("doc", "profile", "pos", F.col("z.lines.text").alias("text"), F.col("z.lines.page").alias("page"), F.col("z.rows").alias("row"))
     upto = Window.partitionBy("doc").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
@@ -13,7 +14,7 @@ ROUTE_SQL = "CASE " + " ".join(f"WHEN regexp_matches(q, {re(D.group(p))}) THEN '
 QUERIES = Inline("id int, q string", list(enumerate((
     "hii!", "Good morning", "ok", "what is the gst rate", "tell me a joke", "IS 302 details", "which standard applies to helmets", "is it mandatory for import", "how do i apply for certification",
     "licence renewal fee", "scheme ii", "what is hallmark", "gold purity", "something else", "qco for a song", "Which products are covered under the order",
-))))
+))), key="id", vary="q")
 WORDS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}_]+'))"
 GOOD = "role IN ('user', 'assistant') AND text IS NOT NULL AND trim(text) <> ''"
 PAST = f"""
@@ -27,7 +28,7 @@ STOP = "[" + ", ".join(map(literal, [*T.STOPWORDS, *T.CARRY_NOISE])) + "]"
 
 @query(f"SELECT id, q, {ROUTE_SQL.replace('(q,', '(lower(trim(q)),')} AS route FROM {QUERIES.sql()}")
 def route_fixture(spark, d):
-    return QUERIES.df(spark).withColumn("route", D.route(F.col("q")))
+    return QUERIES.over(spark, d).withColumn("route", D.route(F.col("q")))
 
 
 @query(f"SELECT conv_id, turn, {ROUTE_SQL.replace('(q,', '(lower(trim(text)),')} AS route FROM conversations WHERE role = 'user'")
@@ -73,12 +74,12 @@ def citation_guardrail(spark, d):
     return said.select("k", clean.alias("answer"), F.size(removed).alias("removed"))
 
 
-THOUGHTS = Inline("id int, body string", [(1, "a <think>x</think> b"), (2, "<THINK>x\ny</THINK>z"), (3, "<think>never closed"), (4, "plain"), (5, "<think>a</think><think>b</think> c "), (6, "x <think>open")])
+THOUGHTS = Inline("id int, body string", [(1, "a <think>x</think> b"), (2, "<THINK>x\ny</THINK>z"), (3, "<think>never closed"), (4, "plain"), (5, "<think>a</think><think>b</think> c "), (6, "x <think>open")], key="id", vary="body")
 
 
 @query(f"SELECT id, trim(regexp_replace(regexp_replace(body, '(?is)<think>.*?</think>', '', 'g'), '(?is)^\\s*<think>.*$', '')) AS clean FROM {THOUGHTS.sql()}")
 def strip_reasoning(spark, d):
-    return THOUGHTS.df(spark).select("id", T.strip_thinking(F.col("body")).alias("clean"))
+    return THOUGHTS.over(spark, d).select("id", T.strip_thinking(F.col("body")).alias("clean"))
 
 
 @query("""WITH h AS (SELECT o_custkey AS query_id, CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END AS kind, o_orderkey AS position,
@@ -93,19 +94,23 @@ def source_list(spark, d):
     return D.source_list(hits, ["query_id"]).select("query_id", "url", "similarity", F.col("nth").cast("long").alias("nth"))
 
 
-@query(r"""SELECT lang, n, md5(block) AS block FROM (SELECT lang, count(*) AS n, array_to_string(list_transform(list_zip(list(source ORDER BY doc_id), list(text ORDER BY doc_id), range(1, count(*) + 1)),
- lambda z: '[Source ' || z[3] || ': ' || z[1] || ']' || chr(10) || 'URL: /' || z[1] || chr(10) || z[2]), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS block FROM documents GROUP BY lang)""")
+@query(r"""SELECT lang, source, n, md5(block) AS block FROM (SELECT lang, source, count(*) AS n, array_to_string(list_transform(list_zip(list(source ORDER BY doc_id), list(text ORDER BY doc_id), range(1, count(*) + 1)),
+ lambda z: '[Source ' || z[3] || ': ' || z[1] || ']' || chr(10) || 'URL: /' || z[1] || chr(10) || z[2]), chr(10) || chr(10) || '---' || chr(10) || chr(10)) AS block
+ FROM (SELECT *, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS hit FROM documents) WHERE hit <= 5 GROUP BY lang, source)""")
 def context_block(spark, d):
-    rows = F.array_sort(F.collect_list(F.struct("doc_id", F.col("source").alias("title"), F.concat(F.lit("/"), F.col("source")).alias("url"), "text")))
-    return table(spark, d, "documents").groupBy("lang").agg(F.count("*").alias("n"), rows.alias("h")).select("lang", "n", F.md5(D.context_block(F.col("h")).cast("binary")).alias("block"))
+    """A context for each language and source, of its first five documents as the hits."""
+    hits = table(spark, d, "documents").withColumn("hit", F.row_number().over(Window.partitionBy("lang", "source").orderBy("doc_id"))).where("hit <= 5")
+    rows = F.array_sort(F.collect_list(F.struct("hit", F.col("source").alias("title"), F.concat(F.lit("/"), F.col("source")).alias("url"), "text")))
+    grouped = hits.groupBy("lang", "source").agg(F.count("*").alias("n"), rows.alias("h"))
+    return grouped.select("lang", "source", "n", F.md5(D.context_block(F.col("h")).cast("binary")).alias("block"))
 
 
 FACTS = Inline("id int, route string, n_rows int, n_chunks int, confident boolean", [
     (1, "greeting", 0, 0, False), (2, "faq_rag", 0, 0, False), (3, "structured_lookup", 0, 3, True), (4, "faq_rag", 0, 3, False), (5, "structured_lookup", 2, 0, False), (6, "out_of_scope", 1, 1, True), (7, "procedure_rag", 0, 2, True),
-])
+], key="id")
 
 
 @query(f"""SELECT id, CASE WHEN route IN ('greeting', 'out_of_scope') THEN route WHEN n_rows = 0 AND n_chunks = 0 THEN 'declined' WHEN route = 'structured_lookup' AND n_rows = 0 THEN 'noted'
  WHEN NOT confident AND n_rows = 0 THEN 'low_confidence' ELSE 'answered' END AS kind FROM {FACTS.sql()}""")
 def answer_decision(spark, d):
-    return FACTS.df(spark).select("id", D.decision(F.col("route"), F.col("n_rows"), F.col("n_chunks"), F.col("confident")).alias("kind"))
+    return FACTS.over(spark, d).select("id", D.decision(F.col("route"), F.col("n_rows"), F.col("n_chunks"), F.col("confident")).alias("kind"))

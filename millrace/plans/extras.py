@@ -15,7 +15,7 @@ re = literal
 
 NEARBY = Inline("doc int, line_no int, text string, title string", [(1, i, t, "Order A") for i, t in enumerate((
     "Steel tubes", "12", "IS 1161:2014 and IS 3601", "Scheme II", "voluntary", "S. No.", "IS 10", "Copper wire", "penalty of fine applies", "x", "y", "z", "Last item IS 99"))]
-    + [(2, 0, "Helmet IS 4151", "Order B"), (2, 1, "984", "Order B"), (2, 2, "IS 5", "Order B")])
+    + [(2, 0, "Helmet IS 4151", "Order B"), (2, 1, "984", "Order B"), (2, 2, "IS 5", "Order B")], key="doc")
 OK_NAME = f"length(trim(text)) >= 5 AND NOT regexp_matches(trim(text), {re(T.LEGACY_NUMERIC)}) AND NOT regexp_matches(trim(text), {re(T.LEGACY_HEADER)}) AND NOT regexp_matches(trim(text), {re('(?i)^(?:' + T.LEGACY_REFERENCE[4:] + ')$')}) AND regexp_matches(trim(text), '[A-Za-z]{{3,}}')".replace("{{", "{").replace("}}", "}")
 
 
@@ -31,12 +31,12 @@ r AS (SELECT doc, line_no, substring(coalesce(above, CASE WHEN isfirst THEN good
 d AS (SELECT *, row_number() OVER (PARTITION BY doc, substring(product_name, 1, 60), trim(number) ORDER BY line_no) AS n FROM r)
 SELECT doc, line_no, product_name, trim(number) AS is_standard_number, upper(st[1]) || lower(st[2:]) AS mandatory_or_voluntary, scheme_type, penalty_clause, 'text_proximity' AS extraction_method FROM d WHERE n = 1""")
 def proximity_extract(spark, d):
-    return proximity.extract(NEARBY.df(spark))
+    return proximity.extract(NEARBY.over(spark, d))
 
 
 @query(f"SELECT text, {OK_NAME} AS ok FROM {NEARBY.sql()}")
 def legacy_names(spark, d):
-    return NEARBY.df(spark).select("text", T.legacy_name_ok(F.col("text")).alias("ok"))
+    return NEARBY.over(spark, d).select("text", T.legacy_name_ok(F.col("text")).alias("ok"))
 
 
 @query("SELECT page_id, regexp_replace(url, '[^a-zA-Z0-9_.\\-]', '_', 'g') AS filename FROM pages")
@@ -44,13 +44,13 @@ def safe_filenames(spark, d):
     return table(spark, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("filename"))
 
 
-HEADS = Inline("id int, title string, section string, clauses array<string>", [(1, "Order on steel", "Scope", ["1", "1.1"]), (2, "Order on scope", "Scope", ["2.1"]), (3, "", "", []), (4, "Only title", "", ["3", "3.1", "3.2"])])
+HEADS = Inline("id int, title string, section string, clauses array<string>", [(1, "Order on steel", "Scope", ["1", "1.1"]), (2, "Order on scope", "Scope", ["2.1"]), (3, "", "", []), (4, "Only title", "", ["3", "3.1", "3.2"])], key="id", vary="title")
 
 
 @query(f"""SELECT id, concat_ws(' — ', CASE WHEN title <> '' THEN title END, CASE WHEN section <> '' AND NOT contains(lower(title), lower(section)) THEN section END,
  CASE WHEN len(clauses) = 1 THEN 'Clause ' || clauses[1] WHEN len(clauses) > 1 THEN 'Clauses ' || clauses[1] || '–' || clauses[-1] END) AS header FROM {HEADS.sql()}""")
 def context_headers(spark, d):
-    return HEADS.df(spark).select("id", T.context_header(F.col("title"), F.col("section"), F.col("clauses")).alias("header"))
+    return HEADS.over(spark, d).select("id", T.context_header(F.col("title"), F.col("section"), F.col("clauses")).alias("header"))
 
 
 @query(f"WITH {PRODUCTS} SELECT id, rpad(substring(product_name, 1, 45), 45, ' ') || ' ' || rpad(substring(is_standard_number, 1, 20), 20, ' ') || ' ' || substring(qco_reference, 1, 36) AS line FROM products")

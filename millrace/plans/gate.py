@@ -22,8 +22,7 @@ NAMES = Inline(
         None, "", "( 10 )", "984", "ab", "->*<-", "S. No.", "Product/Title", "Home", "read more", "IS 1417:2016", "IS/IEC 60598 (Part 2)", "purposes",
         "and fittings", "Next Prev", "Grant of licence to a firm", "Is this a product?", "a b c d", "Propiconazole E.c.", "Cables for 1 500 V d.c.",
         "Helmets for riders", "Steel  tubes [image] welded", " - Plywood - ",
-    )],
-)
+    )], vary="raw_name")
 LETTER_SQL = r"[\p{L}\p{Nl}\p{No}]"
 
 
@@ -55,7 +54,7 @@ WITH {PRODUCTS}, v AS (SELECT id, product_name, qco_reference, standard_title,
 
 @query(f"SELECT raw_name, {issue_sql('n')} AS reason FROM (SELECT raw_name, {tidy_sql('raw_name')} AS n FROM {NAMES.sql()})")
 def name_issues(spark, d):
-    return NAMES.df(spark).select("raw_name", Q.name_issue(T.normalize(F.col("raw_name"))).alias("reason"))
+    return NAMES.over(spark, d).select("raw_name", Q.name_issue(T.normalize(F.col("raw_name"))).alias("reason"))
 
 
 @query(VERDICTS + " SELECT id, len(reasons) = 0 AS ok, array_to_string(reasons, ',') AS reasons, status_basis FROM v")
@@ -104,21 +103,20 @@ PASSAGES = Inline(
         (1, "Conformity to IS 1417:2016 and IS  302 (Part 1) : 2012 is mandatory."), (2, "See IS/IEC 60598, IS 1 and IS 1417:2016 again IS 1417:2016"),
         (3, "The fee is 1000 rupees; voluntary."), (4, "No person shall sell; certification is voluntary."), (5, "Second Amendment dated 5th March, 2021 for cable and wire, lamp"),
         (6, "Amendment of the order. 2020"), (7, "gold carat hallmark and milk"), (8, "steel pipe valve pump"), (9, ""), (10, "First Amendment March 3, 2022 prohibited led wire cotton silk"),
-    ],
-)
+    ], key="id", vary="body")
 REF_SQL = f"list_transform(regexp_extract_all(body, {re(T.REFERENCE)}), lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))"
 
 
 @query(f"""SELECT id, array_to_string(list_transform(list_filter(list_zip(r, range(1, len(r) + 1)), lambda z: list_position(r, z[1]) = z[2]), lambda z: z[1]), '|') AS refs
  FROM (SELECT id, {REF_SQL} AS r FROM {PASSAGES.sql()})""")
 def is_number_extract(spark, d):
-    return PASSAGES.df(spark).select("id", F.array_join(T.references(F.col("body")), "|").alias("refs"))
+    return PASSAGES.over(spark, d).select("id", F.array_join(T.references(F.col("body")), "|").alias("refs"))
 
 
 @query(f"""SELECT id, CASE WHEN m AND NOT v THEN 'mandatory' WHEN v AND NOT m THEN 'voluntary' ELSE '' END AS status
  FROM (SELECT id, regexp_matches(body, {re(T.MANDATORY)}) AS m, regexp_matches(body, {re(T.VOLUNTARY)}) AS v FROM {PASSAGES.sql()})""")
 def status_facet(spark, d):
-    return PASSAGES.df(spark).select("id", T.status(F.col("body")).alias("status"))
+    return PASSAGES.over(spark, d).select("id", T.status(F.col("body")).alias("status"))
 
 
 HITS_SQL = "[" + ", ".join(
@@ -128,21 +126,21 @@ HITS_SQL = "[" + ", ".join(
 
 @query(f"SELECT id, CASE WHEN b.h > 0 THEN b.n ELSE '' END AS sector FROM (SELECT id, list_max({HITS_SQL}) AS b FROM {PASSAGES.sql()})")
 def sector_facet(spark, d):
-    return PASSAGES.df(spark).select("id", T.sector(F.col("body")).alias("sector"))
+    return PASSAGES.over(spark, d).select("id", T.sector(F.col("body")).alias("sector"))
 
 
 @query(f"""SELECT id, CASE WHEN regexp_extract(body, {re(T.AMENDMENT)}, 2) <> '' THEN regexp_extract(body, {re(T.AMENDMENT)}, 1) || ' ' || regexp_extract(body, {re(T.AMENDMENT)}, 2)
  ELSE regexp_extract(body, {re(T.AMENDMENT)}, 1) END AS amendment FROM {PASSAGES.sql()}""")
 def amendment_facet(spark, d):
-    return PASSAGES.df(spark).select("id", T.amendment(F.col("body")).alias("amendment"))
+    return PASSAGES.over(spark, d).select("id", T.amendment(F.col("body")).alias("amendment"))
 
 
-NUMBERS = Inline("raw string", [(x,) for x in ("IS 1", "IS/IEC 60079-11", "IS 15111 (Part 1 and 2)", "IS 2039 (Part 1 to 3)", "IS 14927 (Part 2/Sec 1)", "IS 456:2000", "is 456 : 2000", "456", "IS abc", "IS 1234567")])
+NUMBERS = Inline("raw string", [(x,) for x in ("IS 1", "IS/IEC 60079-11", "IS 15111 (Part 1 and 2)", "IS 2039 (Part 1 to 3)", "IS 14927 (Part 2/Sec 1)", "IS 456:2000", "is 456 : 2000", "456", "IS abc", "IS 1234567")], vary="raw")
 
 
 @query(f"SELECT raw, regexp_matches(raw, {re(tables.NUMBER_SHAPE)}) AS ok FROM {NUMBERS.sql()}")
 def number_shape(spark, d):
-    return NUMBERS.df(spark).select("raw", tables.number_ok(F.col("raw")).alias("ok"))
+    return NUMBERS.over(spark, d).select("raw", tables.number_ok(F.col("raw")).alias("ok"))
 
 
 # --- tables ----------------------------------------------------------------
@@ -169,9 +167,22 @@ def table_header_roles(spark, d):
     return tables.header_roles(CELLS.df(spark))
 
 
-@query()
+# Header places held on by a window, rows by their places, records as islands.
+RECORDS = f"""
+WITH c AS (SELECT page, table_no, row_no, cells, len(cells) AS width, list_position(list_transform(cells, lambda x: coalesce({role_sql('is_number').replace('cell', 'x')}, false)), true) AS isn,
+ list_position(list_transform(cells, lambda x: coalesce({role_sql('product').replace('cell', 'x')}, false)), true) AS prod, list_position(list_transform(cells, lambda x: coalesce({role_sql('serial').replace('cell', 'x')}, false)), true) AS ser FROM {CELLS.sql()}),
+h AS (SELECT *, isn > 0 AND prod > 0 AS head FROM c),
+k AS (SELECT *, last(CASE WHEN head THEN {{'s': ser, 'i': isn, 'p': prod, 'w': width}} END IGNORE NULLS) OVER (ORDER BY page, table_no, row_no) AS m FROM h),
+r AS (SELECT page, table_no, row_no, coalesce(cells[m.s], '') AS serial, coalesce(cells[m.i], '') AS is_number, coalesce(cells[m.p], '') AS product FROM k WHERE NOT coalesce(head, false) AND m IS NOT NULL AND width = m.w),
+i AS (SELECT *, sum((serial <> '' OR is_number <> '')::INT) OVER (ORDER BY page, table_no, row_no) AS record FROM r WHERE serial <> '' OR is_number <> '' OR product <> '')
+SELECT min(page) AS page, first(serial ORDER BY page, table_no, row_no) AS serial, first(is_number ORDER BY page, table_no, row_no) AS is_number, string_agg(product, ' ' ORDER BY page, table_no, row_no) FILTER (product <> '') AS product,
+ regexp_matches(first(is_number ORDER BY page, table_no, row_no), {re(tables.NUMBER_SHAPE)}) AS number_ok FROM i WHERE record > 0 GROUP BY record"""
+
+
+@query(RECORDS)
 def continuation_merge(spark, d):
-    return tables.records(CELLS.df(spark)).select("page", "serial", "is_number", "product", tables.number_ok(F.col("is_number")).alias("number_ok"))
+    rows = CELLS.df(spark).withColumn("doc", F.lit(1))
+    return tables.records(rows).select("page", "serial", "is_number", "product", tables.number_ok(F.col("is_number")).alias("number_ok"))
 
 
 @query("""SELECT l_orderkey, max(l_linenumber) AS last, count(DISTINCT l_linenumber) AS seen, CAST(max(l_linenumber) - min(l_linenumber) + 1 - count(DISTINCT l_linenumber) AS BIGINT) AS gaps,

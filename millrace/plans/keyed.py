@@ -63,9 +63,12 @@ def event_payloads(spark, d):
     return told.select("stream_id", "seq", F.regexp_extract("event", r"^data: (.*)\n\n$", 1).alias("payload"))
 
 
-@query()
+@query("""WITH e AS (SELECT user_id AS stream_id, event_id AS seq, event_type AS t, CASE event_id % 10 WHEN 3 THEN 1 WHEN 6 THEN 0 END AS tag FROM events),
+f AS (SELECT *, coalesce(last(tag IGNORE NULLS) OVER (PARTITION BY stream_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS inside FROM e),
+o AS (SELECT stream_id, seq, CASE WHEN tag = 1 THEN CASE WHEN inside THEN '' ELSE 'a' END WHEN tag = 0 THEN CASE WHEN inside THEN 'z' ELSE t || '</think>z' END WHEN inside THEN '' ELSE t END AS text FROM f)
+SELECT stream_id, seq, text FROM o WHERE text <> ''""")
 def stream_think_strip(spark, d):
-    """Token deltas made of events; tags open and close inside a stream. No SQL: state by stream."""
+    """Token deltas made of events; tags open and close inside a stream."""
     rows = table(spark, d, "events").select(
         F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"),
         F.when(F.col("event_id") % 10 == 3, F.concat(F.lit("a<think>"), "event_type")).when(F.col("event_id") % 10 == 6, F.concat("event_type", F.lit("</think>z"))).otherwise(F.col("event_type")).alias("delta"),

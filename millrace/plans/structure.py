@@ -30,7 +30,7 @@ def clean_lines(spark, d):
 PAGED = Inline("doc_id int, text string", [
     (1, "intro\n[Page 1]\na  b\n\n[Page  2]\nc\t d\ne"), (2, "no pages\nhere"), (3, "[Page 7]\n[Page 8]\nlast"), (4, "Menu\n## Title here\nLast Updated on May 1\nBody text [image] more\n[image]\n• \nEnd"),
     (5, "Hindi यह एक पंक्ति है\nEnglish line with one शब्द only among many words\nMAIN MENU"),
-])
+], key="doc_id")
 PAGED_LINES = f"""
 raw AS (SELECT doc_id AS doc, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line_no FROM {PAGED.sql()}),
 c AS (SELECT doc, CAST(line_no AS INTEGER) AS line_no, {CLEAN.format('raw')} AS text FROM raw),
@@ -42,12 +42,12 @@ RATIO = r"CASE WHEN len(regexp_extract_all(text, '[\p{L}\p{Nl}\p{No}]')) = 0 THE
 
 @query(f"WITH {PAGED_LINES} SELECT * FROM l")
 def page_carry_forward(spark, d):
-    return D.page_lines(PAGED.df(spark))
+    return D.page_lines(PAGED.over(spark, d))
 
 
 @query(f"WITH {PAGED_LINES} SELECT doc, line_no, {ROUND.format(RATIO, 6)} AS ratio FROM l")
 def script_ratio_lines(spark, d):
-    return D.page_lines(PAGED.df(spark)).select("doc", "line_no", T.rounded(T.script_ratio(F.col("text")), 6).alias("ratio"))
+    return D.page_lines(PAGED.over(spark, d)).select("doc", "line_no", T.rounded(T.script_ratio(F.col("text")), 6).alias("ratio"))
 
 
 def judged_sql(html: bool) -> str:
@@ -65,7 +65,7 @@ z AS (SELECT *, CASE WHEN chars < 200 THEN 'too_little_content' WHEN share > 0.9
 
 @query(f"WITH {PAGED_LINES}, {judged_sql(True)} SELECT doc, line_no, drop, CASE WHEN drop IS NULL THEN inked ELSE text END AS text FROM j")
 def boilerplate_lines(spark, d):
-    return D.judged_lines(D.page_lines(PAGED.df(spark)), True).select("doc", "line_no", "drop", "text")
+    return D.judged_lines(D.page_lines(PAGED.over(spark, d)), True).select("doc", "line_no", "drop", "text")
 
 
 @query(f"WITH {DOC_LINES}, {judged_sql(False)} SELECT doc, lines, nav, script, chars, kept, pages, share FROM z")
@@ -86,7 +86,7 @@ def ingest_numbering(spark, d):
 CLAUSED = Inline("doc int, line_no int, text string, page int", [
     (1, 0, "Preface text", 1), (1, 1, "1. Overview of the order", 1), (1, 2, "first words broken in-", 1), (1, 3, "side a line", 2), (1, 4, "1.1 Scope and purpose", 2), (1, 5, "21. Can anyone apply?", 2),
     (1, 6, "Yes they can.", 3), (1, 7, "1.2.1 Certification scheme", 3), (1, 8, "3 Conformity to standards", 3), (1, 9, "3.1 (Marking)", 4), (2, 0, "1) Scheme-I of marks", 0), (2, 1, "2) Scheme-II", 0), (2, 2, "7. Is it free?", 0), (2, 3, "No", 0),
-])
+], key="doc")
 UNITS = f"""
 f AS (SELECT * FROM {CLAUSED.sql()}),
 nb AS (SELECT doc, count(*) FILTER (regexp_matches(text, {re(D.CLAUSE)}) AND contains(regexp_extract(text, {re(D.CLAUSE)}, 1), '.')) >= 3 AS numbered FROM f GROUP BY doc),
@@ -100,7 +100,7 @@ units AS (SELECT doc, CAST(unit AS BIGINT) AS unit, trim(replace(regexp_replace(
 
 @query(f"WITH {UNITS} SELECT * FROM units")
 def unit_islands(spark, d):
-    return D.units(CLAUSED.df(spark))
+    return D.units(CLAUSED.over(spark, d))
 
 
 PACK = f"""
@@ -176,7 +176,18 @@ def chunk_report(spark, d):
 
 @query(SPLIT + FRESH + " SELECT printf('doc%03d_sec_root', doc) AS parent_id, count(*) AS siblings FROM fresh GROUP BY doc")
 def section_lookup(spark, d):
-    return D.section_of(D.emitted(_pieces(spark, d))).groupBy("parent_id").agg(F.max(F.size("siblings")).cast("long").alias("siblings"))
+    return D.section_of(D.emitted(_pieces(spark, d))).select("parent_id", F.size("siblings").cast("long").alias("siblings"))
+
+
+STRUCTURED = f"""
+WITH {DOC_LINES}, cn AS (SELECT doc, count(*) FILTER (regexp_matches(text, {re(D.CLAUSE)}) AND contains(regexp_extract(text, {re(D.CLAUSE)}, 1), '.')) >= 3 AS numbered, max(page) AS pages FROM l GROUP BY doc)"""
+
+
+@query(SPLIT + FRESH + ", " + STRUCTURED.strip().removeprefix("WITH ") + """, m AS (SELECT doc, count(*) AS made FROM pieces GROUP BY doc), h AS (SELECT doc, count(*) AS chunks FROM fresh GROUP BY doc)
+SELECT doc, numbered, pages, chunks, made - chunks AS duplicates FROM cn JOIN m USING (doc) JOIN h USING (doc) WHERE numbered OR pages > 0 OR made > chunks""")
+def structure_report(spark, d):
+    made = _pieces(spark, d)
+    return D.structure(_lines(spark, d), made, D.emitted(made))
 
 
 # --- HTML ------------------------------------------------------------------

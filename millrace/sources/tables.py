@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -23,6 +26,24 @@ def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path) if there else spark.createDataFrame([], schema)
 
 
+def questions(rows: DataFrame, category: str | None = None, limit: int | None = None, order: str = "id") -> DataFrame:
+    """Golden questions of a category, the first ``limit`` of them by ``order``."""
+    kept = rows if category is None else rows.where(F.col("category") == category)
+    return kept if limit is None else kept.orderBy(order).limit(limit)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A folder that driver and executors share: ``spark.checkpoint.dir``, and only
+    on one machine, where none is set, a temporary one."""
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not root:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="millrace-")
+    return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
+
+
 def paged_text(pages: DataFrame) -> DataFrame:
     """doc, text of page texts (doc, page, text): ``[Page n]`` before each page that isn't blank."""
     inked = pages.where("trim(text) <> ''").select("doc", "page", F.concat(F.lit("[Page "), F.col("page").cast("string"), F.lit("]\n"), F.col("text")).alias("t"))

@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -30,7 +31,7 @@ def test_continued_rows_join_their_record(spark):
 
 
 def test_units_take_words_and_labels(spark):
-    got = {(r["doc"], r["unit"]): r for r in structure.unit_islands(spark, "").collect()}
+    got = {(r["doc"], r["unit"]): r for r in documents.units(structure.CLAUSED.df(spark)).collect()}
     assert got[1, 1]["text"] == "1. Overview of the order first words broken inside a line" and got[1, 1]["section"] == "Overview of the order"
     # in a numbered document a clause wins over a question, and names the section
     assert got[1, 3]["kind"] == "clause" and got[1, 4]["section"] == "Can anyone apply?"
@@ -114,7 +115,7 @@ def test_index_checks_its_fingerprint(spark, tmp_path):
     with pytest.raises(ValueError):
         index.build(vectors, f"file://{tmp_path}", "offline", "words", 8)
     new = index.embed(spark.createDataFrame([("b", "green nut"), ("d", "new")], "chunk_id string, text string"), 16)
-    assert sorted(r[0] for r in index.upsert(spark, path, new).select("chunk_id").collect()) == ["a", "b", "c", "d"]
+    assert sorted(r[0] for r in index.merged(spark, path, new).select("chunk_id").collect()) == ["a", "b", "c", "d"]
     assert len(T.collection_name("x" * 80, "p:m:3")) == 63
 
 
@@ -162,8 +163,81 @@ def test_content_is_found_by_structure():
     assert told("<script>var t='</p>';</script><p>R&amp;D and more text</p>") == [("p", "R&D and more text")]
 
 
-def test_legacy_splitter():
-    assert documents.legacy_split(["a\n\nb", "x" * 25], 10) == [["a", "b"], ["x" * 10, "x" * 10, "x" * 5]]
+def test_legacy_splitter(spark):
+    def brute(text, most, overlap):
+        if len(text) <= most:
+            return [text.strip()] if text.strip() else []
+        for sep in ("\n\n", "\n", ". ", " "):
+            if sep not in text:
+                continue
+            out, cur = [], ""
+            for part in text.split(sep):
+                longer = cur + sep + part if cur else part
+                if len(longer) > most and cur:
+                    out.append(cur.strip())
+                    cur = (cur[-overlap:] if overlap else "") + sep + part
+                else:
+                    cur = longer
+            out += [cur.strip()] if cur.strip() else []
+            if all(len(x) <= most for x in out):
+                return [x for x in out if x]
+        return [x for i in range(0, len(text), most - overlap) if (x := text[i : i + most].strip())]
+
+    r = random.Random(1)
+    texts = ["", "  ", "a\n\nb", "x" * 25, "a b " * 9] + ["".join(r.choices(["ab", " ", ". ", "\n", "\n\n", "longerword"], k=r.randint(1, 20))) for _ in range(300)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for overlap in (0, 3):
+        got = {x["i"]: x["p"] for x in rows.select("i", documents.legacy_split(F.col("text"), 14, overlap).alias("p")).collect()}
+        for i, text in enumerate(texts):
+            assert got[i] == brute(text, 14, overlap), repr(text)
+
+
+def test_states_of_a_fold(spark):
+    from millrace.functions.folds import states
+
+    rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 2, 5, 100, 1000)], "a array<int>")
+    for x in rows.select("a", states(F.col("a"), F.lit(7), lambda s, i: s + i).alias("s")).collect():
+        total, want = 7, []
+        for i in x["a"]:
+            total += i
+            want.append(total)
+        assert x["s"] == want
+
+
+def test_providers_are_asked_again():
+    from millrace.operators import index
+
+    calls, waits = [], []
+
+    def flaky(texts, dim):
+        calls.append(texts)
+        if len(calls) < 3:
+            raise index.Unavailable("busy", 9.0 if len(calls) == 2 else None)
+        return index.hashed_words(texts, dim)
+
+    assert index.retried(flaky, wait=waits.append)(["a"], 4).shape == (1, 4) and waits == [1.5, 9.0]
+    calls.clear()
+    with pytest.raises(RuntimeError, match="after 2 attempts"):
+        index.retried(flaky, attempts=2, wait=waits.append)(["a"], 4)
+    seen = []
+    index.prefixed(lambda t, d: seen.append(t), "query")(["x"], 4)
+    assert seen == [["search_query: x"]]
+
+
+def test_index_folders(spark, tmp_path):
+    from millrace.operators import index
+
+    root = f"file://{tmp_path}"
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "chunk_id string, embedding array<double>")
+    assert index.verified(spark, root, "p", "m", 2) == "missing"
+    path = index.build(v, root, "p", "m", 2)
+    index.upsert(spark, path, spark.createDataFrame([("b", [0.5, 0.5]), ("c", [1.0, 1.0])], v.schema))
+    assert {r["chunk_id"]: r["embedding"] for r in index.load(spark, path, "p", "m", 2).collect()} == {"a": [1.0, 0.0], "b": [0.5, 0.5], "c": [1.0, 1.0]}
+    index.build(v, root, "p", "m", 2)  # whole again
+    assert index.verified(spark, root, "p", "m", 2) == "ok" and index.load(spark, path, "p", "m", 2).count() == 2
+    index.build(v.limit(0), root, "p", "n", 2)
+    assert index.verified(spark, root, "p", "n", 2) == "empty"
+    assert index.prune(spark, root, path.rsplit("/", 1)[1]) == ["chunks_p_n_2"] and index.listed(spark, root).count() == 1
 
 
 def test_the_rest_works_without_the_corpus_operators(tmp_path):
