@@ -256,7 +256,7 @@ def test_the_rest_works_without_the_corpus_operators(tmp_path):
         "q = e.queries()\n"
         "assert len(q) > 60 and not any(k.startswith('op') or k == 'pipeline' for k in [*q, *e.oracle_sql()])\n"
         "spark = local_session('copy', 2, '1g')\n"
-        "assert q['route_fixture'](spark, '').count() > 0 and q['html_main_text'](spark, '/root/testdata/sf0.001').count() > 0\n"
+        "assert q['route_fixture'](spark, '/root/testdata/sf0.001').count() > 0 and q['html_main_text'](spark, '/root/testdata/sf0.001').count() > 0\n"
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=env)
