@@ -200,6 +200,21 @@ SHREDDED = Inline(
 )
 
 
-@query()
+# The expected serial by recursion, rows as islands, the two profiles' merges on lists.
+REASSEMBLED = f"""
+WITH RECURSIVE l AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY line_no) AS i, coalesce(TRY_CAST(nullif(regexp_extract(text, {re(tables.ROW_START)}, 1), '') AS INTEGER), -1) AS n FROM {SHREDDED.sql()}),
+h AS (SELECT doc, string_agg(text, ' ' || chr(10) ORDER BY i) AS head FROM l WHERE i <= 80 GROUP BY doc),
+p AS (SELECT doc, CASE WHEN contains(head, 'Sr. No.') AND contains(head, 'Product/Title') THEN 0 WHEN contains(head, 'Name of Lab') AND contains(head, 'OSL Code') THEN 1 END AS profile FROM h),
+r(doc, i, expected, serial) AS (SELECT doc, 0::BIGINT, 1, -1 FROM p WHERE profile IS NOT NULL UNION ALL
+ SELECT l.doc, l.i, CASE WHEN l.n BETWEEN r.expected AND r.expected + 4 THEN l.n + 1 ELSE r.expected END, CASE WHEN l.n BETWEEN r.expected AND r.expected + 4 THEN l.n ELSE -1 END FROM r JOIN l ON l.doc = r.doc AND l.i = r.i + 1),
+e AS (SELECT r.doc, r.i, r.serial, l.page, trim(CASE WHEN serial > 0 THEN regexp_extract(text, {re(tables.ROW_START)}, 2) ELSE text END) AS part, sum((serial > 0)::INT) OVER (PARTITION BY r.doc ORDER BY r.i) AS island FROM r JOIN l ON l.doc = r.doc AND l.i = r.i),
+g AS (SELECT doc, island, first(serial ORDER BY i) AS serial, first(page ORDER BY i) AS page, coalesce(list(part ORDER BY i) FILTER (part <> ''), []) AS f FROM e WHERE island > 0 GROUP BY doc, island),
+s AS (SELECT g.*, profile, CASE WHEN profile = 0 AND regexp_matches(f[1], {re(tables.DESIGNATION)}) THEN list_concat([regexp_extract(f[1], {re(tables.DESIGNATION)}, 1), regexp_extract(f[1], {re(tables.DESIGNATION)}, 2)], f[2:])
+ WHEN profile = 0 AND len(f) > 1 AND regexp_matches(f[1], {re(tables.BARE_NUMBER)}) AND regexp_matches(f[2], {re(tables.PART_FIRST)}) THEN list_concat([f[1] || ' ' || regexp_extract(f[2], {re(tables.PART_FIRST)}, 1), regexp_extract(f[2], {re(tables.PART_FIRST)}, 2)], f[3:])
+ ELSE f END AS x FROM g JOIN p USING (doc))
+SELECT doc, serial, page, array_to_string(CASE WHEN profile = 0 AND len(x) > 2 THEN [x[1], array_to_string(x[2:], ' ')] WHEN profile = 1 AND len(x) > 4 THEN list_concat([array_to_string(x[1:len(x) - 3], ' ')], x[len(x) - 2:]) ELSE x END, '|') AS cells FROM s"""
+
+
+@query(REASSEMBLED)
 def row_reassembly(spark, d):
     return tables.reassemble(SHREDDED.df(spark)).select("doc", "serial", "page", F.array_join("cells", "|").alias("cells"))

@@ -49,11 +49,14 @@ def except_serials(spark, d):
     return keys.subtract(table(spark, d, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("k")))
 
 
-@query("SELECT p_brand, count(*) AS n FROM part WHERE p_brand IN (SELECT DISTINCT p_brand FROM part WHERE p_size > 40) GROUP BY p_brand")
+@query("""SELECT 'parse' AS kind, p_brand, '' AS reason, count(*) AS n FROM part WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size > 40) GROUP BY p_brand
+UNION ALL SELECT 'denied', p_brand, 'size ' || least_size, count(*) FROM part JOIN (SELECT p_brand, min(p_size) AS least_size FROM part WHERE p_retailprice < 1000 GROUP BY p_brand) USING (p_brand) GROUP BY ALL""")
 def allowed_files(spark, d):
     parts = table(spark, d, "part").withColumn("filename", F.col("p_brand"))
-    listed, _ = S.allowed(parts, parts.where("p_size > 40").select("filename").distinct(), parts.limit(0).select("filename"))
-    return listed.groupBy("p_brand").agg(F.count("*").alias("n"))
+    deny = parts.where("p_retailprice < 1000").groupBy("filename").agg(F.concat(F.lit("size "), F.min("p_size").cast("string")).alias("reason"))
+    listed, denied = S.allowed(parts, parts.where("p_size > 40").select("filename").distinct(), deny)
+    counts = lambda rows, kind: rows.groupBy("p_brand", "reason").agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "p_brand", "reason", "n")
+    return counts(listed.withColumn("reason", F.lit("")), "parse").unionByName(counts(denied, "denied"))
 
 
 @query("""SELECT user_id AS stream_id, event_id AS seq, '{"type":"' || event_type || '"}' AS payload FROM events""")

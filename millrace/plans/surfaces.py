@@ -94,6 +94,32 @@ def sink_failures(spark, d):
     return spark.read.parquet(path).select("url", "reason")
 
 
+@query("SELECT 'u' || page_id AS source_url, 'page' AS title, md5(html) AS digest, '' AS category FROM pages")
+def sink_documents(spark, d):
+    """Documents written as JSON and read back; what a row lacks is empty."""
+    path = X.scratch(spark)
+    pages = table(spark, d, "pages").select(F.concat(F.lit("u"), F.col("page_id").cast("string")).alias("source_url"), F.lit("page").alias("title"), F.col("html").alias("raw_text"))
+    X.write_documents(pages, path)
+    back = spark.read.schema(X.DOCUMENT).json(path)
+    return back.select("source_url", "title", F.md5(F.col("raw_text").cast("binary")).alias("digest"), "category")
+
+
+@query("""SELECT p_partkey AS id, '{"id":' || p_partkey || CASE WHEN p_size > 25 THEN ',"brand":"' || p_brand || '"' ELSE '' END || ',"tags":"' || p_size || ', ' || p_brand || '"}' AS meta FROM part""")
+def chunk_metadata_json(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_size") > 25, F.col("p_brand")).alias("brand"), F.array(F.col("p_size").cast("string"), "p_brand").alias("tags"))
+    return X.scalars(rows).select("id", X.metadata("id", "brand", "tags").alias("meta"))
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS files, CAST(sum(octet_length(encode(r_name))) + count(*) AS BIGINT) AS bytes, string_agg(r_name, ',' ORDER BY r_name) AS names FROM region")
+def source_binary(spark, d):
+    """Text files, one for each region, read as binary files."""
+    path = X.scratch(spark)
+    table(spark, d, "region").select(F.col("r_name").alias("k"), F.col("r_name").alias("value")).repartition("k").write.partitionBy("k").text(path)
+    rows = X.binary_texts(spark, f"{path}/*/part-*")
+    names = F.array_join(F.array_sort(F.collect_list(F.trim(F.regexp_replace("text", "\n", "")))), ",")
+    return rows.agg(F.count("*").alias("files"), F.sum("bytes").alias("bytes"), names.alias("names"))
+
+
 def _vectors(spark, d):
     rows = table(spark, d, "embeddings").where("embedding is not null")
     return rows.select(F.col("vec_id").cast("string").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"))

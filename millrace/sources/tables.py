@@ -5,20 +5,37 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 DOCUMENT = "source_url string, source_type string, title string, category string, raw_text string, scraped_at string"
 
 
-def read_json(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFrame:
-    """A JSON array of records; missing fields are empty, the time is parsed."""
-    rows = spark.read.option("multiLine", True).schema(schema).json(path)
+def _filled(rows: DataFrame) -> DataFrame:
     filled = rows.fillna("", subset=[f.name for f in rows.schema if f.dataType.simpleString() == "string"])
     return filled.withColumn("scraped_at", F.try_to_timestamp("scraped_at")) if "scraped_at" in filled.columns else filled
 
 
+def read_json(spark: SparkSession, path: str, schema: str = DOCUMENT) -> DataFrame:
+    """A JSON array of records; missing fields are empty, the time is parsed."""
+    return _filled(spark.read.option("multiLine", True).schema(schema).json(path))
+
+
+def read_json_checked(spark: SparkSession, path: str, schema: str = DOCUMENT) -> tuple[DataFrame, DataFrame]:
+    """(:func:`read_json`'s records, file and text of what could not be parsed)."""
+    raw = spark.read.option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").schema(f"{schema}, _bad string").json(path)
+    # Spark reads no query that asks for the unparsed text alone
+    bad = raw.where(F.col("_bad").isNotNull() & F.col(raw.columns[0]).isNull()).select(F.input_file_name().alias("file"), F.col("_bad").alias("text"))
+    return _filled(raw.where("_bad is null").drop("_bad")), bad
+
+
+def binary_texts(spark: SparkSession, path: str) -> DataFrame:
+    """file, bytes, text of UTF-8 files; bytes that are no UTF-8 become replacement characters."""
+    rows = spark.read.format("binaryFile").load(path)
+    return rows.select(F.regexp_extract("path", r"([^/]*)$", 1).alias("file"), F.col("length").alias("bytes"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The Parquet table at ``path``, or an empty one where there is none."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -78,6 +95,13 @@ def _upsert(old, new, keys, *order):
     return both.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n", "_side")
 
 
+def write_documents(docs: DataFrame, path: str) -> None:
+    """Documents as JSON, in the columns of DOCUMENT; missing ones are empty."""
+    names = [c.split()[0] for c in DOCUMENT.split(", ")]
+    cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in docs.columns else F.lit("").alias(c) for c in names]
+    docs.select(*cols).write.mode("overwrite").json(path)
+
+
 def append_csv(df: DataFrame, path: str, columns: list[str]) -> None:
     """Projected columns, null as empty; every part file has a header."""
     cols = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns]
@@ -108,6 +132,11 @@ def scalars(df: DataFrame, schema: StructType | None = None) -> DataFrame:
     return df.select(*out)
 
 
+def metadata(*columns: str) -> Column:
+    """A row's metadata as JSON: arrays as comma-separated text, nulls left out."""
+    return F.to_json(F.struct(*columns))
+
+
 def events(df: DataFrame) -> DataFrame:
     """Server-sent event texts of rows (stream_id, seq, type, ...)."""
     body = F.to_json(F.struct(*[c for c in df.columns if c not in ("stream_id", "seq")]))

@@ -123,6 +123,9 @@ def test_sources_and_sinks(spark, tmp_path):
     (tmp_path / "d.json").write_text(json.dumps([{"source_url": "u", "raw_text": "t", "scraped_at": "2024-01-02T03:04:05Z"}, {"title": "x"}]))
     docs = S.read_json(spark, f"file://{tmp_path}/d.json")
     assert sorted((r["source_url"], r["title"], r["scraped_at"] is None) for r in docs.collect()) == [("", "x", True), ("u", "", False)]
+    (tmp_path / "bad.json").write_text('{"title": "broken')
+    good, bad = S.read_json_checked(spark, f"file://{tmp_path}/*.json")
+    assert sorted(r["title"] for r in good.collect()) == ["", "x"] and [r["file"].rsplit("/", 1)[1] for r in bad.collect()] == ["bad.json"]
     assert S.read_or_empty(spark, f"file://{tmp_path}/nothing", "a int").count() == 0
     S.append_csv(docs, f"file://{tmp_path}/c", ["title", "missing"])
     assert spark.read.option("header", True).csv(f"file://{tmp_path}/c").columns == ["title", "missing"]
