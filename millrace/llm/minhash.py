@@ -211,7 +211,11 @@ def chunk_pairs(rows: DataFrame, percent: int, every: bool) -> DataFrame:
     """Pairs of large buckets that the sketches don't rule out and that are not
     yet in one component: all of them, or those that would join components.
 
-    ``rows``: bucket, doc_id, c (component), size, n, sketch.
+    ``rows``: bucket, doc_id, c (component), most (whether it is the bucket's
+    largest component), held and left (members in that one, and in the others),
+    n, sketch. Members of the largest component meet the others only, chunk by
+    chunk, so a group of near copies that all but some are joined is read once for
+    each CHUNK of these.
     """
 
     def run(key, group):
@@ -229,7 +233,7 @@ def chunk_pairs(rows: DataFrame, percent: int, every: bool) -> DataFrame:
                     cells[own] = fold(np.stack([np.frombuffer(raw[i], np.uint64) for i in at[own]]), size // 8)
             for k, i in enumerate(at.tolist()):
                 rest = at[k + 1 :]
-                ok = (comp[rest] != comp[i]) & (side[rest] != side[i]) if key[1].as_py() != key[2].as_py() else comp[rest] != comp[i]
+                ok = (comp[rest] != comp[i]) & (side[rest] != side[i]) if (key[1].as_py(), key[2].as_py()) != (0, key[3].as_py()) else comp[rest] != comp[i]
                 ok &= (bits[rest] == size) | (bits[i] == size)
                 ok &= 100 * np.minimum(n[rest], n[i]) >= percent * np.maximum(n[rest], n[i])
                 if ok.any():
@@ -256,10 +260,17 @@ def chunk_pairs(rows: DataFrame, percent: int, every: bool) -> DataFrame:
         b = np.array([max(doc[i], doc[j]) for _, i, j in found], dtype=np.int64)
         return pa.table([a, b], names=["a", "b"])
 
-    chunks = F.ceil(F.col("size") / CHUNK)
-    dealt = rows.withColumn("own", F.pmod(F.xxhash64("doc_id"), chunks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), chunks - 1)))
-    dealt = dealt.select("bucket", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), (F.col("own") <= F.col("other")).alias("lo"), "doc_id", "c", "n", "sketch")
-    return dealt.groupBy("bucket", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    others, largest = F.ceil(F.col("left") / CHUNK), F.ceil(F.col("held") / CHUNK)
+    own = F.pmod(F.xxhash64("doc_id"), F.when(F.col("most"), largest).otherwise(others))
+    numbers = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    task = lambda kind, x, y, lo: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), lo.alias("lo"))
+    among = F.transform(numbers(others), lambda o: task(0, F.least(F.col("own"), o), F.greatest(F.col("own"), o), F.col("own") <= o))
+    to_largest = F.transform(numbers(largest), lambda m: task(1, F.col("own"), m, F.lit(True)))
+    from_largest = F.transform(numbers(others), lambda o: task(1, o, F.col("own"), F.lit(False)))
+    tasks = F.explode(F.when(F.col("most"), from_largest).otherwise(F.concat(among, to_largest)))
+    dealt = rows.withColumn("own", own).select("bucket", tasks.alias("t"), "doc_id", "c", "n", "sketch")
+    dealt = dealt.select("bucket", "t.kind", "t.x", "t.y", "t.lo", "doc_id", "c", "n", "sketch")
+    return dealt.groupBy("bucket", "kind", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5) -> DataFrame:
@@ -302,8 +313,9 @@ def near_duplicates(documents: DataFrame, percent: int = 85, width: int = 5) ->
         comp = components(links)
         tagged = members.join(comp.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("bucket", "doc_id", "size", F.coalesce("component", "doc_id").alias("c"))
         tagged = keep(tagged, "tagged")
-        split = tagged.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("bucket")
-        return tagged.join(split, "bucket")
+        parts = tagged.groupBy("bucket", "c").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.max(F.struct("k", "c")).alias("m"), F.sum("k").alias("all"))
+        split = parts.where("m.k < `all`").select("bucket", F.col("m.c").alias("top"), F.col("m.k").alias("held"), (F.col("all") - F.col("m.k")).alias("left"))
+        return tagged.join(split, "bucket").withColumn("most", F.col("c") == F.col("top")).drop("top")
 
     left = keep(apart(links), "apart")
     few, many = left.where(f"size <= {SMALL}"), left.where(f"size > {SMALL}")
