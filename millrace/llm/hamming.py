@@ -15,7 +15,10 @@ are told on the sample (:func:`fit`).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,28 +29,25 @@ SAMPLE = 4096
 #: Bits of a substring (about the logarithm of a block's rows), and substrings at most.
 WIDTH, MOST = 14, 448
 #: The part of the sample's nearest neighbours that the substrings have to retrieve.
-SHARE = 0.96
+SHARE = 0.94
 VALUES = np.arange(1 << WIDTH, dtype=np.uint16)
 ONES = np.bitwise_count(VALUES)
 
 
-def learn(sample: np.ndarray, bits: int, rounds: int = 10, seed: int = 11) -> np.ndarray:
-    """A dim x bits projection: PCA axes turned by ITQ rotations from as many starts as bits need."""
+def rotations(sample: np.ndarray, rounds: int = 5, seed: int = 11) -> Iterator[np.ndarray]:
+    """One dim x dim projection after the other: PCA axes turned by ITQ from another start."""
     dim = sample.shape[1]
     unit = sample / np.maximum(np.linalg.norm(sample, axis=1, keepdims=True), 1e-300)
     _, axes = np.linalg.eigh(unit.T @ unit)
     axes = axes[:, ::-1]
     turned = unit @ axes
     rng = np.random.default_rng(seed)
-    out: list[np.ndarray] = []
-    while len(out) * dim < bits:
+    while True:
         rotation = np.linalg.qr(rng.standard_normal((dim, dim)))[0]
         for _ in range(rounds):
             u, _, v = np.linalg.svd(np.where(turned @ rotation >= 0, 1.0, -1.0).T @ turned)
             rotation = (u @ v).T
-        out.append(axes @ rotation)
-    # a substring takes its bits from one rotation as far as it goes
-    return np.concatenate(out, axis=1)[:, :bits]
+        yield axes @ rotation
 
 
 def encode(vectors: np.ndarray, projection: np.ndarray) -> np.ndarray:
@@ -90,33 +90,45 @@ class MultiIndex:
         return np.flatnonzero(held)
 
 
-def fit(sample: np.ndarray, projection: np.ndarray, neighbours: int, share: float) -> tuple[int, int]:
-    """(substrings, near): the least that retrieve ``share`` of the sample's own
-    nearest neighbours; ``near`` is one bit if ``MOST`` substrings are enough."""
-    codes, asked = encode(sample, projection), min(256, len(sample))
+def fit(sample: np.ndarray, neighbours: int, share: float) -> tuple[np.ndarray, int]:
+    """(projection, near): the fewest substrings that retrieve ``share`` of the
+    sample's own nearest neighbours. ``near`` is one bit if ``MOST`` substrings
+    are enough; rotations are learned as they are asked for."""
+    asked = min(256, len(sample))
     products = sample[:asked] @ sample.T
     products[np.arange(asked), np.arange(asked)] = -np.inf
     close = np.argsort(-products, axis=1)[:, :neighbours]
-    apart = ONES[codes[:asked, None, :] ^ codes[close]]  # asked x neighbours x substrings
-    for near in range(1, WIDTH + 1):
-        found = (np.minimum.accumulate(apart, axis=2) <= near).mean(axis=(0, 1))
-        if found[-1] >= share:
-            break
-    return int(np.argmax(found >= share)) + 1, near
+    more, have = rotations(sample), np.zeros((sample.shape[1], 0))
+    for parts in (MOST // 8, MOST // 4, MOST // 2, MOST):
+        while have.shape[1] < parts * WIDTH:
+            have = np.concatenate([have, next(more)], axis=1)
+        projection = have[:, : parts * WIDTH]
+        codes = encode(sample, projection)
+        least = np.minimum.accumulate(ONES[codes[:asked, None, :] ^ codes[close]], axis=2)  # asked x neighbours x substrings
+        for near in range(1, 2 if parts < MOST else WIDTH + 1):
+            found = (least <= near).mean(axis=(0, 1))
+            if found[-1] >= share:
+                return projection[:, : (int(np.argmax(found >= share)) + 1) * WIDTH], near
+    raise AssertionError("a substring differs by WIDTH bits at most")
 
 
 def trained(vectors: DataFrame, k: int, share: float) -> tuple[np.ndarray | None, int, int]:
-    """(projection, near, dimension) fitted on at most ``SAMPLE`` rows; None where there are too few."""
-    sample = [r[0] for r in vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE).select("vector").collect()]
-    dims = [len(v) for v in sample]
-    dim = max(set(dims), key=lambda d: (dims.count(d), d), default=0)
-    known = np.array([v for v in sample if len(v) == dim]) if dim else np.zeros((0, 1))
-    if len(known) <= k:
-        return None, 0, dim
+    """(projection, near, dimension), fitted by one task on at most ``SAMPLE`` rows; None where there are too few."""
     total = max(1, vectors.count())
-    projection = learn(known, MOST * WIDTH)
-    parts, near = fit(known, projection, max(1, -(-k * len(known) // total)), share)
-    return projection[:, : parts * WIDTH], near, dim
+
+    def solve(batches):
+        sample = [v for b in batches for v in b.column(0).to_pylist()]
+        dims = [len(v) for v in sample]
+        dim = max(set(dims), key=lambda d: (dims.count(d), d), default=0)
+        known = np.array([v for v in sample if len(v) == dim]) if dim else np.zeros((0, 1))
+        projection, near = fit(known, max(1, -(-k * len(known) // total)), share) if len(known) > k else (np.zeros((0, 0)), 0)
+        yield pa.RecordBatch.from_arrays([pa.array([projection.astype(float).tobytes()]), pa.array([near]), pa.array([dim])], ["projection", "near", "dim"])
+
+    sample = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vector").limit(SAMPLE).select("vector")
+    got = sample.repartition(1).mapInArrow(solve, "projection binary, near long, dim long").first()
+    if got is None or not got["projection"]:
+        return None, 0, got["dim"] if got else 0
+    return np.frombuffer(got["projection"]).reshape(got["dim"], -1), got["near"], got["dim"]
 
 
 def nearest(embeddings: DataFrame, k: int = 20, every: int = 20, share: float = SHARE, rows: int = 8192) -> DataFrame:
