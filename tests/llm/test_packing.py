@@ -3,7 +3,6 @@ import zlib
 
 import numpy as np
 import public_tokenizers
-import pytest
 from tokenizers import Tokenizer
 
 from millrace.llm import packing

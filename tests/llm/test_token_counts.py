@@ -2,7 +2,6 @@ import public_tokenizers
 import sentencepiece
 
 from millrace.llm import tokens
-from millrace.llm.common import shared_dir
 
 SP = public_tokenizers.path("piece_bpe_32k.model")
 
