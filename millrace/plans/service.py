@@ -7,7 +7,6 @@ import re
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import dialogue as D
 from millrace.operators import quality as Q
 from millrace.operators import service as S
 from millrace.plans.base import literal, query, table

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
-from millrace.operators import dialogue, documents, html, index, quality, tables
+from millrace.operators import dialogue, documents, html, index, quality
 from millrace.operators import retrieval as R
 from millrace.plans import gate, structure
 from millrace.sources import tables as S
