@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -58,6 +60,7 @@ def scratch(spark: SparkSession) -> str:
         if not context.master.startswith("local") or context.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="millrace-")
+        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
     return f"{root.rstrip('/')}/scratch-{uuid.uuid4().hex}"
 
 
