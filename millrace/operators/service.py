@@ -42,7 +42,7 @@ def chat(asked: DataFrame, docs: DataFrame, vectors: DataFrame, query_vectors: D
         wanted = wanted | ((F.col("route") == route) & F.col("_category").isin(*names))
     final = R.select_final(R.prefer(faceted, F.coalesce(wanted, F.lit(False))))
     chunks = final.groupBy("item_id").agg(F.count("*").alias("n_chunks"), F.max("similarity").alias("confidence"), F.array_sort(F.collect_list(F.struct("final", "doc_id"))).alias("s"))
-    rows = lookup.cut(lookup.structured(records, inside.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")))).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n_rows"))
+    rows = lookup.cut(lookup.structured(records, inside.select(F.col("item_id").alias("query_id"), F.col("text").alias("query")), lookup.ROWS)).groupBy(F.col("query_id").alias("item_id")).agg(F.count("*").alias("n_rows"))
     out = routed.join(chunks, "item_id", "left").join(rows, "item_id", "left").fillna(0, ["n_chunks", "n_rows"]).fillna(0.0, ["confidence"])
     kind = D.decision(F.col("route"), F.col("n_rows"), F.col("n_chunks"), F.col("confidence") >= R.THRESHOLD)
     return out.select("item_id", "route", "n_rows", "n_chunks", "confidence", kind.alias("kind"), F.transform(F.coalesce("s", F.array().cast("array<struct<final:int,doc_id:bigint>>")), lambda x: x["doc_id"]).alias("sources"))

@@ -157,17 +157,15 @@ rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p
 """.replace("{stop}", " ".join(T.STOPWORDS)).replace("{products}", PRODUCTS).replace("{{", "{").replace("}}", "}")
 
 
-def _lookup(spark, d):
-    return lookup.structured(products(spark, d), spark.createDataFrame(ASKED, "query_id int, query string"))
+def _asked(spark):
+    return spark.createDataFrame(ASKED, "query_id int, query string")
 
 
 @query(LOOKUP + " SELECT query_id, id, product_name, score, rank FROM rk WHERE rank <= 8 AND score >= greatest(1.0, best / 2)")
 def structured_lookup(spark, d):
-    return lookup.cut(_lookup(spark, d)).select("query_id", "id", "product_name", "score", F.col("rank").cast("long").alias("rank"))
+    return lookup.cut(lookup.structured(products(spark, d), _asked(spark), lookup.ROWS)).select("query_id", "id", "product_name", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(LOOKUP + " SELECT query_id, max(score) AS best, greatest(1.0, max(score) / 2) AS cutoff, count(*) AS scored, count(*) FILTER (score >= greatest(1.0, best / 2)) AS above FROM rk GROUP BY query_id")
 def lookup_cutoff(spark, d):
-    ranked = _lookup(spark, d)
-    bar = F.greatest(F.lit(1.0), F.col("best") / 2)
-    return ranked.groupBy("query_id").agg(F.max("score").alias("best"), F.max(bar).alias("cutoff"), F.count("*").alias("scored"), F.count_if(F.col("score") >= bar).alias("above"))
+    return lookup.cutoffs(lookup.scored(products(spark, d), _asked(spark)))
