@@ -47,3 +47,10 @@ def test_lookup_in_blocks(spark, monkeypatch):
     want = sorted(lookup.scored(product_records(spark, 60), asked).collect())
     monkeypatch.setattr(lookup, "KEYS", 30)
     assert sorted(lookup.scored(product_records(spark, 60), asked).collect()) == want
+
+
+def test_references_have_whole_numbers(spark):
+    from millrace.functions import text as T
+
+    rows = spark.createDataFrame([("see IS 123456 and IS 123457 (Part 2): 2016, IS 12345",)], "t string")
+    assert rows.select(T.references(F.col("t"))).first()[0] == ["IS 123456", "IS 123457 (Part 2): 2016", "IS 12345"]
