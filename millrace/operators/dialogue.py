@@ -123,7 +123,7 @@ def topic_terms(q: Column, past: Column) -> Column:
     bare digits; then the content words of the newest user message that has any.
     """
     newest = F.reverse(past)
-    digits = lambda t: T.base_number(t)
+    digits = lambda t: T.own_number(t)
     of_text = lambda m: F.flatten(F.transform(T.references(m["text"]), lambda t: F.filter(F.array(t, digits(t)), lambda x: x != "")))
     numbers = F.flatten(F.transform(newest, of_text))
     spoken = F.filter(F.transform(F.filter(newest, lambda m: m["role"] == "user"), lambda m: T.content_terms(m["text"])), lambda w: F.size(w) > 0)
@@ -146,13 +146,13 @@ def resolve(turns: DataFrame) -> DataFrame:
 
 def guard(answer: Column, context: Column) -> tuple[Column, Column]:
     """(clean answer, removed numbers): standard numbers whose base digits no
-    number in the context shares are replaced. Numbers of one digit have no
-    base, so they always are."""
-    allowed = F.transform(F.regexp_extract_all(context, F.lit(T.REFERENCE), F.lit(0)), lambda t: T.base_number(t))
+    number in the context shares are replaced whole. Numbers of one digit, or of
+    more than five, have no base, so they always are."""
+    allowed = F.transform(F.regexp_extract_all(context, F.lit(T.WHOLE_REFERENCE), F.lit(0)), lambda t: T.own_number(t))
     allowed = F.array_remove(allowed, "")
-    found = F.regexp_extract_all(answer, F.lit(T.REFERENCE), F.lit(0))
-    between = F.split(answer, T.REFERENCE, -1)
-    ok = lambda t: F.array_contains(allowed, T.base_number(t))
+    found = F.regexp_extract_all(answer, F.lit(T.WHOLE_REFERENCE), F.lit(0))
+    between = F.split(answer, T.WHOLE_REFERENCE, -1)
+    ok = lambda t: F.array_contains(allowed, T.own_number(t))
     told = F.transform(found, lambda t: F.when(ok(t), t).otherwise(UNVERIFIED))
     parts = F.zip_with(between, told, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     return F.array_join(parts, ""), F.filter(found, lambda t: ~ok(t))

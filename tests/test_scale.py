@@ -54,3 +54,13 @@ def test_references_have_whole_numbers(spark):
 
     rows = spark.createDataFrame([("see IS 123456 and IS 123457 (Part 2): 2016, IS 12345",)], "t string")
     assert rows.select(T.references(F.col("t"))).first()[0] == ["IS 123456", "IS 123457 (Part 2): 2016", "IS 12345"]
+
+
+def test_guard_replaces_whole_numbers(spark):
+    from millrace.operators import dialogue as D
+
+    rows = spark.createDataFrame([("IS 123456, IS 12345, IS 23456: 2016, IS 1234567", "IS 12345 ; IS 234567")], "a string, c string")
+    clean, removed = D.guard(F.col("a"), F.col("c"))
+    got = rows.select(clean.alias("a"), removed.alias("r")).first()
+    assert got["a"] == f"{D.UNVERIFIED}, IS 12345, {D.UNVERIFIED}, {D.UNVERIFIED}"
+    assert got["r"] == ["IS 123456", "IS 23456: 2016", "IS 1234567"]
