@@ -13,7 +13,7 @@ NUMBERED = r"^\s*\d+\.\s+(.+)$"
 RULE_CELL = r"^[-:\s]+$"
 INLINE = (
     r"\[[^\]]+\]\([^)]+\)|\*\*[^*]+\*\*|\*[^*]+\*|`[^`]+`|"
-    r"\bIS(?:/(?:IEC|ISO))?\s*\d{2,5}(?:\s*\(\s*Part\s*[0-9IVXivx]+\s*\))?(?:\s*[:\-]\s*\d{4})?"
+    r"\bIS(?:/(?:IEC|ISO))?\s*\d{2,5}(?!\d)(?:\s*\(\s*Part\s*[0-9IVXivx]+\s*\))?(?:\s*[:\-]\s*\d{4})?"
 )
 
 
@@ -51,7 +51,8 @@ def blocks(rows: DataFrame, key: str, text: str = "text") -> DataFrame:
 
 
 def inline(c: Column) -> Column:
-    """array<struct<kind, text>> of a line: text, link, bold, italic, code and standard numbers."""
+    """array<struct<kind, text>> of a line: text, link, bold, italic, code and
+    standard numbers; one of more than five digits is no standard number but text."""
     gaps = F.split(c, INLINE, -1)
     found = F.regexp_extract_all(c, F.lit(INLINE), F.lit(0))
     cut = lambda x, a, b: F.substring(x, a + 1, F.length(x) - a - b)

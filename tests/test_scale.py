@@ -74,3 +74,10 @@ def test_html_references_need_their_semicolon():
     assert tree.told(True) == [("h1", "a & b&amp"), ("p", "one &notit; two é é é &#233 a&&b · end")]
     assert tree.elements[2][2] == "x&y"
     assert H.parse("<p> a&b is long enough</p>").told(True) == [("p", " a&b is long enough")]
+
+
+def test_inline_numbers_are_whole(spark):
+    from millrace.operators import markdown as M
+
+    rows = spark.createDataFrame([("a IS 123456 b",), ("a IS 12345 b",)], "t string").select(M.inline(F.col("t")).alias("p"))
+    assert [[tuple(x) for x in r["p"]] for r in rows.collect()] == [[("text", "a IS 123456 b")], [("text", "a "), ("standard", "IS 12345"), ("text", " b")]]
