@@ -70,7 +70,7 @@ def rendered_rows(spark, d):
 r(doc, k, i, n, g) AS (SELECT doc, k, i, len + 1, 1 FROM l WHERE i = 1 UNION ALL SELECT l.doc, l.k, l.i, CASE WHEN r.n + len + 1 > 1800 THEN len + 1 ELSE r.n + len + 1 END, CASE WHEN r.n + len + 1 > 1800 THEN g + 1 ELSE g END FROM r JOIN l ON l.doc = r.doc AND l.i = r.i + 1)
 SELECT doc, k, g FROM r""")
 def table_row_groups(spark, d):
-    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("k"), (F.round("o_totalprice").cast("long") % 900 + 1).cast("int").alias("len"))
+    rows = table(spark, d, "orders").select(F.col("o_custkey").alias("doc"), F.col("o_orderkey").alias("k"), (F.rint("o_totalprice").cast("long") % 900 + 1).cast("int").alias("len"))
     docs = rows.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("k", "len"))).alias("u"))
     groups = D.row_groups(F.transform("u", lambda x: x["len"]))
     return docs.select("doc", F.explode(F.arrays_zip(F.transform("u", lambda x: x["k"]).alias("k"), groups.alias("g"))).alias("z")).select("doc", "z.k", "z.g")

@@ -81,3 +81,12 @@ def test_inline_numbers_are_whole(spark):
 
     rows = spark.createDataFrame([("a IS 123456 b",), ("a IS 12345 b",)], "t string").select(M.inline(F.col("t")).alias("p"))
     assert [[tuple(x) for x in r["p"]] for r in rows.collect()] == [[("text", "a IS 123456 b")], [("text", "a "), ("standard", "IS 12345"), ("text", " b")]]
+
+
+def test_row_groups_round_halves_to_even(spark, tmp_path):
+    """As SQL's cast does: 888.5 counts as 888, so that the three rows fill a group to its last character."""
+    from millrace.plans import catalog
+
+    spark.createDataFrame([(1, 1, 888.5), (2, 1, 898.0), (3, 1, 8.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    rows = catalog.QUERIES["table_row_groups"](spark, str(tmp_path)).collect()
+    assert {(r["k"], r["g"]) for r in rows} == {(1, 1), (2, 1), (3, 1)}
