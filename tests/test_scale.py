@@ -90,3 +90,19 @@ def test_row_groups_round_halves_to_even(spark, tmp_path):
     spark.createDataFrame([(1, 1, 888.5), (2, 1, 898.0), (3, 1, 8.0)], "o_orderkey long, o_custkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     rows = catalog.QUERIES["table_row_groups"](spark, str(tmp_path)).collect()
     assert {(r["k"], r["g"]) for r in rows} == {(1, 1), (2, 1), (3, 1)}
+
+
+def test_legacy_splitter_at_its_bound(spark, tmp_path):
+    """A line as long as the bound fits; so does a single one without its margins."""
+    import duckdb
+
+    from millrace.plans import catalog
+
+    a = "a" * 2999
+    texts = ["b\n" + a + "c", a + "c\nd", "b\n" + a + "cd", "  " + a, "  " + a + "cd", " " * 3100, "\n" + "e" * 2000 + "\n" + "f" * 2000, "x\n " + a + "c \ny"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    want = sorted(con.execute(catalog.ORACLE["legacy_splitter"]).fetchall())
+    assert {r[0] for r in want} == {0, 1, 3, 5, 6, 7}
+    assert sorted(tuple(r) for r in catalog.QUERIES["legacy_splitter"](spark, str(tmp_path)).collect()) == want
