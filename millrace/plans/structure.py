@@ -170,8 +170,7 @@ def chunk_metadata(spark, d):
 {DOC_LINES.strip()}, {judged_sql(False).strip()}
 SELECT z.doc, reason, coalesce(chunks, 0) AS chunks, coalesce(made, 0) - coalesce(chunks, 0) AS duplicates, chars FROM z LEFT JOIN m USING (doc) LEFT JOIN h USING (doc)""")
 def chunk_report(spark, d):
-    made = _pieces(spark, d)
-    return D.corpus_report(D.boilerplate(D.judged_lines(_lines(spark, d), False)), made, D.emitted(made))
+    return D.corpus_report(D.boilerplate(D.judged_lines(_lines(spark, d), False)), _pieces(spark, d))
 
 
 @query(SPLIT + FRESH + " SELECT printf('doc%03d_sec_root', doc) AS parent_id, count(*) AS siblings FROM fresh GROUP BY doc")
@@ -186,8 +185,7 @@ WITH {DOC_LINES}, cn AS (SELECT doc, count(*) FILTER (regexp_matches(text, {re(D
 @query(SPLIT + FRESH + ", " + STRUCTURED.strip().removeprefix("WITH ") + """, m AS (SELECT doc, count(*) AS made FROM pieces GROUP BY doc), h AS (SELECT doc, count(*) AS chunks FROM fresh GROUP BY doc)
 SELECT doc, numbered, pages, chunks, made - chunks AS duplicates FROM cn JOIN m USING (doc) JOIN h USING (doc) WHERE numbered OR pages > 0 OR made > chunks""")
 def structure_report(spark, d):
-    made = _pieces(spark, d)
-    return D.structure(_lines(spark, d), made, D.emitted(made))
+    return D.structure(_lines(spark, d), _pieces(spark, d))
 
 
 # --- HTML ------------------------------------------------------------------

@@ -106,3 +106,35 @@ def test_legacy_splitter_at_its_bound(spark, tmp_path):
     want = sorted(con.execute(catalog.ORACLE["legacy_splitter"]).fetchall())
     assert {r[0] for r in want} == {0, 1, 3, 5, 6, 7}
     assert sorted(tuple(r) for r in catalog.QUERIES["legacy_splitter"](spark, str(tmp_path)).collect()) == want
+
+
+def test_reports_read_documents_once_for_lines_and_once_for_chunks(spark):
+    """Texts with and without page marks are planned apart, so lines take two scans."""
+    from millrace.plans import catalog
+
+    for name in ("structure_report", "chunk_report"):
+        assert planned(catalog.QUERIES[name](spark, "/root/testdata/sf0.001")).count("FileScan") <= 3, name
+
+
+def test_lines_of_whole_texts_are_lines_cleaned_one_by_one(spark):
+    from millrace.functions import text as T
+    from millrace.operators import documents as D
+
+    texts = [
+        "", "\n", " a \n\tb\t\nc", "a\r\nb\x0b\n\fc", "x  y　\n z\n", "​ a\n ‎\n​b", "\u0085a\n ", "  ", "a  ​  b\n[Page 3]\n c ",
+        " a", "tidy\nlines only", "a\t\t\tb\n\n\n c  d ", "\x1fa\n b\x1f", "न ी \n क",
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = rows.select("doc_id", F.posexplode(F.split("text", "\n", -1))).select("doc_id", "pos", T.clean_line(F.col("col")).alias("text")).where(~F.col("text").rlike(D.PAGE_MARK))
+    assert sorted(tuple(r) for r in D.page_lines(rows).select("doc", "line_no", "text").collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def test_split_and_counts_agree_with_the_chunks(spark):
+    from millrace.operators import documents as D
+
+    texts = ["ab. " * 30 + "x" * 90 + ". cd; ef", "same one. same one. same one. same one.", "", "z" * 200, "; ".join(map(str, range(90)))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc int, t string")
+    made = rows.select("doc", F.posexplode(D.hard_split(F.col("t"), 40, 5)).alias("piece", "text")).withColumns({"chunk": F.lit(1), "clauses": F.array().cast("array<string>")})
+    assert made.agg(F.max(F.length("text"))).first()[0] <= 40
+    kept = made.groupBy("doc").agg(F.count("*")).join(D.emitted(made).groupBy("doc").agg(F.count("*")), "doc")
+    assert sorted(tuple(r) for r in D.chunk_counts(made).collect()) == sorted(tuple(r) for r in kept.collect())
