@@ -16,13 +16,19 @@ LEXICAL_ONLY = 0.85
 
 #: Query terms, and query vectors, that are broadcast at once; more queries are taken in blocks.
 TERMS, ASKED = 500_000, 4096
+#: Bytes of text that a task counts the terms of.
+DEALT = 8 << 20
 
 
 def postings(docs: DataFrame) -> DataFrame:
     """doc_id, dl, term, tf of documents(doc_id, text); dl is the length in tokens.
 
-    Texts are dealt out by doc_id, so what is counted by document needs no further shuffle."""
-    body = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", T.tokens(F.col("text")).alias("t"))
+    Texts are dealt out by doc_id, so what is counted by document needs no further
+    shuffle. There is a partition for each DEALT bytes of text: a task's counts take
+    many times the space of its texts, and partitions left to AQE grow with the input."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // DEALT))
+    body = docs.select("doc_id", "text").repartition(parts, "doc_id").select("doc_id", T.tokens(F.col("text")).alias("t"))
     return body.select("doc_id", F.size("t").alias("dl"), F.explode("t").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
@@ -62,12 +68,12 @@ def bm25(docs: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFrame:
     mean = stats.agg(F.avg("idf").alias("mean_idf"))
     weight = stats.join(F.broadcast(mean), how="cross").select("term", F.when(F.col("idf") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("idf")).alias("idf"))
     order = Window.partitionBy("item_id").orderBy(F.col("score").desc(), F.col("doc_id").desc())
+    share = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    shares = posts.join(F.broadcast(whole), how="cross").select("doc_id", "term", share.alias("share"))
     best = None
     for block in in_blocks(asked, "item_id", TERMS):
         wanted = block.join(weight, "term").select("term", "item_id", (F.col("qtf") * F.col("idf")).alias("w"))
-        hits = posts.join(F.broadcast(wanted), "term").join(F.broadcast(whole), how="cross")
-        gain = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-        scores = hits.groupBy("doc_id", "item_id").agg(T.rounded(F.sum(gain), 6).alias("score")).select("item_id", "doc_id", "score")
+        scores = shares.join(F.broadcast(wanted), "term").groupBy("doc_id", "item_id").agg(T.rounded(F.sum(F.col("w") * F.col("share")), 6).alias("score")).select("item_id", "doc_id", "score")
         part = scores.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).drop("rank")
         best = part if best is None else best.unionByName(part)
     last = docs.select("doc_id").orderBy(F.col("doc_id").desc()).limit(2 * k)

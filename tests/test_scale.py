@@ -138,3 +138,15 @@ def test_split_and_counts_agree_with_the_chunks(spark):
     assert made.agg(F.max(F.length("text"))).first()[0] <= 40
     kept = made.groupBy("doc").agg(F.count("*")).join(D.emitted(made).groupBy("doc").agg(F.count("*")), "doc")
     assert sorted(tuple(r) for r in D.chunk_counts(made).collect()) == sorted(tuple(r) for r in kept.collect())
+
+
+def test_postings_are_dealt_by_size(spark, monkeypatch):
+    """As many partitions as there is text for, which AQE may not join again."""
+    from millrace.operators import retrieval as R
+
+    docs = spark.range(200).selectExpr("id as doc_id", "repeat(concat('w', id, ' x '), 20) as text")
+    monkeypatch.setattr(R, "DEALT", 1000)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    posts = R.postings(docs)
+    assert "hashpartitioning(doc_id#" in planned(posts) and f", {-(-size // 1000)}), REPARTITION_BY_NUM" in planned(posts)
+    assert posts.count() == 400
