@@ -74,14 +74,14 @@ def embed(chunks: DataFrame, dim: int, provider=hashed_words, batch: int = BATCH
 
     def run(batches):
         for b in batches:
-            ids, texts, vectors = b.column(0), b.column(1).to_pylist(), []
-            for i in range(0, len(texts), batch):
-                part = [t or "" for t in texts[i : i + batch]]
+            # a provider's texts at once are all that Python holds of a batch
+            for i in range(0, b.num_rows, batch):
+                some = b.slice(i, batch)
+                part = [t or "" for t in some.column(1).to_pylist()]
                 got = provider(part, dim)
                 if len(got) != len(part):
                     raise ValueError(f"{len(part)} texts, {len(got)} vectors")
-                vectors += np.asarray(got).tolist()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(vectors, pa.list_(pa.float64()))], ["chunk_id", "embedding"])
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(np.asarray(got).tolist(), pa.list_(pa.float64()))], ["chunk_id", "embedding"])
 
     return chunks.select(F.col("chunk_id").cast("string"), "text").mapInArrow(run, "chunk_id string, embedding array<double>")
 

@@ -150,3 +150,19 @@ def test_postings_are_dealt_by_size(spark, monkeypatch):
     posts = R.postings(docs)
     assert "hashpartitioning(doc_id#" in planned(posts) and f", {-(-size // 1000)}), REPARTITION_BY_NUM" in planned(posts)
     assert posts.count() == 400
+
+
+def test_embedding_holds_one_request_of_texts(spark):
+    """Vectors leave Python request by request, not with the last text of a whole batch."""
+    import pyarrow as pa
+
+    from millrace.operators import index as I
+
+    class Rows:
+        select = lambda self, *columns: self
+        mapInArrow = lambda self, run, schema: run
+
+    batch = pa.RecordBatch.from_pydict({"chunk_id": [str(i) for i in range(45)], "text": [None] + [f"a b {i}" for i in range(44)]})
+    got = list(I.embed(Rows(), 8)([batch]))
+    assert [b.num_rows for b in got] == [20, 20, 5]
+    assert [x for b in got for x in b.column(0).to_pylist()] == [str(i) for i in range(45)]
