@@ -16,8 +16,8 @@ LEXICAL_ONLY = 0.85
 
 #: Query terms, and query vectors, that are broadcast at once; more queries are taken in blocks.
 TERMS, ASKED = 500_000, 4096
-#: Bytes of text that a task counts the terms of.
-DEALT = 8 << 20
+#: Bytes of text that a task counts the terms of, and pairs of a query and a vector that it ranks.
+DEALT, PAIRS = 8 << 20, 2 << 20
 
 
 def postings(docs: DataFrame) -> DataFrame:
@@ -43,9 +43,9 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("n"), F.avg(F.size(T.tokens(F.col("text")))).alias("avgdl"))
 
 
-def in_blocks(rows: DataFrame, key: str, most: int) -> list[DataFrame]:
+def in_blocks(rows: DataFrame, key: str, most: int, count: int | None = None) -> list[DataFrame]:
     """``rows`` in parts of about ``most`` rows, by a hash of ``key``; the parts may be broadcast."""
-    parts = max(1, -(-rows.count() // most))
+    parts = max(1, -(-(rows.count() if count is None else count) // most))
     return [rows] if parts == 1 else [rows.where(F.pmod(F.xxhash64(key), F.lit(parts)) == i) for i in range(parts)]
 
 
@@ -94,14 +94,17 @@ def dense(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES) -> DataFr
 
     The query set meets every vector, a block of ASKED queries at a time, which
     is broadcast; Catalyst keeps the k best of each query within the partitions
-    before it shuffles (WindowGroupLimit).
+    before it shuffles (WindowGroupLimit). For that it sorts a partition's pairs,
+    so vectors are dealt out, a partition for each PAIRS pairs with a block.
     """
     unit = lambda c: T.l2_normalise(F.col(c))
     dot = F.aggregate(F.zip_with("q", "v", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z)
     asked = queries.select("item_id", unit("embedding").alias("q"))
     order = Window.partitionBy("item_id").orderBy(F.col("similarity").desc(), "doc_id")
-    units, best = vectors.select(F.col("vec_id").alias("doc_id"), unit("embedding").alias("v")), None
-    for block in in_blocks(asked, "item_id", ASKED):
+    count = queries.count()
+    parts = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() * min(count, ASKED) // PAIRS))
+    units, best = vectors.select("vec_id", "embedding").repartition(parts, "vec_id").select(F.col("vec_id").alias("doc_id"), unit("embedding").alias("v")), None
+    for block in in_blocks(asked, "item_id", ASKED, count):
         scored = units.join(F.broadcast(block), how="cross").select("item_id", "doc_id", T.rounded(dot, 6).alias("similarity"))
         part = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
         best = part if best is None else best.unionByName(part)

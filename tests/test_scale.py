@@ -152,6 +152,22 @@ def test_postings_are_dealt_by_size(spark, monkeypatch):
     assert posts.count() == 400
 
 
+def test_vectors_are_dealt_by_pairs(spark, monkeypatch):
+    """A task ranks so many pairs at most, however many vectors a file has; results are the same."""
+    from millrace.operators import retrieval as R
+
+    vectors = spark.range(0, 300, 1, 1).selectExpr("id as vec_id", "array(float(id % 7), float(id % 11), 1f) as embedding")
+    asked = vectors.where("vec_id % 30 = 0").withColumnRenamed("vec_id", "item_id")
+    want = sorted(tuple(r) for r in R.dense(vectors, asked).collect())
+    assert len(want) == 10 * 12
+    monkeypatch.setattr(R, "PAIRS", 100)
+    assert "hashpartitioning(vec_id#" in planned(R.dense(vectors, asked)) and ", 30), REPARTITION_BY_NUM" in planned(R.dense(vectors, asked))
+    assert sorted(tuple(r) for r in R.dense(vectors, asked).collect()) == want
+    monkeypatch.setattr(R, "ASKED", 4)
+    near = R.dense(vectors, asked)
+    assert ", 12), REPARTITION_BY_NUM" in planned(near) and sorted(tuple(r) for r in near.collect()) == want
+
+
 def test_embedding_holds_one_request_of_texts(spark):
     """Vectors leave Python request by request, not with the last text of a whole batch."""
     import pyarrow as pa
